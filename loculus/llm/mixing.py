@@ -168,6 +168,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     return full.select("doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """What the mix takes, as rows with the columns of docs: a row for each time that a whole text is taken, and one with the first words of a text of which only those are. Rows without words are not taken."""
+    taken = mix(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_size"])
+    both = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(taken.withColumn("_k", F.coalesce(F.col("_id").cast("string"), F.lit("null"))), "_k").select(*docs.columns, "_size", "_taken")
+    text, length = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    kind = docs.schema
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, taken = (b.column(b.num_columns - k).to_numpy() for k in (2, 1))
+            own = word_counts(b.column(text)) == size  # rows of one id with other texts have rows of their own in the mix
+            index, cut = [], []
+            for i in np.flatnonzero(own):
+                index += [i] * int(taken[i] // size[i])
+                cut += [0] * int(taken[i] // size[i])
+                if taken[i] % size[i]:
+                    index.append(i)
+                    cut.append(int(taken[i] % size[i]))
+            part = b.take(pa.array(index, pa.int64()))
+            columns = [part.column(k) for k in range(part.num_columns - 2)]
+            texts = [t if not c else first_words(t, c) for t, c in zip(part.column(text).to_pylist(), cut)]
+            columns[text] = pa.array(texts, part.column(text).type)
+            if length is not None:
+                columns[length] = pa.array([len(t) if c else n for t, c, n in zip(texts, cut, part.column(length).to_pylist())], part.column(length).type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
+
+    return both.mapInArrow(rows, kind)
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    import re
+
+    m = re.match(rf"(?:[ \t-\r]*[^ \t-\r]+){{{n}}}", text)
+    return m.group() if m else text
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

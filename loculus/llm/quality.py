@@ -171,6 +171,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> AdditiveMod
     return fit_additive(np.array([r[1:] for r in rows]).reshape(len(rows), len(NAMES)), np.array([label[r[0]] for r in rows], float))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score the threshold or more, all columns."""
+    shared, column = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            x = np.array([describe(t) for t in b.column(column).to_pylist()]).reshape(b.num_rows, len(NAMES))
+            yield b.filter(pa.array(shared.value.score(x) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Scores every row of docs: doc_id, held_out, score, predicted.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from loculus.llm.binary import op9_token_ids
 from loculus.llm.fingerprints import op3_fingerprints
 from loculus.llm.hnsw import op8_hnsw, op8_sql
+from loculus.llm.lm_scoring import op1_lm_scoring
 from loculus.llm.mixing import op5_mixing, op5_sql
 from loculus.llm.packing import op2_packing
 from loculus.llm.quality import op4_quality
@@ -13,6 +14,7 @@ from loculus.llm.shingle_join import op6_shingle_join, op6_sql
 from loculus.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_quality": op4_quality,

@@ -303,6 +303,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, all columns; of rows with that id that link, any one."""
+    found = write_table(near_duplicates(docs), "shingle-found")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = found.filter("doc_id = component_id")
+    again = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if not again.isEmpty():  # rows repeated with their id
+        out = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
+    return out
+
+
 def op6_shingle_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 

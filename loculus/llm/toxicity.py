@@ -139,6 +139,24 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns."""
+    at, values, bias = (lambda m: (np.flatnonzero(m[0]).astype(np.uint32), m[0][np.flatnonzero(m[0])], m[1]))(fit(docs, labels))
+    shared, column = docs.sparkSession.sparkContext.broadcast((at, values, bias)), docs.columns.index("text")
+    logit = float(np.log(threshold / (1 - threshold)))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, values, bias = shared.value
+        weights = np.zeros(1 << BITS)
+        weights[at] = values
+        words = WordFeatures()
+        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            s = np.array([bias + weights[words.of(x)].sum() for x in b.column(column).to_pylist()])
+            yield b.filter(pa.array(s < logit))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Scores every row of docs: doc_id, held_out, score, predicted.
 
