@@ -81,7 +81,7 @@ def metres_per_cell(calibrated: Column, raw: Column) -> Column:
 
 
 def scale_factor(metres: Column, raw: Column) -> Column:
-    return F.when(raw > 1e-8, metres / raw).otherwise(F.lit(1.0))
+    return F.when(raw > 1e-8, F.try_divide(metres, raw)).otherwise(F.lit(1.0))
 
 
 def voxel_floor(x: Column, size: float) -> Column:
@@ -117,7 +117,7 @@ def quadrant(obs: tuple[Column, Column], facing: tuple[Column, Column], target:
     """front/behind-right/left of the target seen from obs, by signs in the XZ plane; facing the own place means looking along z."""
     fx, fz = facing[0] - obs[0], facing[1] - obs[1]
     n = F.sqrt(fx * fx + fz * fz)
-    fx, fz = F.when(n < 1e-6, F.lit(0.0)).otherwise(fx / n), F.when(n < 1e-6, F.lit(1.0)).otherwise(fz / n)
+    fx, fz = F.when(n < 1e-6, F.lit(0.0)).otherwise(F.try_divide(fx, n)), F.when(n < 1e-6, F.lit(1.0)).otherwise(F.try_divide(fz, n))
     tx, tz = target[0] - obs[0], target[1] - obs[1]
     ahead, right = tx * fx + tz * fz, fx * tz - fz * tx
     word = F.concat(F.when(ahead >= 0, "front").otherwise("behind"), F.lit("-"), F.when(right >= 0, "right").otherwise("left"))
@@ -131,7 +131,7 @@ def sector(obs: tuple[Column, Column], facing: tuple[Column, Column], target: tu
     """
     fx, fz, tx, tz = facing[0] - obs[0], facing[1] - obs[1], target[0] - obs[0], target[1] - obs[1]
     nf, nt = F.sqrt(fx * fx + fz * fz), F.sqrt(tx * tx + tz * tz)
-    fx, fz, tx, tz = fx / nf, fz / nf, tx / nt, tz / nt
+    fx, fz, tx, tz = F.try_divide(fx, nf), F.try_divide(fz, nf), F.try_divide(tx, nt), F.try_divide(tz, nt)
     angle = F.atan2(tx * fz - tz * fx, tx * fx + tz * fz) * 180 / math.pi
     words = [(-157.5, -112.5, "back-left"), (-112.5, -67.5, "left"), (-67.5, -22.5, "front-left"), (-22.5, 22.5, "front"), (22.5, 67.5, "front-right"), (67.5, 112.5, "right"), (112.5, 157.5, "back-right")]
     out = F.when((angle > 157.5) | (angle < -157.5), F.lit("back"))
@@ -162,7 +162,7 @@ def opposite_relation(relation: Column) -> Column:
 
 def overlap_probability(d: Column, sa: Column, sb: Column) -> Column:
     """exp(-d / (sa + sb)); 1 or 0 where both spreads vanish."""
-    return F.when(sa + sb < 1e-6, F.when(d < 0.1, 1.0).otherwise(0.0)).otherwise(F.exp(-d / (sa + sb)))
+    return F.when(sa + sb < 1e-6, F.when(d < 0.1, 1.0).otherwise(0.0)).otherwise(F.exp(F.try_divide(-d, sa + sb)))
 
 
 def inverse3(c: list[Column]) -> list[Column]:
@@ -170,7 +170,7 @@ def inverse3(c: list[Column]) -> list[Column]:
     xx, xy, xz, yy, yz, zz = c
     a, b, d = yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy
     det = xx * a + xy * b + xz * d
-    return [a / det, b / det, d / det, (xx * zz - xz * xz) / det, (xy * xz - xx * yz) / det, (xx * yy - xy * xy) / det]
+    return [F.try_divide(v, det) for v in (a, b, d, xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy)]
 
 
 def mahalanobis(d: Vec, c: list[Column], eps: float = 0.0) -> Column:
@@ -186,7 +186,7 @@ def largest_eigenvalue(c: list[Column]) -> Column:
     q = (xx + yy + zz) / 3
     off = xy * xy + xz * xz + yz * yz
     p = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * off) / 6)
-    b = [(xx - q) / p, xy / p, xz / p, (yy - q) / p, yz / p, (zz - q) / p]
+    b = [F.try_divide(v, p) for v in (xx - q, xy, xz, yy - q, yz, zz - q)]
     half = (b[0] * (b[3] * b[5] - b[4] * b[4]) - b[1] * (b[1] * b[5] - b[4] * b[2]) + b[2] * (b[1] * b[4] - b[3] * b[2])) / 2
     phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
     return F.when(p < 1e-12, q).otherwise(q + 2 * p * F.cos(phi))
@@ -197,7 +197,7 @@ def cosine(a: Column, b: Column) -> Column:
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     ab = add(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
     n = lambda x: F.sqrt(add(F.transform(x, lambda v: v.cast("double") * v.cast("double"))))
-    return F.when((n(a) == 0) | (n(b) == 0), F.lit(0.0)).otherwise(ab / (n(a) * n(b)))
+    return F.when((n(a) == 0) | (n(b) == 0), F.lit(0.0)).otherwise(F.try_divide(ab, n(a) * n(b)))
 
 
 def frame_sample(total: Column, n: int) -> Column:
