@@ -18,3 +18,18 @@ def local_session(app: str = "loculus", cpus: int | str = "*", shuffle_partition
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that lineage is cut in: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    import atexit
+    import shutil
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="loculus-")
+        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    spark.sparkContext.setCheckpointDir(found)
+    return found
