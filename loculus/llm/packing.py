@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loculus.llm.common import prefix_sums, read_table, write_table
-from loculus.llm.tokens import WordIds, tokenizer_path
+from loculus.llm.tokens import tokenizer_path, word_ids
 
 CAPACITY, END = 2048, 0
 #: How far the search goes; the best packing found so far stands in any case.
@@ -24,12 +24,13 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
     path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         last = np.array([end], "<u4").tobytes()
-        for b in batches:
+        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             doc, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
-                ids = words.encode(text) + last
+            flat, bounds = words.encode_many(b.column(1))
+            for i in range(b.num_rows):
+                ids = flat[bounds[i] : bounds[i + 1]].tobytes() + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(i)
