@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import read_table, shuffle_parts, write_table
+from loculus.llm.common import read_table, shuffle_parts
+from loculus.llm.tokens import plain_strings
 
 #: The shared vocabulary's words, the hashed table of word pairs, and the weight of single words in the mixture.
 VOCABULARY, PAIRS, SINGLE = 32_768, 1 << 20, 0.4
@@ -22,10 +23,11 @@ BROADCAST_ROWS = 1_000_000
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words [^ \\t-\\r]+ of texts in lower ASCII, coded, and how many each text has; null: none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(plain_strings(texts), "")))
     flat = lists.flatten()
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    at = np.asarray(lists.offsets)
+    at = at - at[0]
     sums = np.r_[0, np.cumsum(real)]
     return flat.filter(pa.array(real)).dictionary_encode(), np.diff(sums[at])
 
