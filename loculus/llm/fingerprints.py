@@ -16,13 +16,13 @@ def tree(text: Column) -> Column:
     Lines are paragraphs, each cut into slices of at most 24 code points, of 4 in the text's first 48, so that short texts have
     leaves too; a leaf is a 32-bit hash of its slice.
     """
-    leaf = lambda s: F.xxhash64(s).bitwiseAND(0xFFFFFFFF)
+    leaf = lambda s: F.hash(s)
     cut = lambda p, n: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{n}}}"), F.lit(0)), leaf)
     return F.transform(F.split(text, "\n", -1), lambda p, i: F.when(i == 0, F.concat(cut(F.substring(p, F.lit(1), F.lit(HEAD)), FINE), cut(F.substring(p, F.lit(HEAD + 1), F.length(p)), SLICE))).otherwise(cut(p, SLICE)))
 
 
 def hex8(x: Column) -> Column:
-    return F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, leaves: str) -> DataFrame:
@@ -81,6 +81,11 @@ def next_rows(keys: DataFrame, name: str) -> DataFrame:
     return out.withColumn("_next", F.coalesce("_next", "_ahead")).select("doc_id", "h", "n", F.col("_next.doc_id").alias("next_id"), F.col("_next.h").alias("next_h"))
 
 
+def key(doc_id: str) -> Column:
+    """An integer id, or null, as a join key."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+
+
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints every row's text and its edited text, and compares with that and with the next row's text.
 
@@ -89,20 +94,22 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     with id and text count as one for "next" and each get the same result. One row alone is its own next. An empty table
     gives an empty result. Other columns are left behind. Only texts are shuffled, once whole and once a quarter.
     """
-    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    keys = d.select("doc_id", "h", F.length("text").alias("n")).distinct()
-    nexts = next_rows(keys, "fingerprints").select(F.col("doc_id").alias("cur_id"), F.col("h").alias("cur_h"), F.col("n").alias("cur_n"), "next_id", "next_h")
-    ahead = d.join(nexts, d["doc_id"].eqNullSafe(nexts["next_id"]) & (d["h"] == nexts["next_h"]))
-    ahead = ahead.select("cur_id", "cur_h", F.substring("text", F.lit(1), F.floor(F.col("cur_n") / 4).cast("int")).alias("head"), F.flatten(tree(F.col("text"))).alias("next_leaves"))
-    # rows repeated in docs give the same values here
-    ahead = ahead.groupBy("cur_id", "cur_h").agg(F.first("head").alias("head"), F.first("next_leaves").alias("next_leaves"))
-    both = d.join(ahead, d["doc_id"].eqNullSafe(ahead["cur_id"]) & (d["h"] == ahead["cur_h"]))
+    # both joins read the same columns of d, so that one shuffle of the texts serves both; the id comes back from its key
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    d = docs.select(key("doc_id").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).distinct()
+    nexts = next_rows(keys, "fingerprints").select(key("doc_id").alias("cur_key"), F.col("h").alias("cur_h"), F.col("n").alias("cur_n"), key("next_id").alias("next_key"), "next_h")
+    ahead = d.join(nexts, (d["key"] == nexts["next_key"]) & (d["h"] == nexts["next_h"]))
+    ahead = ahead.select("cur_key", "cur_h", F.substring("text", F.lit(1), F.floor(F.col("cur_n") / 4).cast("int")).alias("head"), F.flatten(tree(F.col("text"))).alias("next_leaves"))
+    # rows repeated in docs give the same values here; the join below takes this shuffle as it is
+    ahead = ahead.groupBy("cur_key", "cur_h").agg(F.first("head").alias("head"), F.first("next_leaves").alias("next_leaves"))
+    both = d.join(ahead, (d["key"] == ahead["cur_key"]) & (d["h"] == ahead["cur_h"]))
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), "head"))
     both = with_fingerprint(both, "text", "fingerprint", "leaves")
     both = with_fingerprint(both, "edited", "edited_fingerprint", "edited_leaves")
     return both.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.nullif("key", F.lit("null")).cast(kind).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
     )
 
