@@ -89,7 +89,7 @@ def computation(question: Column, options: Column) -> Column:
 
 
 def is_temporal(question: Column) -> Column:
-    return F.lower(question).rlike(r"appear first|first-time appearance|appearance order|seen first|appears first|what order")
+    return F.lower(question).rlike(r"appear first|appears first|appearance order|seen first|first-time appearance|show up first")
 
 
 def task_kind(task: Column, choice: list[str], numeric: list[str]) -> Column:

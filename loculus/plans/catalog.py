@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loculus.plans import answer_queries, belief_queries, process_queries, space_queries  # noqa: F401
+from loculus.plans import answer_queries, belief_queries, family_queries, label_queries, process_queries, space_queries  # noqa: F401
 from loculus.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
