@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loculus.llm.common import drop_table, read_table, shuffle_parts, write_table
-from loculus.llm.tokens import WordIds, tokenizer_path
+from loculus.llm.tokens import tokenizer_path, word_ids
 
 END, BLOCK_IDS = 1, 1 << 18
 #: Of each control byte, the lengths of its four codes.
@@ -49,27 +49,33 @@ def decode_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, n, ids (little-endian unsigned 32-bit, the end id last) of every row."""
+    """doc_id, n, ids (little-endian unsigned integers of 16 bits, or 32 if an id needs them; the end id last) of every row."""
+    kind = id_type(tokenizer, end)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = WordIds(tokenizer), np.array([end], "<u4").tobytes()
+        words, last = word_ids(tokenizer), np.array([end], kind).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                got = [words.encode(t) + last for t in part.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "n", "ids"])
+            for part in (b.slice(at, 1024) for at in range(0, b.num_rows, 1024)):
+                flat, bounds = words.encode_many(part.column(1))
+                got = [flat[i:j].astype(kind).tobytes() + last for i, j in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds) + 1), pa.array(got, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, ids binary")
 
 
-def id_ranks(tokens: DataFrame) -> np.ndarray:
+def id_type(tokenizer: str, end: int) -> str:
+    return "<u2" if max(end, len(word_ids(tokenizer).ends) - 1) < 1 << 16 else "<u4"
+
+
+def id_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
     """Ids by falling count over all documents, then by id. One row for each id of the vocabulary reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(x, "<u4"))
+            for at in range(0, b.num_rows, 64):
+                x = b"".join(b.column(0).slice(at, 64).to_pylist())
+                got = np.bincount(np.frombuffer(x, kind))
                 if len(got) > len(total):
                     total = np.r_[total, np.zeros(len(got) - len(total), np.int64)]
                 total[: len(got)] += got
@@ -83,8 +89,10 @@ def id_ranks(tokens: DataFrame) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Writes docs' ids in ascending doc_id order (null last): the files as a table, the start of each file, the id of each rank."""
     spark = docs.sparkSession
-    tokens = write_table(tokenise(docs, tokenizer or tokenizer_path(), end), "ids-plain")
-    ids = id_ranks(tokens)
+    tokenizer = tokenizer or tokenizer_path()
+    plain = id_type(tokenizer, end)
+    tokens = write_table(tokenise(docs, tokenizer, end), "ids-plain")
+    ids = id_ranks(tokens, plain)
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -96,7 +104,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END) ->
         docs, lens, parts, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            control, data = encode_codes(rank[np.frombuffer(b"".join(parts), "<u4")])
+            control, data = encode_codes(rank[np.frombuffer(b"".join(parts), plain)])
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([docs], pa.list_(docs_type)), pa.array([lens], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=["file", "block", "start", "doc_ids", "lens", "control", "data"])
 
         for b in batches:

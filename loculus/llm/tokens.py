@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 #: Signs that are a piece of their own where they follow or, but for the apostrophe, precede a letter or digit.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FRONT = SIGNS.replace("'", "")
