@@ -116,8 +116,8 @@ def boxes_meet(low_a: Vec, high_a: Vec, low_b: Vec, high_b: Vec) -> Column:
 def quadrant(obs: tuple[Column, Column], facing: tuple[Column, Column], target: tuple[Column, Column]) -> Column:
     """front/behind-right/left of the target seen from obs, by signs in the XZ plane; facing the own place means looking along z."""
     fx, fz = facing[0] - obs[0], facing[1] - obs[1]
-    n = F.sqrt(fx * fx + fz * fz)
-    fx, fz = F.when(n < 1e-6, F.lit(0.0)).otherwise(F.try_divide(fx, n)), F.when(n < 1e-6, F.lit(1.0)).otherwise(F.try_divide(fz, n))
+    here = F.sqrt(fx * fx + fz * fz) < 1e-6
+    fx, fz = F.when(here, F.lit(0.0)).otherwise(fx), F.when(here, F.lit(1.0)).otherwise(fz)  # signs need no unit length
     tx, tz = target[0] - obs[0], target[1] - obs[1]
     ahead, right = tx * fx + tz * fz, fx * tz - fz * tx
     word = F.concat(F.when(ahead >= 0, "front").otherwise("behind"), F.lit("-"), F.when(right >= 0, "right").otherwise("left"))

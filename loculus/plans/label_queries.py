@@ -140,7 +140,7 @@ def exact(spark, d):
 REPLIES = ["B", "answer: c", "The thing\nD. right", "I think it is back", "about 12.5", "no idea"]
 
 
-@query("x5_clean_answers", "SELECT event_id, ['B', 'C', 'D', 'C', 'A', 'A'][event_id % 6 + 1] AS answer, ['0', '0', '0', '0', '12.5', '0'][event_id % 6 + 1] AS number FROM events")
+@query("x5_clean_answers", "SELECT event_id, ['B', 'C', 'D', 'C', 'A', 'A'][event_id % 6 + 1] AS answer, ['0', '0', '.', '0', '12.5', '0'][event_id % 6 + 1] AS number FROM events")
 def clean_answers(spark, d):
     e = read(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
     options = F.array(*map(F.lit, ["A. left", "B. right", "C. back"]))
