@@ -15,7 +15,8 @@ from loculus.llm.components import components
 WORDS, KEPT_WORDS, FLUSH = 5, 500_000, 600_000
 #: Elements of a set for each word of a sketch, in bands of large sets and of small ones, where words must not run out.
 ELEMENTS, SMALL = 2.0, 64
-BITS = 512
+BITS = 1024
+LONGS = BITS // 64
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
 
@@ -65,7 +66,7 @@ def key_of(found: np.ndarray) -> tuple[int, int]:
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """512 bits as 8 longs: each element turns one bit. Two sets' sketches differ in no more bits than the sets in elements."""
+    """BITS bits as longs: each element turns one bit. Two sets' sketches differ in no more bits than the sets in elements."""
     return np.packbits((np.bincount((found & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view("<i8")
 
 
@@ -87,7 +88,8 @@ def sketch_words(found: np.ndarray) -> np.ndarray:
     element more or less changes one word, and two sets with d different elements differ in d words at most. A set shows its
     first d + 1 words that aren't empty, d being the most that a partner may differ. Of two partners take the one that stops at the
     earlier part: of its d + 1 words one at least stands in the other's sketch too, in a part that the other shows as well.
-    A set with fewer words shows all; two such sets meet by a common mark.
+    A set with fewer words shows all; two such sets meet by d + 1 common marks. In the same way partners that differ in e elements
+    show min(d) + 1 - e words in common at least.
     """
     n = len(found)
     most = most_different(n)
@@ -104,12 +106,12 @@ def sketch_words(found: np.ndarray) -> np.ndarray:
         words = np.bitwise_xor.reduceat(found[:ends], starts)
         out.append(mix(words + (part[starts] + U(band << 40)) * U(0x9E3779B97F4A7C15)))
         if short:
-            out.append(mix(np.array([(band << 40) + 0xABCDEF], U)))
+            out.append(mix(np.arange(most + 1, dtype=U) + U((band << 40) + 0xABCDEF0000)))
     return np.concatenate(out)
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (elements), k1, k2 (a key of the set), s0 ... s7 (its parity sketch)."""
+    """doc_id, n (elements), k1, k2 (a key of the set), s0, s1, ... (its parity sketch)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -117,15 +119,15 @@ def classes(docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = map(shingles.of, part.column(1).cast(pa.large_binary()).to_pylist())
-                rows = np.array([(len(s), *key_of(s), *parity(s)) for s in sets], np.int64).reshape(part.num_rows, 11)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(rows[:, k]) for k in range(11)]], names=["doc_id", "n", "k1", "k2", *[f"s{k}" for k in range(8)]])
+                rows = np.array([(len(s), *key_of(s), *parity(s)) for s in sets], np.int64).reshape(part.num_rows, 3 + LONGS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(rows[:, k]) for k in range(3 + LONGS)]], names=["doc_id", "n", "k1", "k2", *[f"s{k}" for k in range(LONGS)]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(found, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"s{k} bigint" for k in range(8)))
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(found, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"s{k} bigint" for k in range(LONGS)))
 
 
 def shared_words(docs: DataFrame, elements: int) -> DataFrame:
-    """sig, key, center: sketch words that two keys or more show, with the least key of each; one row at least for each key.
+    """sig, key, center: sketch words that two keys or more show, with the least key of each as its centre; one row at least for each key.
 
     Rows travel as arrays: each task sorts what it has, keeps one key of each word to be dealt by the word, and passes the other
     keys on as they are, so a word that very many texts show is one row a task where words are dealt.
@@ -220,8 +222,13 @@ def shared_words(docs: DataFrame, elements: int) -> DataFrame:
 def may_link(a: str = "a", b: str = "b") -> Column:
     """What both sizes and both parity sketches allow."""
     na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-    apart = sum((F.bit_count(F.col(f"{a}_s{k}").bitwiseXOR(F.col(f"{b}_s{k}"))) for k in range(8)), F.lit(0))
-    return (apart * 7 <= na + nb) & (na * 4 >= nb * 3) & (nb * 4 >= na * 3)
+    apart = sum((F.bit_count(F.col(f"{a}_s{k}").bitwiseXOR(F.col(f"{b}_s{k}"))) for k in range(LONGS)), F.lit(0))
+    return (na * 4 >= nb * 3) & (nb * 4 >= na * 3) & (apart * 7 <= na + nb)
+
+
+def least_common(a: str = "a", b: str = "b") -> Column:
+    """How many words two partners of these sizes show in common at least."""
+    return F.expr(f"(least({a}_n, {b}_n) + least({a}_n, {b}_n) * 4 div 3) div 7 + 1 - ({a}_n + {b}_n) div 7")
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -262,35 +269,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeated, are rows of their own in one component if their texts link. Rows with a null doc_id are compared too; a component of
     such rows alone has a null id. An empty table gives an empty result. Other columns are left behind.
 
-    Every pair that links is found: such pairs show a common sketch word. Each class is checked against the least class of
-    each of its words; where a word's classes then still lie in several components, all its pairs across them that their parity
-    sketches allow are checked too.
+    Every pair that links is found or joined by others: such pairs show a common sketch word. Each class is checked against the
+    centre of each of its words, which in a large group is another class for each word; where a word's classes then still lie in
+    several components, all its pairs across them that their parity sketches and their common words allow are checked too.
     """
     rows = write_table(classes(docs), "shingle-classes")
-    kinds = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(8)])
+    kinds = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(LONGS)])
     kinds = write_table(kinds, "shingle-kinds")
     elements = rows.agg(F.sum("n")).collect()[0][0] or 0
     words = shared_words(docs, int(elements))
     free_shuffles(docs.sparkSession)
     # a class is named by the least doc_id of its rows; classes of rows without doc_id stay by themselves
-    named = kinds.filter("least IS NOT NULL").select("k1", F.col("least").alias("rep"), "n", *[f"s{k}" for k in range(8)])
-    side = lambda c: named.select(F.col("k1").alias(f"{c}_k"), F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(8)])
+    named = kinds.filter("least IS NOT NULL").select("k1", F.col("least").alias("rep"), "n", *[f"s{k}" for k in range(LONGS)])
+    side = lambda c: named.select(F.col("k1").alias(f"{c}_k"), F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
     text = docs.select(F.col("doc_id").alias("_row"), F.col("text").cast("string")).filter("_row IS NOT NULL")
-    pairs = words.filter("key <> center").select("key", "center").distinct()
+    pairs = words.filter("key <> center").groupBy("center", "key").agg(F.count(F.lit(1)).alias("met"))
     pairs = pairs.join(side("a"), F.col("center") == F.col("a_k")).join(side("b"), F.col("key") == F.col("b_k")).filter(may_link() & (F.col("a") != F.col("b")))
+    # where sketches of larger sets tell little, a pair should have met in some words; what this leaves out comes below
+    pairs = pairs.filter(F.col("met") * 4 >= least_common())
     tried = write_table(pairs.select("a", "b").distinct(), "shingle-tried")
     links = linked(tried, named, text)
     found = components(links, "shingle-components")
     # words whose classes lie in several components
-    member = words.select("sig", "key").distinct().join(named, F.col("key") == F.col("k1")).drop("k1", "key")
-    member = member.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    ids = named.select("k1", "rep")
+    member = words.select("sig", "key").distinct().join(ids, F.col("key") == F.col("k1")).select("sig", "rep")
+    member = member.join(found, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+    member = write_table(member, "shingle-members")
     sizes = member.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"))
     split = sizes.groupBy("sig").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("sig", F.col("top.component").alias("top"))
-    member = write_table(member.join(split, "sig"), "shingle-split")
-    as_side = lambda c: member.select("sig", F.col("rep").alias(c), F.col("component").alias(f"{c}_c"), F.col("top").alias(f"{c}_top"), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(8)])
-    less = as_side("a").filter("a_c <> a_top")
-    more = less.join(as_side("b"), "sig").filter((F.col("a_c") != F.col("b_c")) & may_link())
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = write_table(member.join(split, "sig").join(named.drop("k1"), "rep"), "shingle-split")
+    drop_table(member)
+    free_shuffles(docs.sparkSession)
+    as_side = lambda c: open_.select("sig", F.col("rep").alias(c), F.col("component").alias(f"{c}_c"), F.col("top").alias(f"{c}_top"), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
+    # each pair once: where neither is in the word's largest component, in the order of their ids
+    more = as_side("a").filter("a_c <> a_top").join(as_side("b").drop("b_top"), "sig").filter((F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("a_top")) | (F.col("a") < F.col("b"))) & may_link())
+    more = more.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(least_common()).alias("least")).filter("met >= least").select("a", "b")
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = write_table(more.join(known, ["a", "b"], "left_anti"), "shingle-more")
     if not more.isEmpty():
