@@ -110,6 +110,11 @@ def sketch_words(found: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def turn(sig: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Another order of the keys for each word: which of them the others are checked against changes from word to word."""
+    return mix((sig.astype(U) & U((1 << 40) - 1)) ^ key.view(U))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n (elements), k1, k2 (a key of the set), s0, s1, ... (its parity sketch)."""
 
@@ -127,7 +132,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def shared_words(docs: DataFrame, elements: int) -> DataFrame:
-    """sig, key, center: sketch words that two keys or more show, with the least key of each as its centre; one row at least for each key.
+    """sig, key, center: sketch words that two keys or more show, with one key of each as its centre; one row at least for each key.
 
     Rows travel as arrays: each task sorts what it has, keeps one key of each word to be dealt by the word, and passes the other
     keys on as they are, so a word that very many texts show is one row a task where words are dealt.
@@ -141,7 +146,7 @@ def shared_words(docs: DataFrame, elements: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             sig, key = np.concatenate(words), np.repeat(np.array([k for k, _ in keys], np.int64), [n for _, n in keys])
-            order = np.lexsort((key, sig))
+            order = np.lexsort((turn(sig, key), sig))
             sig, key = sig[order], key[order]
             keep = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
             sig, key = sig[keep], key[keep]
@@ -185,7 +190,7 @@ def shared_words(docs: DataFrame, elements: int) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             sig, key = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((key, sig))
+            order = np.lexsort((turn(sig, key), sig))
             sig, key = sig[order], key[order]
             starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             count = np.diff(np.r_[starts, len(sig)])
@@ -286,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = words.filter("key <> center").groupBy("center", "key").agg(F.count(F.lit(1)).alias("met"))
     pairs = pairs.join(side("a"), F.col("center") == F.col("a_k")).join(side("b"), F.col("key") == F.col("b_k")).filter(may_link() & (F.col("a") != F.col("b")))
     # where sketches of larger sets tell little, a pair should have met in some words; what this leaves out comes below
-    pairs = pairs.filter(F.col("met") * 4 >= least_common())
+    pairs = pairs.filter((F.col("a_n") + F.col("b_n") <= 2 * BITS) | (F.col("met") * 4 >= least_common()))
     tried = write_table(pairs.select("a", "b").distinct(), "shingle-tried")
     links = linked(tried, named, text)
     found = components(links, "shingle-components")
