@@ -101,33 +101,38 @@ def first_hits(rays: DataFrame, voxels: DataFrame, size: float, least: float = 0
     return hit.groupBy("ray").agg(F.min("t").alias("t"), F.min_by("label", "t").alias("label"))
 
 
-def components(voxels: DataFrame, least_cosine: float = 0.5, rounds: int = 64) -> DataFrame:
+def components(voxels: DataFrame, least_cosine: float = 0.5) -> DataFrame:
     """scene, vx, vy, vz, component: voxels joined through faces where the colours' cosine is `least_cosine` or more (or a colour has no length).
 
-    A component is named by its least voxel's number in the scene. Each round takes the least name among a voxel and its
-    neighbours, then the name's own name; rounds are written to the checkpoint folder and end when no name changes.
+    A component is named by its least voxel's number in the scene. In each round each voxel goes to the neighbour, or stays, whose
+    hash of the round is least; voxels that meet become one and what is left of the edges shrinks by a share, so rounds grow with
+    the logarithm of a map's size. Rounds are written to the checkpoint folder.
     """
-    spark = voxels.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(voxels.sparkSession)
     number = (F.col("vx").cast("long") + 32768) * (1 << 32) + (F.col("vy").cast("long") + 32768) * (1 << 16) + (F.col("vz") + 32768)
     v = voxels.select(*KEY, "r", "g", "b", number.alias("id"))
     length = lambda p: F.sqrt(F.col(f"{p}r") * F.col(f"{p}r") + F.col(f"{p}g") * F.col(f"{p}g") + F.col(f"{p}b") * F.col(f"{p}b"))
     other = v.select("scene", F.col("id").alias("id2"), *[F.col(c).alias(f"o{c}") for c in "rgb"])
     ahead = v.select("scene", "id", "r", "g", "b", F.explode(F.array(F.lit(1 << 32), F.lit(1 << 16).cast("long"), F.lit(1).cast("long"))).alias("d")).withColumn("id2", F.col("id") + F.col("d")).drop("d")
     close = (F.col("r") * F.col("or") + F.col("g") * F.col("og") + F.col("b") * F.col("ob")) >= least_cosine * length("") * length("o")
-    edges = ahead.join(other, ["scene", "id2"]).filter(close).select("scene", "id", "id2")
-    edges = edges.unionByName(edges.select("scene", F.col("id2").alias("id"), F.col("id").alias("id2"))).checkpoint()
-    names = v.select("scene", "id", F.col("id").alias("name")).checkpoint()
-    for _ in range(rounds):
-        near = edges.join(names.select("scene", F.col("id").alias("id2"), F.col("name").alias("n2")), ["scene", "id2"]).groupBy("scene", "id").agg(F.min("n2").alias("n2"))
-        new = names.join(near, ["scene", "id"], "left").select("scene", "id", F.col("name").alias("was"), F.least("name", "n2").alias("name"))
-        jump = names.select("scene", F.col("id").alias("name"), F.col("name").alias("n3"))
-        new = new.join(jump, ["scene", "name"], "left").select("scene", "id", "was", F.least("name", "n3").alias("name")).checkpoint()
-        changed = not new.filter("name < was").isEmpty()
-        names = new.drop("was")
-        if not changed:
-            break
-    return v.join(names, ["scene", "id"]).select(*KEY, F.col("name").alias("component"))
+    edges = ahead.join(other, ["scene", "id2"]).filter(close).select("scene", F.col("id").alias("a"), F.col("id2").alias("b")).checkpoint()
+    found, k = None, 0
+    while not edges.isEmpty():
+        mark = lambda c: F.struct(F.xxhash64("scene", c, F.lit(k)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        ends = edges.select("scene", F.col("a").alias("id"), mark("b").alias("x")).unionByName(edges.select("scene", F.col("b").alias("id"), mark("a").alias("x")))
+        step = ends.groupBy("scene", "id").agg(F.min("x").alias("x")).select("scene", "id", F.least("x", mark("id"))["to"].alias("to")).checkpoint()
+        if found is None:
+            found = step
+        else:
+            found = found.withColumnRenamed("to", "was").join(step.withColumnRenamed("id", "was"), ["scene", "was"], "left").select("scene", "id", F.coalesce("to", "was").alias("to"))
+        a, b = step.select("scene", F.col("id").alias("a"), F.col("to").alias("ta")), step.select("scene", F.col("id").alias("b"), F.col("to").alias("tb"))
+        edges = edges.join(a, ["scene", "a"]).join(b, ["scene", "b"]).filter("ta <> tb").select("scene", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().checkpoint()
+        k += 1
+    if found is None:
+        return v.select(*KEY, F.col("id").alias("component"))
+    least = found.groupBy("scene", "to").agg(F.min("id").alias("component"))
+    names = found.join(least, ["scene", "to"]).select("scene", "id", "component")
+    return v.join(names, ["scene", "id"], "left").select(*KEY, F.coalesce("component", "id").alias("component"))
 
 
 def component_entities(voxels: DataFrame, parts: DataFrame, size: float, least: int = 10) -> DataFrame:

@@ -13,8 +13,8 @@ from loculus.functions.tables import CHOICE_TASKS, NUMERIC_TASKS, TYPICAL_CM
 from loculus.operators import answers as A
 from loculus.operators import lookup as L
 from loculus.operators import scale as S
-from loculus.plans.belief_queries import scaled
-from loculus.plans.fixtures import ALL_SYNONYMS, d4, rounded, sql_match, with_ctes
+from loculus.operators.beliefs import entity_beliefs
+from loculus.plans.fixtures import ALL_RANGES, ALL_SIZES, ALL_SYNONYMS, cameras, d4, detections, rounded, sql_match, with_ctes
 from loculus.plans.registry import query
 
 OPTIONS = {"easy": ["A. left", "B. right"], "medium": ["A. left", "B. right", "C. back"], "hard": ["A. front-left", "B. front-right", "C. back-left", "D. back-right"]}
@@ -53,7 +53,10 @@ def questions(entities: DataFrame) -> DataFrame:
 
 
 def prepared(spark, d):
-    _, ent, cam, _, scale = scaled(spark, d)
+    """Entities are read many times by a plan of answers, and are few beside the detections: they are kept, and made anew where an executor is lost."""
+    det = detections(spark, d)
+    ent, cam = entity_beliefs(det).persist(), cameras(det)
+    scale = S.scene_scale(ent, S.scene_bounds(ent, cam), ALL_SIZES, ALL_RANGES, ALL_SYNONYMS).persist()
     return ent, cam, scale, questions(ent)
 
 
