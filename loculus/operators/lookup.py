@@ -10,10 +10,14 @@ from loculus.functions.tables import SYNONYMS
 
 
 def all_matches(names: DataFrame, entities: DataFrame, synonyms=SYNONYMS) -> DataFrame:
-    """names: scene, name. Each distinct name with every entity of its scene that it matches. The join is by scene, so it is dealt out by scene and the fuzzy test runs within scenes."""
+    """names: scene, name. Each distinct name with every entity of its scene that it matches.
+
+    The fuzzy test runs once for each distinct name and each label of the detector's vocabulary; what matches is then joined by
+    scene and label, by equality.
+    """
     n = names.select("scene", "name").filter("name IS NOT NULL").distinct()
-    e = entities.select(F.col("scene").alias("_s"), *[c for c in entities.columns if c != "scene"])
-    return n.join(e, (F.col("scene") == F.col("_s")) & matches(F.col("name"), F.col("label"), synonyms)).drop("_s")
+    words = n.select("name").distinct().join(entities.select("label").distinct(), matches(F.col("name"), F.col("label"), synonyms))
+    return n.join(words, "name").join(entities, ["scene", "label"])
 
 
 def first_match(names: DataFrame, entities: DataFrame, columns: list[str], synonyms=SYNONYMS) -> DataFrame:
