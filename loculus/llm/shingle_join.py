@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loculus.llm.common import drop_table, free_shuffles, read_table, shuffle_parts, write_table
 from loculus.llm.components import components
 
-WORDS, KEPT_WORDS, FLUSH = 5, 500_000, 600_000
+WORDS, KEPT_WORDS, FLUSH = 5, 150_000, 300_000
 #: Elements of a set for each word of a sketch, in bands of large sets and of small ones, where words must not run out.
 ELEMENTS, SMALL = 2.0, 64
 BITS = 1024
