@@ -14,7 +14,7 @@ from loculus.llm.common import held_out, labelled, read_table
 #: The sample that is fitted: at most so many confirmed toxic rows and so many unlabelled ones. Scoring covers all rows.
 POSITIVES, UNLABELLED = 4000, 8000
 BITS, PREFIXES = 20, (4, 5, 6)
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&@+=~`^_/\\-–—…«»“”¡¿"
 
 
@@ -75,13 +75,17 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int
     rows = [*pos, *unl]
     if not pos or not unl:
         return weights, -30.0 if not pos else 0.0
-    flat = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(flat, minlength=1 << BITS)
     least = least or min(20, max(3, len(pos) // 80))
-    keep = ((df >= least) & (df <= max(least, most * len(rows))))[flat]
-    flat, row = flat[keep], row[keep]
-    used, col = np.unique(flat, return_inverse=True)
+    chosen = (df >= least) & (df <= max(least, most * len(rows)))
+    used = np.flatnonzero(chosen)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    keep = chosen[flat]
+    col, row = place[flat[keep]], row[keep]
+    del flat, keep
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     is_pos = np.arange(len(rows)) < len(pos)
