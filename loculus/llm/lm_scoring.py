@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import read_table, shuffle_parts
+from loculus.llm.common import read_table, shuffle_parts, write_table
 from loculus.llm.tokens import plain_strings
 
 #: The shared vocabulary's words, the hashed table of word pairs, and the weight of single words in the mixture.
@@ -78,6 +78,14 @@ def vocabulary_of(docs: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
             yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     words = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = write_table(words, "lm-words")
+    # the least of the 16th parts of a power of two that the vocabulary reaches down to: below it no task sorts or sends words
+    level, left = F.floor(F.log2("n") * 16), most - 2
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
+        least, left = r["level"], left - r["count"]
+        if left <= 0:
+            words = words.filter(level >= least)
+            break
     top = words.orderBy(F.desc("n"), "word").limit(most - 2).collect()
     return {r["word"]: k for k, r in enumerate(top, 2)}
 
