@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loculus.llm.common import drop_table, read_table, shuffle_parts, write_table
 from loculus.llm.tokens import tokenizer_path, word_ids
 
-END, BLOCK_IDS = 1, 1 << 18
+END, BLOCK_IDS, WORDS = 1, 1 << 18, 800_000
 #: Of each control byte, the lengths of its four codes.
 LENGTHS = np.stack([(np.arange(256) >> 2 * k & 3) + 1 for k in range(4)], 1).astype(np.uint8)
 
@@ -53,7 +53,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     kind = id_type(tokenizer, end)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = word_ids(tokenizer), np.array([end], kind).tobytes()
+        words, last = word_ids(tokenizer, WORDS), np.array([end], kind).tobytes()
         for b in batches:
             for part in (b.slice(at, 1024) for at in range(0, b.num_rows, 1024)):
                 flat, bounds = words.encode_many(part.column(1))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS = 800_000
+KEPT_WORDS = 400_000
 #: Signs that are a piece of their own where they follow or, but for the apostrophe, precede a letter or digit.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FRONT = SIGNS.replace("'", "")
@@ -37,10 +37,10 @@ class WordIds:
     encoded at once, and a piece's last id, which stands for an end of word, parts them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -113,7 +113,7 @@ class WordIds:
             found = self.learn([kinds[i] for i in holes])
             for i in holes:
                 got[i] = found[kinds[i]]
-            if len(self.new) >= KEPT_WORDS // 2:
+            if len(self.new) >= self.kept // 2:
                 self.old, self.new = self.new, {b"": b""}
         ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)
         ragged = pa.LargeListArray.from_arrays(pa.array(np.r_[0, ends]), pa.array(np.frombuffer(b"".join(got), "<u4")))
@@ -127,11 +127,11 @@ class WordIds:
         return self.encode_many(pa.array([text], pa.string()))[0].tolist()
 
 
-_KNOWN: dict[str, WordIds] = {}
+_KNOWN: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, kept: int = KEPT_WORDS) -> WordIds:
     """One for each file in a process: a Python worker runs many tasks, and its words serve all of them."""
-    if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
-    return _KNOWN[path]
+    if (path, kept) not in _KNOWN:
+        _KNOWN[path, kept] = WordIds(path, kept)
+    return _KNOWN[path, kept]
