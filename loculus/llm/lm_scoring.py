@@ -11,14 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import read_table, shuffle_parts, write_table
+from loculus.llm.common import drop_table, read_table, shuffle_parts, write_table
 from loculus.llm.tokens import plain_strings
 
-#: The shared vocabulary's words, the hashed table of word pairs, and the weight of single words in the mixture.
+#: For models of fixed size alone, the vocabulary's words and the hashed table of word pairs; and the weight of single words in the mixture.
 VOCABULARY, PAIRS, SINGLE = 32_768, 1 << 20, 0.4
 CHUNK = 4096
 EDGE, UNKNOWN = 0, 1
 BROADCAST_ROWS = 1_000_000
+#: A key with over 1 / HOT of all tokens is dealt over SALTS tasks; at most HOT keys have so many.
+HOT, SALTS = 4096, 64
 
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -150,19 +152,89 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, loss_target double, loss_background double, score double")
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, slots: int = PAIRS) -> DataFrame:
+def distinct_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each text's distinct word pairs: the text's index, how often it has the pair, and the pair as 'before word', where an edge is the empty word."""
+    words, counts = split_words(texts)
+    names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([""], pa.string())])
+    row, edge = np.repeat(np.arange(len(counts)), counts + 1), len(names) - 1
+    out = np.full(len(row), edge, np.int64)
+    inner = np.ones(len(row), bool)
+    inner[np.cumsum(counts + 1) - 1] = False
+    out[inner] = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64)
+    codes, pair = np.unique(np.r_[edge, out[:-1]][: len(out)] * len(names) + out, return_inverse=True)
+    both, n = np.unique(row * max(1, len(codes)) + pair, return_counts=True)
+    text, at = np.divmod(both, max(1, len(codes)))
+    before, word = np.divmod(codes, len(names))
+    return text, n, pc.binary_join_element_wise(names.take(pa.array(before)), names.take(pa.array(word)), " ").take(pa.array(at))
+
+
+def _salted(rows: DataFrame, table: DataFrame, key: str, total: int, spread: str) -> DataFrame:
+    """rows with the columns of table, which has each key once, and in n how many tokens it has; rows of a frequent key are dealt by the column spread too."""
+    hot = F.col("n") * HOT > total
+    often = F.broadcast(table.filter(hot).select(F.col(key).alias("_hot")))
+    left = rows.join(often, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    right = table.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def exact_scores(docs: DataFrame, marked: DataFrame, single: float = SINGLE) -> DataFrame:
+    """As score(docs, train(marked, ...)), with all words and word pairs counted as they are: no unknown word, and no table of fixed size.
+
+    Both models are tables that grow with the corpus. Pairs are counted with partial sums, get their losses from the counts of
+    their two words, and meet the pairs of each text in a join.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, n, pairs = distinct_pairs(b.column(0))
+            group = b.column(1).to_numpy(zero_copy_only=False)[text]
+            pairs = pairs.dictionary_encode()
+            at, size = pairs.indices.to_numpy(zero_copy_only=False), len(pairs.dictionary)
+            sums = [np.bincount(at, n * own, size).astype(np.int64) for own in (group, ~group)]
+            yield pa.RecordBatch.from_arrays([pairs.dictionary, *map(pa.array, sums)], names=["pair", "t", "g"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        begin = TaskContext.get().partitionId() << 40
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            text, n, pairs = distinct_pairs(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(begin + text), pa.array(n), pairs], names=["doc_id", "row", "k", "pair"])
+            begin += b.num_rows
+
+    pairs = marked.mapInArrow(count, "pair string, t bigint, g bigint").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
+    pairs = write_table(pairs, "lm-pairs")
+    word, before = F.substring_index("pair", " ", -1), F.substring_index("pair", " ", 1)
+    # an edge comes before as often as it comes last, so the counts of words after others are those of words before others too
+    words = write_table(pairs.groupBy(word.alias("word")).agg(F.sum("t").alias("wt"), F.sum("g").alias("wg")), "lm-words")
+    all_t, all_g, size = words.agg(F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wg"), F.lit(0)), F.count(F.lit(1))).first()
+    words, total = words.withColumn("n", F.col("wt") + F.col("wg")), all_t + all_g
+    earlier = words.select(F.col("word").alias("before"), F.col("wt").alias("bt"), F.col("wg").alias("bg"), "n")
+    p = _salted(_salted(pairs.withColumns({"word": word, "before": before}), words, "word", total, "pair"), earlier, "before", total, "pair")
+    loss = lambda k, n: -F.log(single * (F.col(f"w{k}") + 1) / float(n + size) + (1 - single) * F.col(k) / F.greatest(F.lit(1), F.col(f"b{k}")))
+    losses = write_table(p.select("pair", loss("t", all_t).alias("lt"), loss("g", all_g).alias("lg"), (F.col("t") + F.col("g")).alias("n")), "lm-losses")
+    drop_table(pairs)
+    own = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(spread, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, k bigint, pair string")
+    sums = _salted(own, losses, "pair", total, "row").groupBy("row", "doc_id").agg(F.sum("k").alias("n_tokens"), *[(F.sum(F.col("k") * F.col(c)) / F.sum("k")).alias(name) for c, name in (("lt", "loss_target"), ("lg", "loss_background"))])
+    return sums.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int | None = None, slots: int | None = None) -> DataFrame:
     """Scores every row of docs: doc_id, n_tokens, loss_target, loss_background, score (their difference; lower: more like the target).
 
     target: the doc_ids whose rows train the target model; all other rows train the background model. Both are bigram
-    models mixed with single words, of one form and over one vocabulary, the words most frequent in all rows; other words are one
-    unknown word. Counts cover all rows. Losses are means over a text's words and its end, so null and empty texts have one token
+    models mixed with single words, of one form and over one vocabulary: all words of all rows, and all pairs of them, counted
+    exactly. With vocabulary or slots the models have a fixed size instead: the words most frequent in all rows, others being one
+    unknown word, and a hashed table of pairs. Counts cover all rows. Losses are means over a text's words and its end, so null and empty texts have one token
     and a score too. Rows with one doc_id, or repeated, each count and each get a score; a row without doc_id is background.
     Without target rows that model knows single words evenly. An empty table gives an empty result. Other columns are left behind.
     """
     ids = target.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
     few = ids.count() <= BROADCAST_ROWS
     marked = docs.select("doc_id", F.col("text").cast("string")).join((F.broadcast(ids) if few else ids).withColumn("_is", F.lit(True)), F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_is", F.lit(False)).alias("target"))
-    return score(docs, train(marked, vocabulary_of(docs, vocabulary), slots))
+    if vocabulary is None and slots is None:
+        return exact_scores(docs, marked)
+    return score(docs, train(marked, vocabulary_of(docs, vocabulary or VOCABULARY), slots or PAIRS))
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

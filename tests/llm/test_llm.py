@@ -382,6 +382,32 @@ def test_lm_scoring(spark):
     assert lm_scoring.cross_entropy_difference(empty(spark), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_lm_scoring_counts_all(spark):
+    """Against plain counts: more words than the fixed vocabulary has, each of them and each pair by itself."""
+    rare = [(1000 + k, " ".join(f"z{k}x{j}" for j in range(3500)), "en", "a", 0) for k in range(10)]
+    rows = odd_docs(12, 30) + rare + [(1000, "z0x0 z0x1", "en", "a", 0), (None, "z0x0 z0x1", "en", "a", 0)]
+    good = {i for i, *_ in rows if i is not None and i % 2 == 0}
+    got = lm_scoring.cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
+    one, two, coded = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], []
+    for i, t, *_ in rows:
+        ids = [w.decode() for w in words("".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")))] + [""]
+        coded.append((i, list(zip(["", *ids[:-1]], ids))))
+        for a, b in coded[-1][1]:
+            one[0 if i in good else 1][b] += 1
+            two[0 if i in good else 1][a, b] += 1
+    size = len(set(one[0]) | set(one[1]))
+    assert size > lm_scoring.VOCABULARY
+    want = []
+    for i, pairs in coded:
+        total = [sum(one[k].values()) + size for k in (0, 1)]
+        loss = [np.mean([-math.log(0.4 * (one[k][b] + 1) / total[k] + 0.6 * two[k][a, b] / max(1, one[k][a])) for a, b in pairs]) for k in (0, 1)]
+        want.append((-1 if i is None else i, len(pairs), *loss, loss[0] - loss[1]))
+    have = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"], r["score"]) for r in got]
+    assert len(have) == len(want)
+    for x, y in zip(sorted(have), sorted(want)):
+        assert x == pytest.approx(y)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
