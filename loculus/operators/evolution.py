@@ -107,24 +107,25 @@ def belief_rounds(questions: DataFrame, det: DataFrame, looks: DataFrame, rounds
 
     questions: qid, scene, names. looks: qid, round (0: at the whole), answer, conf. A question ends when its look agrees with the
     first one at a mean confidence of 0.6 or more, when two looks after each other agree, or when its frames stay the same;
-    else its scene's noisiest detections go for it and its frames are chosen anew. A question's refinements are its own, so
-    detections carry the qid. What is left undecided is decided by vote.
+    else its scene's noisiest detections go for it and its frames are chosen anew. A question's refinements are its own; but what
+    goes in a round depends on the scene and the round alone, so all questions that a scene still has share one state of it, and
+    no detection is copied. What is left undecided is decided by vote.
     """
     from loculus.functions.tables import SYNONYMS
     from loculus.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(det.sparkSession)
     synonyms = SYNONYMS if synonyms is None else synonyms
-    q = questions.select("qid", "scene", "names")
-    # each question's own copy of its scene: a "scene" of its own
-    own = det.withColumnRenamed("scene", "_s").join(q.select("qid", F.col("scene").alias("_s")), "_s").drop("_s").withColumnRenamed("qid", "scene")
-    q = q.select("qid", F.col("qid").alias("scene"), "names")
+    # each is read several times a round: without a cut the plans outgrow the driver
+    q, own = questions.select("qid", "scene", "names").checkpoint(), det.checkpoint()
+    looks = looks.select("qid", "round", "answer", "conf").checkpoint()
     first = looks.filter("round = 0").select("qid", F.col("answer").alias("a0"), F.col("conf").alias("c0"))
     state = q.join(first, "qid", "left").select("qid", "a0", "c0", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("final"), F.lit(None).cast("string").alias("converged"), F.lit(0).alias("n"), F.lit(None).cast("array<int>").alias("frames"))
     for k in range(1, rounds + 1):
         active = state.filter("final IS NULL AND converged IS NULL").select("qid")
-        ent = entity_beliefs(own.join(active.select(F.col("qid").alias("scene")), "scene", "left_semi"))
-        frames = name_frames(q.join(active, "qid", "left_semi"), ent, synonyms)
+        asked = q.join(active, "qid", "left_semi")
+        ent = entity_beliefs(own.join(asked.select("scene").distinct(), "scene", "left_semi")).checkpoint()
+        frames = name_frames(asked, ent, synonyms)
         seen = state.filter("frames IS NOT NULL").select("qid", F.explode("frames").alias("frame"))
         now = scored_frames(frames, seen).groupBy("qid").agg(F.sort_array(F.collect_list(F.col("frame").cast("int"))).alias("now"))
         look = looks.filter(F.col("round") == k).select("qid", "answer", "conf")

@@ -200,7 +200,6 @@ def looks(q, rounds: int = 3):
 @query("e7_belief_rounds")
 def belief_rounds(spark, d):
     _, q = triples(spark, d)
-    q = q.filter(F.split_part("qid", F.lit("-"), F.lit(2)) == "1")
     return E.belief_rounds(q, detections(spark, d), looks(q), 3, ALL_SYNONYMS)
 
 

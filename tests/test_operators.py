@@ -15,11 +15,15 @@ from loculus.functions import models
 from loculus.functions import questions as Q
 from loculus.functions.geometry import largest_eigenvalue, mahalanobis, sector
 from loculus.functions.names import matches, singulars
+from loculus.operators import evolution as E
 from loculus.operators.answers import route
 from loculus.operators.tracking import Tracks, assign, track
 from loculus.operators.voxels import components
+from loculus.plans import process_queries
+from loculus.plans.fixtures import ALL_SYNONYMS, detections
 from loculus.sources import clouds, results, settings
 from loculus.streaming import stateful
+from tests.conftest import SMALL
 
 
 def one(spark, *columns):
@@ -189,3 +193,25 @@ def test_event_windows(spark, tmp_path):
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))
     assert drain(spark, stateful.windowed_counts(stream), "windows", "append").count() > 0
     assert drain(spark, stateful.sessions(stream), "sessions", "append").count() > 0
+
+
+def test_belief_rounds_by_hand(spark):
+    """A sure agreement ends in round 1; two labels seen once keep their frames, so the other ends in round 2 and is voted on."""
+    kind = "scene int, label string, frame_order int, frame_idx int, confidence double, depth_std double, position_uncertainty double, x double, y double, z double, width_3d double, height_3d double, depth_value double, det_ord int"
+    det = spark.createDataFrame([(1, "bed", 0, 0, 0.9, 0.1, 0.1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1), (1, "lamp", 1, 30, 0.9, 0.1, 0.1, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2)], kind)
+    q = spark.createDataFrame([("1-1", 1, ["bed", "lamp"]), ("1-2", 1, ["lamp", "bed"])], "qid string, scene int, names array<string>")
+    looks = spark.createDataFrame([("1-1", 0, "C", 0.6), ("1-1", 1, "C", 0.7), ("1-2", 0, "A", 0.4), ("1-2", 1, "B", 0.9), ("1-2", 2, "D", 0.9)], "qid string, round int, answer string, conf double")
+    got = {r["qid"]: (r["answer"], r["converged"], r["rounds"]) for r in E.belief_rounds(q, det, looks).collect()}
+    assert got == {"1-1": ("C", "global_consensus_confident", 1), "1-2": ("B", "no_new_frames", 1)}  # votes 3 x 0.4 and 2 x 0.9
+
+
+def test_belief_rounds_of_all_questions(spark):
+    """Every question gets its rounds, with the answer it gets in a copy of its scene of its own."""
+    _, q = process_queries.triples(spark, SMALL)
+    got = {r["qid"]: tuple(r) for r in process_queries.belief_rounds(spark, SMALL).collect()}
+    assert set(got) == {r["qid"] for r in q.select("qid").collect()}
+    few = q.filter(F.crc32(F.col("qid").cast("binary")) % 20 == 0).localCheckpoint()
+    copies = detections(spark, SMALL).join(few.select("scene", "qid"), "scene").drop("scene").withColumnRenamed("qid", "scene")
+    alone = E.belief_rounds(few.select("qid", F.col("qid").alias("scene"), "names"), copies, process_queries.looks(few), 3, ALL_SYNONYMS).collect()
+    assert len(alone) > 5 and len({r["rounds"] for r in alone}) > 1
+    assert all(got[r["qid"]] == tuple(r) for r in alone)
