@@ -19,11 +19,12 @@ from loculus.operators import evolution as E
 from loculus.operators.answers import route
 from loculus.operators.tracking import Tracks, assign, track
 from loculus.operators.voxels import components
-from loculus.plans import process_queries
-from loculus.plans.fixtures import ALL_SYNONYMS, detections
+from loculus.operators.beliefs import entity_beliefs
+from loculus.plans import catalog, process_queries
+from loculus.plans.fixtures import ALL_SYNONYMS, cameras, detections
 from loculus.sources import clouds, results, settings
 from loculus.streaming import stateful
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same_rows
 
 
 def one(spark, *columns):
@@ -168,7 +169,7 @@ def drain(spark, stream, name, mode="update"):
 def test_streams(spark, tmp_path):
     from loculus.operators.tracking import track
     from loculus.plans.fixtures import detections
-    from tests.conftest import SMALL
+    from tests.conftest import SMALL, same_rows
 
     det = detections(spark, SMALL).filter("scene <= 2 AND frame_order < 4")
     det.repartition(3).write.parquet(str(tmp_path / "det"))
@@ -186,7 +187,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_event_windows(spark, tmp_path):
-    from tests.conftest import SMALL
+    from tests.conftest import SMALL, same_rows
 
     e = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.write.parquet(str(tmp_path / "e"))
@@ -215,3 +216,46 @@ def test_belief_rounds_of_all_questions(spark):
     alone = E.belief_rounds(few.select("qid", F.col("qid").alias("scene"), "names"), copies, process_queries.looks(few), 3, ALL_SYNONYMS).collect()
     assert len(alone) > 5 and len({r["rounds"] for r in alone}) > 1
     assert all(got[r["qid"]] == tuple(r) for r in alone)
+
+
+@pytest.mark.parametrize("name", ["j14_ray_visibility", "j17_occluded", "j18_box_hits", "p22_projection"])
+def test_views_of_all_frames(spark, name):
+    """Every frame's camera gives rows; those of frame 0 are the ones that have SQL."""
+    every = catalog.QUERIES[f"{name}_frames"](spark, SMALL).toPandas()
+    assert set(every["frame_order"]) == set(range(7))
+    first = catalog.QUERIES[name](spark, SMALL).toPandas()
+    same_rows(every[every["frame_order"] == 0][list(first.columns)], first)
+
+
+def test_projection_and_box_hits_of_later_frames(spark):
+    """Against plain loops over every camera and entity of two scenes."""
+    det = detections(spark, SMALL).filter("scene < 2")
+    ent = entity_beliefs(det).toPandas()
+    cams = cameras(det).toPandas()
+    want, hits = {}, {}
+    for c in cams.itertuples():
+        here = ent[ent["scene"] == c.scene]
+        for e in here.itertuples():
+            d = np.array([e.mx - c.cx, e.my - c.cy, e.mz - c.cz])
+            n = np.sqrt((d * d).sum())
+            if d[2] >= 0 and n >= 0.1:
+                want[c.scene, c.frame_order, e.label] = (500 * d[0] / n + 320, 500 * d[1] / n + 240)
+            for b in here.itertuples():
+                lo = (np.array([b.mx - b.w3 / 2, b.my - b.h3 / 2, b.mz - 0.15]) - [c.cx, c.cy, c.cz]) / d
+                hi = (np.array([b.mx + b.w3 / 2, b.my + b.h3 / 2, b.mz + 0.15]) - [c.cx, c.cy, c.cz]) / d
+                t0, t1 = np.minimum(lo, hi).max(), np.maximum(lo, hi).min()
+                if t0 <= t1 and t1 >= 0:
+                    k = c.scene, c.frame_order, e.label
+                    hits[k] = min(hits.get(k, np.inf), max(t0, 0.0))
+    for r in catalog.QUERIES["p22_projection_frames"](spark, SMALL).filter("scene < 2").collect():
+        assert (r["u"], r["v"]) == pytest.approx(want.pop((r["scene"], r["frame_order"], r["label"])), abs=1e-4)
+    for r in catalog.QUERIES["j18_box_hits_frames"](spark, SMALL).filter("scene < 2").collect():
+        assert r["t"] == pytest.approx(hits.pop((r["scene"], r["frame_order"], r["from_label"])), abs=1e-4)
+    assert not want and not hits
+
+
+def test_labels_by_boxes_of_all_frames(spark):
+    """Each thing that a frame's camera sees gets a label from that frame's own boxes."""
+    got = {(r["scene"], r["frame"], r["thing"]) for r in catalog.QUERIES["j10_labels_by_boxes"](spark, SMALL).collect()}
+    seen = {(r["scene"], r["frame_order"], r["label"]) for r in catalog.QUERIES["p22_projection_frames"](spark, SMALL).collect()}
+    assert got == seen and {f for _, f, _ in got} == set(range(7))
