@@ -421,3 +421,50 @@ def test_pipeline(spark):
     assert all(a >= b > 0 for a, b in seen[:3])
     packed = corpus_pipeline.run(spark, SMALL)
     assert packed.count() >= seen[-1][1]
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage's rows from scores, all pairs of shingle sets, what the mix takes of each row, and the tokenizer's own ids."""
+    import corpus_pipeline
+
+    docs, labels, seen = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = seen[name] = corpus_pipeline.write_table(stage(spark, docs, SMALL), f"brute-{name}")
+        ids = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+        if name == "toxicity":
+            assert ids == sorted(r["doc_id"] for r in toxicity.toxic_scores(before, labels).collect() if r["score"] < 0.5)
+        if name == "quality":
+            assert ids == sorted(r["doc_id"] for r in quality.quality_scores(before, labels).collect() if r["score"] >= 0.3)
+        if name == "near_duplicates":
+            sets, up = {}, {}
+            for r in before.collect():
+                w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in (r["text"] or "")))
+                sets[r["doc_id"]], up[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), r["doc_id"]
+            order = sorted(sets)
+
+            def top(i):
+                while up[i] != i:
+                    i = up[i]
+                return i
+
+            for k, a in enumerate(order):
+                for b in order[k + 1 :]:
+                    common = len(sets[a] & sets[b])
+                    if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                        low, high = sorted((top(a), top(b)))
+                        up[high] = low
+            assert ids == [i for i in order if top(i) == i]
+    text = {r["doc_id"]: words(r["text"]) for r in seen["near_duplicates"].collect()}
+    want = []
+    for r in mixing.mix(seen["near_duplicates"]).collect():
+        own = text[r["doc_id"]]
+        whole, rest = divmod(r["taken"], len(own)) if own else (0, 0)
+        want += [(r["doc_id"], tuple(own))] * whole + ([(r["doc_id"], tuple(own[:rest]))] if rest else [])
+    rows = docs.collect()
+    assert sorted(want) == sorted((r["doc_id"], tuple(words(r["text"]))) for r in rows)
+    w, pieces = word_ids(tokenizer_path()), []
+    for r in rows:
+        ids = [*w.tokenizer.encode(r["text"], add_special_tokens=False).ids, 0]
+        pieces += [(r["doc_id"], at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for at in range(0, len(ids), 2048)]
+    assert sorted(pieces) == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SMALL).collect())
