@@ -18,9 +18,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="loculus-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -31,6 +33,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that repartition(n, ...) deals to n different partitions, so that tasks numbered by them have one each."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    found = {r["at"]: r["id"] for r in spark.range(0, 24 * n + 64, 1, 1 + n // 4096).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()}
+    return [found.get(k, k) for k in range(n)]
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df written as Parquet in the shared folder and read again. Lost executors lose none of it."""
     spark = df.sparkSession

@@ -1,9 +1,17 @@
-"""Cross-entropy difference: how much likelier each document is under a target model than under a background model."""
+"""Cross-entropy difference: how much likelier each document is under a target model than under a background model.
+
+Both are bigram models over one vocabulary, all words of all documents and the end of a text. A word's probability after another
+is (pair + SMOOTH * single) / (before + SMOOTH): the counts of the pair and of the word before, and the word's own probability
+(count + 1) / (all + vocabulary). So the probabilities after any word sum to 1, and losses are cross-entropies.
+
+Counts are exact and grow with the corpus; nothing of a fixed size stands for them. Texts become chunks of coded words. Each
+chunk sends its distinct words and pairs once, as sorted 64-bit hashes with their counts, to the bucket of their hashes' range;
+a bucket adds the counts up and returns to each chunk the sums of what it sent, in the same order, so hashes travel one way only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import drop_table, read_table, shuffle_parts, write_table
+from loculus.llm.common import arrow_type, drop_table, even_keys, read_table, shuffle_parts, write_table
 from loculus.llm.tokens import plain_strings
 
-#: For models of fixed size alone, the vocabulary's words and the hashed table of word pairs; and the weight of single words in the mixture.
-VOCABULARY, PAIRS, SINGLE = 32_768, 1 << 20, 0.4
-CHUNK = 4096
-EDGE, UNKNOWN = 0, 1
+#: Words of a chunk, more only where a text alone has them; words and pairs of a bucket as sent, about; the weight of single words, in counts.
+CHUNK_WORDS, BUCKET_ITEMS, SMOOTH = 1 << 22, 1 << 21, 4.0
 BROADCAST_ROWS = 1_000_000
-#: A key with over 1 / HOT of all tokens is dealt over SALTS tasks; at most HOT keys have so many.
-HOT, SALTS = 4096, 64
+U = np.uint64
+EDGE = U(0x9E3779B97F4A7C15)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -34,207 +40,256 @@ def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return flat.filter(pa.array(real)).dictionary_encode(), np.diff(sums[at])
 
 
-def coded(texts: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text as word numbers with an edge after it: (word before, word, text's index), an edge standing before the first."""
-    words, counts = split_words(texts)
-    codes = np.array([vocabulary.get(w, UNKNOWN) for w in words.dictionary.to_pylist()], np.int64)
-    ids = codes[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(counts)), counts + 1)
-    out = np.full(len(row), EDGE, np.int64)
-    last = np.cumsum(counts + 1) - 1
-    out[np.setdiff1d(np.arange(len(row)), last, assume_unique=True)] = ids
-    before = np.r_[EDGE, out[:-1]]
-    return before, out, row
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = before * U(0xBF58476D1CE4E5B9) + (word ^ (word >> U(29))) * U(0x94D049BB133111EB)
+    x = (x ^ (x >> U(30))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
 
 
-def pair_slot(before: np.ndarray, word: np.ndarray, slots: int) -> np.ndarray:
-    x = (before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % slots
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned integers byte by byte of their value, low bytes of all first, so that what is small packs well."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-@dataclass
-class Models:
-    """Counts of both models over one vocabulary: words (2 x vocabulary) and hashed pairs (2 x slots), target first."""
+def unplanes(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        parts = np.frombuffer(data, np.uint8).reshape(-1, n)
+        wide[:, : len(parts)] = parts.T
+    return wide.view("<u8").ravel().astype(np.int64)
 
-    vocabulary: dict[str, int]
-    words: np.ndarray
-    pairs: np.ndarray
-    single: float = SINGLE
 
-    def losses(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """-log p of each word after the one before it, for both models: 2 x n."""
-        slot = pair_slot(before, word, self.pairs.shape[1])
-        one = (self.words[:, word] + 1) / (self.words.sum(1, keepdims=True) + self.words.shape[1])
-        # an edge comes before as often as it comes last; hashed counts can exceed the word's own
-        two = np.minimum(1.0, self.pairs[:, slot] / np.maximum(1, self.words[:, before]))
-        return -np.log(self.single * one + (1 - self.single) * two)
+def sorted_bytes(h: np.ndarray) -> bytes:
+    """Ascending hashes as their steps, each in as many bytes as the largest needs: all 64 bits, in less."""
+    step = np.diff(h, prepend=U(0))
+    width = max(1, -(-int(step.max(initial=0)).bit_length() // 8))
+    return step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def vocabulary_of(docs: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of all documents, numbered from 2 by falling count, then by word; at most `most` reach the driver."""
+def sorted_from(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        wide[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=U)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, _ = split_words(b.column(0))
-            n = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary)) if len(words) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    words = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = write_table(words, "lm-words")
-    # the least of the 16th parts of a power of two that the vocabulary reaches down to: below it no task sorts or sends words
-    level, left = F.floor(F.log2("n") * 16), most - 2
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
-        least, left = r["level"], left - r["count"]
-        if left <= 0:
-            words = words.filter(level >= least)
-            break
-    top = words.orderBy(F.desc("n"), "word").limit(most - 2).collect()
-    return {r["word"]: k for k, r in enumerate(top, 2)}
-
-
-def train(docs: DataFrame, vocabulary: dict[str, int], slots: int = PAIRS, single: float = SINGLE) -> Models:
-    """docs: text, target (boolean). Counts over all of them: the target rows' in the first model, the others' in the second.
-
-    A task adds its counts up in tables of fixed size, which travel in chunks; each chunk's sums are made apart.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = -(-(max(vocabulary.values(), default=1) + 1) // CHUNK) * CHUNK
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size + slots), np.int64)
+def coded(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, target) as chunks, a row each: part and chunk, doc_ids, whose they are, words a text, the words' hashes by falling count, and each text's words as numbers of these; sizes."""
+    kind = docs.schema["doc_id"].dataType
+    names = ["part", "chunk", "doc_ids", "target", "counts", "hashes", "codes", "n_words", "all_t", "all_g"]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        from pyspark import TaskContext
+
+        part, number, kept, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def close() -> pa.RecordBatch:
+            ids, target, counts = (pa.concat_arrays([x[k] for x in kept]) for k in (0, 1, 2))
+            words = pa.chunked_array([x[3] for x in kept]).unify_dictionaries()
+            names_ = words.chunk(0).dictionary
+            codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in words.chunks]).astype(np.int64)
+            often = np.bincount(codes, minlength=len(names_))
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names_.to_pylist()), U, len(names_))[order]
+            counts = counts.to_numpy(zero_copy_only=False)
+            target = target.to_numpy(zero_copy_only=False)
+            row = [part, part << 32 | number, None, np.packbits(target).tobytes(), planes(counts), hashes.tobytes(), planes(rank[codes]), len(codes), int((counts + 1)[target].sum()), int((counts + 1)[~target].sum())]
+            types = [pa.int64(), pa.int64(), None, *[pa.binary()] * 4, *[pa.int64()] * 3]
+            columns = [pa.array([x], t) if k != 2 else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) for k, (x, t) in enumerate(zip(row, types))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            words, counts = split_words(b.column(1))
+            if kept and size + len(words) > CHUNK_WORDS:
+                yield close()
+                number, kept, size = number + 1, [], 0
+            kept.append((b.column(0), b.column(2), pa.array(counts, pa.int64()), words))
+            size += len(words)
+        if kept:
+            yield close()
+
+    schema = f"part bigint, chunk bigint, doc_ids array<{kind.simpleString()}>, target binary, counts binary, hashes binary, codes binary, n_words bigint, all_t bigint, all_g bigint"
+    return docs.select("doc_id", F.col("text").cast("string"), "target").mapInArrow(code, schema)
+
+
+class Chunk:
+    """What a chunk's row says: the pairs of its texts' words, an edge standing before the first and after the last, and its distinct words and pairs in the order of their hashes."""
+
+    def __init__(self, target: bytes, counts: bytes, hashes: bytes, codes: bytes, n_docs: int, n_words: int):
+        counts = unplanes(counts, n_docs)
+        target = np.unpackbits(np.frombuffer(target, np.uint8), count=n_docs).astype(bool)
+        self.hashes = np.r_[np.frombuffer(hashes, U), EDGE]
+        edge = len(self.hashes) - 1
+        self.row = np.repeat(np.arange(n_docs), counts + 1)
+        self.word = np.full(len(self.row), edge, np.int64)
+        inner = np.ones(len(self.row), bool)
+        inner[np.cumsum(counts + 1) - 1] = False
+        self.word[inner] = unplanes(codes, n_words)
+        before = np.r_[edge, self.word[:-1]]
+        self.n_docs, self.n = n_docs, counts + 1
+        self.group = target[self.row]
+        self.pair = before * len(self.hashes) + self.word
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words by their hashes: their codes, and their counts in target and background."""
+        n = len(self.hashes)
+        return np.argsort(self.hashes, kind="stable"), np.bincount(self.word[self.group], minlength=n), np.bincount(self.word[~self.group], minlength=n)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs by their hashes: hashes, codes, and counts in target and background."""
+        x = np.sort(self.pair * 2 + self.group)
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        n = np.diff(np.r_[starts, len(x)])
+        x = x[starts]
+        first = np.r_[True, x[1:] >> 1 != x[:-1] >> 1]
+        at = np.cumsum(first) - 1
+        codes = x[first] >> 1
+        t, g = (np.bincount(at, n * own, len(codes)).astype(np.int64) for own in (x & 1, 1 - (x & 1)))
+        h = pair_hash(self.hashes[codes // len(self.hashes)], self.hashes[codes % len(self.hashes)])
+        order = np.argsort(h, kind="stable")
+        return h[order], codes[order], t[order], g[order]
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def summed(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket the counts over all documents of what the chunk has there: words first, then pairs; distinct: the words of the bucket, on one row of it."""
+    keys = chunks.sparkSession.sparkContext.broadcast(even_keys(chunks.sparkSession, buckets))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            before, word, row = coded(b.column(0), shared.value)
-            group = np.where(b.column(1).to_numpy(zero_copy_only=False), 0, 1)[row]
-            for k in (0, 1):
-                own = group == k
-                total[k, :size] += np.bincount(word[own], minlength=size)
-                total[k, size:] += np.bincount(pair_slot(before[own], word[own], slots), minlength=slots)
-        chunks = total.reshape(2, -1, CHUNK).transpose(1, 0, 2)
-        small = chunks.astype(np.uint32) if chunks.max(initial=0) < 1 << 32 else chunks
-        for at in range(0, len(small), 64):
-            part = small[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array([x.tobytes() for x in part], pa.binary())], names=["chunk", "counts"])
+            for k in range(b.num_rows):
+                part, chunk, n_docs, target, counts, hashes, codes, n_words = (b.column(i)[k].as_py() for i in range(8))
+                c = Chunk(target, counts, hashes, codes, n_docs, n_words)
+                order, wt, wg = c.words()
+                h, _, t, g = c.pairs()
+                wh = c.hashes[order]
+                cuts, pcuts = (np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (wh, h))
+                wt, wg = wt[order], wg[order]
+                for bucket in range(buckets):
+                    i, j = slice(cuts[bucket], cuts[bucket + 1]), slice(pcuts[bucket], pcuts[bucket + 1])
+                    if i.start == i.stop and j.start == j.stop:
+                        continue
+                    row = [int(keys.value[bucket]), bucket, part, chunk, i.stop - i.start, j.stop - j.start, sorted_bytes(wh[i]), sorted_bytes(h[j]), planes(np.r_[wt[i], t[j]]), planes(np.r_[wg[i], g[j]])]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if at < 6 else pa.binary()) for at, x in enumerate(row)], names=["key", "bucket", "part", "chunk", "words", "pairs", "wh", "ph", "t", "g"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
-        for b in batches:
-            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if chunk != now and now is not None:
-                    yield out()
-                if chunk != now:
-                    now, total = chunk, np.zeros(2 * CHUNK, np.int64)
-                total += np.frombuffer(counts, np.uint32 if len(counts) == 8 * CHUNK else np.int64)
-        if now is not None:
-            yield out()
-
-    kind = "chunk bigint, counts binary"
-    parts = docs.select(F.col("text").cast("string"), F.col("target")).mapInArrow(count, kind)
-    sums = parts.repartition(shuffle_parts(docs.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(add, kind).collect()
-    total = np.zeros((2, size + slots), np.int64)
-    for r in sums:  # (size + slots) / 4096 rows, however large the corpus
-        total[:, r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64).reshape(2, CHUNK)
-    return Models(vocabulary, total[:, :size].astype(float), total[:, size:].astype(float), single)
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-            before, word, row = coded(b.column(1), shared.value.vocabulary)
-            loss = shared.value.losses(before, word)
-            n = np.bincount(row, minlength=b.num_rows)
-            t, g = (np.bincount(row, x, b.num_rows) / np.maximum(1, n) for x in loss)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(t), pa.array(g), pa.array(t - g)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, loss_target double, loss_background double, score double")
-
-
-def distinct_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Each text's distinct word pairs: the text's index, how often it has the pair, and the pair as 'before word', where an edge is the empty word."""
-    words, counts = split_words(texts)
-    names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([""], pa.string())])
-    row, edge = np.repeat(np.arange(len(counts)), counts + 1), len(names) - 1
-    out = np.full(len(row), edge, np.int64)
-    inner = np.ones(len(row), bool)
-    inner[np.cumsum(counts + 1) - 1] = False
-    out[inner] = words.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64)
-    codes, pair = np.unique(np.r_[edge, out[:-1]][: len(out)] * len(names) + out, return_inverse=True)
-    both, n = np.unique(row * max(1, len(codes)) + pair, return_counts=True)
-    text, at = np.divmod(both, max(1, len(codes)))
-    before, word = np.divmod(codes, len(names))
-    return text, n, pc.binary_join_element_wise(names.take(pa.array(before)), names.take(pa.array(word)), " ").take(pa.array(at))
-
-
-def _salted(rows: DataFrame, table: DataFrame, key: str, total: int, spread: str) -> DataFrame:
-    """rows with the columns of table, which has each key once, and in n how many tokens it has; rows of a frequent key are dealt by the column spread too."""
-    hot = F.col("n") * HOT > total
-    often = F.broadcast(table.filter(hot).select(F.col(key).alias("_hot")))
-    left = rows.join(often, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    right = table.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
-    return left.join(right, [key, "_salt"]).drop("_salt")
-
-
-def exact_scores(docs: DataFrame, marked: DataFrame, single: float = SINGLE) -> DataFrame:
-    """As score(docs, train(marked, ...)), with all words and word pairs counted as they are: no unknown word, and no table of fixed size.
-
-    Both models are tables that grow with the corpus. Pairs are counted with partial sums, get their losses from the counts of
-    their two words, and meet the pairs of each text in a join.
-    """
+        now, rows = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            n = [r[2] + r[3] for r in rows]
+            sums, distinct = [np.zeros(sum(n), np.int64) for _ in range(2)], 0
+            counts = [np.concatenate([unplanes(r[k], m) for r, m in zip(rows, n)]) for k in (6, 7)]
+            ends = np.cumsum(n)
+            for first, which in ((True, 4), (False, 5)):
+                own = [np.arange(e - m, e - m + r[2]) if first else np.arange(e - r[3], e) for r, m, e in zip(rows, n, ends)]
+                at = np.concatenate(own)
+                if not len(at):
+                    continue
+                h = np.concatenate([sorted_from(r[which], len(o)) for r, o in zip(rows, own)])
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                times = np.diff(np.r_[starts, len(h)])
+                for total, c in zip(sums, counts):
+                    total[at[order]] = np.repeat(np.add.reduceat(c[at[order]], starts), times)
+                distinct += len(starts) if first else 0
+            for k, (r, m, e) in enumerate(zip(rows, n, ends)):
+                out = [now, r[0], r[1], r[2], r[3], 0 if k else distinct, planes(sums[0][e - m : e]), planes(sums[1][e - m : e])]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if i < 6 else pa.binary()) for i, x in enumerate(out)], names=["bucket", "part", "chunk", "words", "pairs", "distinct", "t", "g"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, n, pairs = distinct_pairs(b.column(0))
-            group = b.column(1).to_numpy(zero_copy_only=False)[text]
-            pairs = pairs.dictionary_encode()
-            at, size = pairs.indices.to_numpy(zero_copy_only=False), len(pairs.dictionary)
-            sums = [np.bincount(at, n * own, size).astype(np.int64) for own in (group, ~group)]
-            yield pa.RecordBatch.from_arrays([pairs.dictionary, *map(pa.array, sums)], names=["pair", "t", "g"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+            for k in range(b.num_rows):
+                bucket = b.column(1)[k].as_py()
+                if bucket != now and rows:
+                    yield from close()
+                    rows = []
+                now = bucket
+                rows.append([b.column(i)[k].as_py() for i in range(2, 10)])
+        if rows:
+            yield from close()
 
-        begin = TaskContext.get().partitionId() << 40
-        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            text, n, pairs = distinct_pairs(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(begin + text), pa.array(n), pairs], names=["doc_id", "row", "k", "pair"])
-            begin += b.num_rows
-
-    pairs = marked.mapInArrow(count, "pair string, t bigint, g bigint").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
-    pairs = write_table(pairs, "lm-pairs")
-    word, before = F.substring_index("pair", " ", -1), F.substring_index("pair", " ", 1)
-    # an edge comes before as often as it comes last, so the counts of words after others are those of words before others too
-    words = write_table(pairs.groupBy(word.alias("word")).agg(F.sum("t").alias("wt"), F.sum("g").alias("wg")), "lm-words")
-    all_t, all_g, size = words.agg(F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wg"), F.lit(0)), F.count(F.lit(1))).first()
-    words, total = words.withColumn("n", F.col("wt") + F.col("wg")), all_t + all_g
-    earlier = words.select(F.col("word").alias("before"), F.col("wt").alias("bt"), F.col("wg").alias("bg"), "n")
-    p = _salted(_salted(pairs.withColumns({"word": word, "before": before}), words, "word", total, "pair"), earlier, "before", total, "pair")
-    loss = lambda k, n: -F.log(single * (F.col(f"w{k}") + 1) / float(n + size) + (1 - single) * F.col(k) / F.greatest(F.lit(1), F.col(f"b{k}")))
-    losses = write_table(p.select("pair", loss("t", all_t).alias("lt"), loss("g", all_g).alias("lg"), (F.col("t") + F.col("g")).alias("n")), "lm-losses")
-    drop_table(pairs)
-    own = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(spread, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, k bigint, pair string")
-    sums = _salted(own, losses, "pair", total, "row").groupBy("row", "doc_id").agg(F.sum("k").alias("n_tokens"), *[(F.sum(F.col("k") * F.col(c)) / F.sum("k")).alias(name) for c, name in (("lt", "loss_target"), ("lg", "loss_background"))])
-    return sums.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int | None = None, slots: int | None = None) -> DataFrame:
+    sent = chunks.select("part", "chunk", F.size("doc_ids").cast("long").alias("n_docs"), "target", "counts", "hashes", "codes", "n_words").mapInArrow(send, "key bigint, bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, wh binary, ph binary, t binary, g binary")
+    dealt = sent.repartition(buckets, "key").sortWithinPartitions("bucket", "chunk")
+    return dealt.mapInArrow(add, "bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, distinct bigint, t binary, g binary")
+
+
+def probability(pair: np.ndarray, before: np.ndarray, word: np.ndarray, every: int, vocabulary: int, smooth: float = SMOOTH) -> np.ndarray:
+    """Of a word after another, from the counts of both together, of the one before, of the word, and of all words."""
+    return (pair + smooth * (word + 1) / (every + vocabulary)) / (before + smooth)
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, smooth: float = SMOOTH) -> DataFrame:
     """Scores every row of docs: doc_id, n_tokens, loss_target, loss_background, score (their difference; lower: more like the target).
 
-    target: the doc_ids whose rows train the target model; all other rows train the background model. Both are bigram
-    models mixed with single words, of one form and over one vocabulary: all words of all rows, and all pairs of them, counted
-    exactly. With vocabulary or slots the models have a fixed size instead: the words most frequent in all rows, others being one
-    unknown word, and a hashed table of pairs. Counts cover all rows. Losses are means over a text's words and its end, so null and empty texts have one token
-    and a score too. Rows with one doc_id, or repeated, each count and each get a score; a row without doc_id is background.
-    Without target rows that model knows single words evenly. An empty table gives an empty result. Other columns are left behind.
+    target: the doc_ids whose rows train the target model; all other rows train the background model. Words and pairs of all
+    rows count, each by itself. Losses are means over a text's words and its end, so null and empty texts have one token and a
+    score too. Rows with one doc_id, or repeated, each count and each get a score; a row without doc_id is background. Without
+    target rows that model finds all words equally likely. An empty table gives an empty result. Other columns are left behind.
     """
+    spark = docs.sparkSession
     ids = target.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
     few = ids.count() <= BROADCAST_ROWS
-    marked = docs.select("doc_id", F.col("text").cast("string")).join((F.broadcast(ids) if few else ids).withColumn("_is", F.lit(True)), F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_is", F.lit(False)).alias("target"))
-    if vocabulary is None and slots is None:
-        return exact_scores(docs, marked)
-    return score(docs, train(marked, vocabulary_of(docs, vocabulary or VOCABULARY), slots or PAIRS))
+    marked = docs.select("doc_id", "text").join((F.broadcast(ids) if few else ids).withColumn("_is", F.lit(True)), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_is", F.lit(False)).alias("target"))
+    chunks = write_table(coded(marked), "lm-chunks")
+    size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("all_t", "all_g")], F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()
+    all_t, all_g, parts = int(size[0]), int(size[1]), shuffle_parts(spark)
+    buckets = max(parts, (all_t + all_g + int(size[2]) // 8) // BUCKET_ITEMS)
+    sums = write_table(summed(chunks, buckets), "lm-sums")
+    vocabulary = int(sums.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
+    doc_type = arrow_type(docs.schema["doc_id"].dataType)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, got = None, []
+
+        def close() -> pa.RecordBatch:
+            ids, *own = chunk
+            c = Chunk(*own)
+            edge = len(c.hashes)
+            order, _, _ = c.words()
+            _, codes, _, _ = c.pairs()
+            by_code = np.argsort(codes)
+            codes = codes[by_code]
+            x = np.argsort(c.pair, kind="stable")
+            ordered = c.pair[x]
+            at = np.empty(len(x), np.int64)
+            at[x] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+            loss = []
+            for k, every in ((2, all_t), (3, all_g)):
+                both = [unplanes(r[k], r[0] + r[1]) for r in got]
+                single = np.empty(edge, np.int64)
+                single[order] = np.concatenate([v[: r[0]] for r, v in zip(got, both)])
+                pair = np.concatenate([v[r[0] :] for r, v in zip(got, both)])[by_code]
+                p = -np.log(probability(pair, single[codes // edge], single[codes % edge], every, vocabulary, smooth))
+                loss.append(np.bincount(c.row, p[at], c.n_docs) / c.n)
+            return pa.RecordBatch.from_arrays([ids, pa.array(c.n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+        for b in batches:
+            for k in range(b.num_rows):
+                if b.column(2)[k].as_py() < 0:
+                    if chunk:
+                        yield close()
+                    ids = b.column(3)[k].values.cast(doc_type)
+                    chunk, got = (ids, *[b.column(i)[k].as_py() for i in (4, 5, 6, 7)], len(ids), b.column(8)[k].as_py()), []
+                else:
+                    got.append([b.column(i)[k].as_py() for i in (8, 9, 4, 5)])
+        if chunk:
+            yield close()
+
+    # a partition of the texts goes to one task again, with all that came back for it
+    keys = F.array(*[F.lit(int(k)) for k in even_keys(spark, parts)])
+    none = lambda kind: F.lit(None).cast(kind)
+    left = chunks.select("part", "chunk", F.lit(-1).cast("long").alias("bucket"), "doc_ids", F.col("target").alias("a"), F.col("counts").alias("b"), F.col("hashes").alias("c"), F.col("codes").alias("d"), F.col("n_words").alias("m"), none("bigint").alias("n"))
+    right = sums.select("part", "chunk", "bucket", none(chunks.schema["doc_ids"].dataType.simpleString()).alias("doc_ids"), F.col("t").alias("a"), F.col("g").alias("b"), none("binary").alias("c"), none("binary").alias("d"), F.col("words").alias("m"), F.col("pairs").alias("n"))
+    both = left.unionByName(right).withColumn("part", F.get(keys, F.pmod("part", F.lit(parts)).cast("int")))
+    dealt = both.repartition(parts, "part").sortWithinPartitions("chunk", "bucket")
+    return dealt.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, loss_target double, loss_background double, score double")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -356,38 +356,11 @@ def test_interactions():
     assert ((model.score(fresh) > 0.5) == ((fresh[:, 0] > 0.5) ^ (fresh[:, 1] > 0.5))).mean() > 0.9
 
 
-def test_lm_scoring(spark):
-    rows = odd_docs(11, 40)
-    good = [i for i, *_ in rows if i % 4 == 0]
-    slots, size = 1 << 16, 64
-    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long"), size, slots).collect()}
-    low = lambda t: [w.decode() for w in words("".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")))]
-    count = defaultdict(int)
-    for _, t, *_ in rows:
-        for w in low(t):
-            count[w] += 1
-    number = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], w.encode()))[: size - 2], 2)}
-    one, two = np.zeros((2, 4096)), [defaultdict(int), defaultdict(int)]
-    coded = {}
-    for i, t, *_ in rows:
-        ids = [number.get(w, 1) for w in low(t)] + [0]
-        coded[i] = list(zip([0, *ids[:-1]], ids))
-        k = 0 if i in good else 1
-        for a, b in coded[i]:
-            one[k, b] += 1
-            two[k][lm_scoring.pair_slot(np.array([a]), np.array([b]), slots)[0]] += 1
-    for i, pairs in coded.items():
-        loss = [np.mean([-math.log(0.4 * (one[k, b] + 1) / (one[k].sum() + 4096) + 0.6 * min(1, two[k][lm_scoring.pair_slot(np.array([a]), np.array([b]), slots)[0]] / max(1, one[k, a]))) for a, b in pairs]) for k in (0, 1)]
-        assert (got[i]["n_tokens"], got[i]["loss_target"], got[i]["loss_background"], got[i]["score"]) == (len(pairs), pytest.approx(loss[0]), pytest.approx(loss[1]), pytest.approx(loss[0] - loss[1]))
-    assert lm_scoring.cross_entropy_difference(empty(spark), spark.createDataFrame([], "doc_id long")).count() == 0
-
-
-def test_lm_scoring_counts_all(spark):
-    """Against plain counts: more words than the fixed vocabulary has, each of them and each pair by itself."""
+def test_lm_scoring(spark, monkeypatch):
+    """Against plain counts, every word and pair by itself, and probabilities that sum to 1; then the same in several chunks and buckets."""
     rare = [(1000 + k, " ".join(f"z{k}x{j}" for j in range(3500)), "en", "a", 0) for k in range(10)]
     rows = odd_docs(12, 30) + rare + [(1000, "z0x0 z0x1", "en", "a", 0), (None, "z0x0 z0x1", "en", "a", 0)]
     good = {i for i, *_ in rows if i is not None and i % 2 == 0}
-    got = lm_scoring.cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
     one, two, coded = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], []
     for i, t, *_ in rows:
         ids = [w.decode() for w in words("".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")))] + [""]
@@ -395,17 +368,36 @@ def test_lm_scoring_counts_all(spark):
         for a, b in coded[-1][1]:
             one[0 if i in good else 1][b] += 1
             two[0 if i in good else 1][a, b] += 1
-    size = len(set(one[0]) | set(one[1]))
-    assert size > lm_scoring.VOCABULARY
+    vocabulary = set(one[0]) | set(one[1])
+    total = [sum(one[k].values()) for k in (0, 1)]
+    p = lambda k, a, b: lm_scoring.probability(two[k].get((a, b), 0), one[k].get(a, 0), one[k].get(b, 0), total[k], len(vocabulary))
+    for k in (0, 1):
+        for a in ("", "the", "w7", "z0x0", "z1x1", "no such word"):
+            assert sum(p(k, a, b) for b in vocabulary) == pytest.approx(1)
     want = []
     for i, pairs in coded:
-        total = [sum(one[k].values()) + size for k in (0, 1)]
-        loss = [np.mean([-math.log(0.4 * (one[k][b] + 1) / total[k] + 0.6 * two[k][a, b] / max(1, one[k][a])) for a, b in pairs]) for k in (0, 1)]
+        loss = [np.mean([-math.log(p(k, a, b)) for a, b in pairs]) for k in (0, 1)]
         want.append((-1 if i is None else i, len(pairs), *loss, loss[0] - loss[1]))
-    have = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"], r["score"]) for r in got]
-    assert len(have) == len(want)
-    for x, y in zip(sorted(have), sorted(want)):
-        assert x == pytest.approx(y)
+    target = spark.createDataFrame([(i,) for i in good] + [(None,)], "doc_id long")
+    for chunk_words in (lm_scoring.CHUNK_WORDS, 700):
+        monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", chunk_words)
+        monkeypatch.setattr(lm_scoring, "BUCKET_ITEMS", 10 * chunk_words)
+        got = lm_scoring.cross_entropy_difference(frame(spark, rows), target).collect()
+        have = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"], r["score"]) for r in got]
+        assert len(have) == len(want)
+        for x, y in zip(sorted(have), sorted(want)):
+            assert x == pytest.approx(y)
+    assert lm_scoring.cross_entropy_difference(empty(spark), target).count() == 0
+    assert lm_scoring.cross_entropy_difference(frame(spark, rows), target.limit(0)).count() == len(rows)
+
+
+def test_packed_integers():
+    rng = np.random.default_rng(13)
+    for n in (0, 1, 2, 1000):
+        x = (rng.integers(0, 2**63, n) >> rng.integers(0, 63, n)).astype(np.int64)
+        assert (lm_scoring.unplanes(lm_scoring.planes(x), n) == x).all()
+        h = np.sort(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        assert (lm_scoring.sorted_from(lm_scoring.sorted_bytes(h), n) == h).all()
 
 
 def test_pipeline(spark):
