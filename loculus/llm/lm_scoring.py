@@ -23,7 +23,7 @@ from loculus.llm.common import arrow_type, drop_table, even_keys, read_table, sh
 from loculus.llm.tokens import plain_strings
 
 #: Words of a chunk, more only where a text alone has them; words and pairs of a bucket as sent, about; the weight of single words, in counts.
-CHUNK_WORDS, BUCKET_ITEMS, SMOOTH = 1 << 22, 1 << 21, 4.0
+CHUNK_WORDS, BUCKET_ITEMS, SMOOTH = 1 << 21, 1 << 21, 4.0
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
 EDGE = U(0x9E3779B97F4A7C15)
@@ -124,15 +124,16 @@ class Chunk:
         target = np.unpackbits(np.frombuffer(target, np.uint8), count=n_docs).astype(bool)
         self.hashes = np.r_[np.frombuffer(hashes, U), EDGE]
         edge = len(self.hashes) - 1
-        self.row = np.repeat(np.arange(n_docs), counts + 1)
-        self.word = np.full(len(self.row), edge, np.int64)
+        self.row = np.repeat(np.arange(n_docs, dtype=np.int32), counts + 1)
+        self.word = np.full(len(self.row), edge, np.int32)
         inner = np.ones(len(self.row), bool)
         inner[np.cumsum(counts + 1) - 1] = False
         self.word[inner] = unplanes(codes, n_words)
-        before = np.r_[edge, self.word[:-1]]
         self.n_docs, self.n = n_docs, counts + 1
         self.group = target[self.row]
-        self.pair = before * len(self.hashes) + self.word
+        self.pair = self.word.astype(np.int64)
+        self.pair[1:] += self.word[:-1].astype(np.int64) * len(self.hashes)
+        self.pair[:1] += edge * len(self.hashes)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct words by their hashes: their codes, and their counts in target and background."""
@@ -258,8 +259,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, smooth: float =
             codes = codes[by_code]
             x = np.argsort(c.pair, kind="stable")
             ordered = c.pair[x]
-            at = np.empty(len(x), np.int64)
-            at[x] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+            at = np.empty(len(x), np.int32)
+            at[x] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]], dtype=np.int32)
+            del x, ordered
             loss = []
             for k, every in ((2, all_t), (3, all_g)):
                 both = [unplanes(r[k], r[0] + r[1]) for r in got]
@@ -283,7 +285,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, smooth: float =
             yield close()
 
     # a partition of the texts goes to one task again, with all that came back for it
-    keys = F.array(*[F.lit(int(k)) for k in even_keys(spark, parts)])
+    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
     none = lambda kind: F.lit(None).cast(kind)
     left = chunks.select("part", "chunk", F.lit(-1).cast("long").alias("bucket"), "doc_ids", F.col("target").alias("a"), F.col("counts").alias("b"), F.col("hashes").alias("c"), F.col("codes").alias("d"), F.col("n_words").alias("m"), none("bigint").alias("n"))
     right = sums.select("part", "chunk", "bucket", none(chunks.schema["doc_ids"].dataType.simpleString()).alias("doc_ids"), F.col("t").alias("a"), F.col("g").alias("b"), none("binary").alias("c"), none("binary").alias("d"), F.col("words").alias("m"), F.col("pairs").alias("n"))
