@@ -138,6 +138,26 @@ def prefix_sums(df: DataFrame, key: str | None, order: list[str], sums: dict[str
     return joined.select(*df.columns, *[(F.col(c) + F.coalesce(F.col(f"_of_{c}"), F.lit(0))).alias(c) for c in sums])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in whatever letter case."""
+    taken, out = {c.lower() for c in df.columns}, f"_{name}"
+    while out.lower() in taken:
+        out = "_" + out
+    return out
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, count: str, hot: int = 4096) -> DataFrame:
+    """left joined with right by key; right has each key once and in count how many rows of left have it.
+
+    Keys with over 1 / hot of all rows, at most `hot`, are broadcast, so that their rows stay where they are; no task gets more
+    than its share. Both sides are read twice.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    often = right.filter(F.col(count) * hot > total).drop(count)
+    rest = right.filter(F.col(count) * hot <= total).drop(count)
+    return left.join(F.broadcast(often), key).unionByName(left.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key))
+
+
 def labelled(spark: SparkSession, labels: DataFrame, column: str) -> DataFrame:
     """Labels that may be learnt from: doc_id, label of rows whose crc32(doc_id as text) mod 5 is not 0; a doc_id labelled twice counts once, by its larger label."""
     return labels.filter(F.col(column).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max(F.col(column)).cast("int").alias("label"))

@@ -33,5 +33,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         drop_table(at)
         at = less
         if at.isEmpty():
-            break
-    return write_table(result, name)
+            return write_table(result, name)
+    raise RuntimeError("components were not found in 1000 rounds")

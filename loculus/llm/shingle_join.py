@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import drop_table, free_shuffles, read_table, shuffle_parts, write_table
+from loculus.llm.common import drop_table, free_shuffles, fresh, join_spread, read_table, shuffle_parts, write_table
 from loculus.llm.components import components
 
 WORDS, KEPT_WORDS, FLUSH = 5, 150_000, 300_000
@@ -116,19 +116,19 @@ def turn(sig: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (elements), k1, k2 (a key of the set), s0, s1, ... (its parity sketch)."""
+    """doc_id, h (a hash of the text), n (elements), k1, k2 (a key of the set), s0, s1, ... (its parity sketch)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                sets = map(shingles.of, part.column(1).cast(pa.large_binary()).to_pylist())
+                sets = map(shingles.of, part.column(2).cast(pa.large_binary()).to_pylist())
                 rows = np.array([(len(s), *key_of(s), *parity(s)) for s in sets], np.int64).reshape(part.num_rows, 3 + LONGS)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(rows[:, k]) for k in range(3 + LONGS)]], names=["doc_id", "n", "k1", "k2", *[f"s{k}" for k in range(LONGS)]])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(rows[:, k]) for k in range(3 + LONGS)]], names=["doc_id", "h", "n", "k1", "k2", *[f"s{k}" for k in range(LONGS)]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(found, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"s{k} bigint" for k in range(LONGS)))
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string")).mapInArrow(found, f"doc_id {kind}, h bigint, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"s{k} bigint" for k in range(LONGS)))
 
 
 def shared_words(docs: DataFrame, elements: int) -> DataFrame:
@@ -237,15 +237,17 @@ def least_common(a: str = "a", b: str = "b") -> Column:
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b (class ids, each the doc_id of one of its rows) whose whole texts' sets have 100 * common >= 75 * union."""
+    """The pairs a, b (keys of classes) whose whole texts' sets have 100 * common >= 75 * union. reps: k1, and doc_id and h of one row of each class."""
     pairs = write_table(pairs, "shingle-pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    ids = write_table(ids, "shingle-ids")
+    ids = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
+    ids = write_table(reps.select("k1", F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(ids, "k1", "left_semi"), "shingle-ids")
     few = ids.count() <= BROADCAST_ROWS
-    text = docs.join(F.broadcast(ids) if few else ids, docs["_row"] == ids["rep"]).select("rep", "text")
-    text = write_table(text, "shingle-texts")
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    text = text.join(F.broadcast(ids) if few else ids, (text["h"] == ids["_h"]) & text["doc_id"].eqNullSafe(ids["_id"])).select("k1", "text")
+    # a row that is repeated, with its id, brings its text once
+    text = write_table(text.groupBy("k1").agg(F.first("text").alias("text")), "shingle-texts")
     free_shuffles(docs.sparkSession)
-    both = pairs.join(text.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    both = pairs.join(text.select(F.col("k1").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("k1").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -265,72 +267,86 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return write_table(both.mapInArrow(check, "a bigint, b bigint"), "shingle-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Components of texts that share five-word runs: doc_id, n_shingles, component_id (the smallest doc_id of its component).
+def grouped(docs: DataFrame) -> DataFrame:
+    """Every row's doc_id, h (a hash of its text), n, and of its component: component_id (least doc_id that isn't null) and keeper (the row that stays: its doc_id and h; null ids last). Both are null for rows with the empty set.
 
-    A text's set has its distinct five-word shingles, of words [^ \\t-\\r]+ with A-Z as a-z; with fewer words the whole sequence as
-    one. Two rows link when 100 * common >= 75 * union. Null texts and texts without words have the empty set, link with nothing
-    and are their own component. Equal sets are one class from the start, so copies cost one row each. Rows with one doc_id, or
-    repeated, are rows of their own in one component if their texts link. Rows with a null doc_id are compared too; a component of
-    such rows alone has a null id. An empty table gives an empty result. Other columns are left behind.
-
-    Every pair that links is found or joined by others: such pairs show a common sketch word. Each class is checked against the
-    centre of each of its words, which in a large group is another class for each word; where a word's classes then still lie in
-    several components, all its pairs across them that their parity sketches and their common words allow are checked too.
+    Equal sets are one class from the start, known by a 64-bit hash of the set, so copies cost one row each and an id may stand
+    for several classes. Every pair of classes that links is found or joined by others: such pairs show a common sketch word. Each
+    class is checked against the centre of each of its words, which in a large group is another class for each word; where a
+    word's classes then still lie in several components, all its pairs across them that their parity sketches and their common
+    words allow are checked too.
     """
     rows = write_table(classes(docs), "shingle-classes")
-    kinds = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(LONGS)])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    kinds = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(row).alias("at"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(LONGS)])
     kinds = write_table(kinds, "shingle-kinds")
     elements = rows.agg(F.sum("n")).collect()[0][0] or 0
     words = shared_words(docs, int(elements))
     free_shuffles(docs.sparkSession)
-    # a class is named by the least doc_id of its rows; classes of rows without doc_id stay by themselves
-    named = kinds.filter("least IS NOT NULL").select("k1", F.col("least").alias("rep"), "n", *[f"s{k}" for k in range(LONGS)])
-    side = lambda c: named.select(F.col("k1").alias(f"{c}_k"), F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
-    text = docs.select(F.col("doc_id").alias("_row"), F.col("text").cast("string")).filter("_row IS NOT NULL")
-    pairs = words.filter("key <> center").groupBy("center", "key").agg(F.count(F.lit(1)).alias("met"))
-    pairs = pairs.join(side("a"), F.col("center") == F.col("a_k")).join(side("b"), F.col("key") == F.col("b_k")).filter(may_link() & (F.col("a") != F.col("b")))
+    named = kinds.select("k1", "n", *[f"s{k}" for k in range(LONGS)])
+    reps = kinds.select("k1", "at.doc_id", "at.h")
+    side = lambda c: named.select(F.col("k1").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
+    pairs = words.filter("key <> center").groupBy(F.col("center").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link())
     # where sketches of larger sets tell little, a pair should have met in some words; what this leaves out comes below
     pairs = pairs.filter((F.col("a_n") + F.col("b_n") <= 2 * BITS) | (F.col("met") * 4 >= least_common()))
     tried = write_table(pairs.select("a", "b").distinct(), "shingle-tried")
-    links = linked(tried, named, text)
+    links = linked(tried, reps, docs)
     found = components(links, "shingle-components")
     # words whose classes lie in several components
-    ids = named.select("k1", "rep")
-    member = words.select("sig", "key").distinct().join(ids, F.col("key") == F.col("k1")).select("sig", "rep")
-    member = member.join(found, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+    member = words.select("sig", F.col("key").alias("rep")).distinct().join(found, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     member = write_table(member, "shingle-members")
     sizes = member.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"))
     split = sizes.groupBy("sig").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("sig", F.col("top.component").alias("top"))
-    open_ = write_table(member.join(split, "sig").join(named.drop("k1"), "rep"), "shingle-split")
+    open_ = write_table(member.join(split, "sig").join(named.withColumnRenamed("k1", "rep"), "rep"), "shingle-split")
     drop_table(member)
     free_shuffles(docs.sparkSession)
     as_side = lambda c: open_.select("sig", F.col("rep").alias(c), F.col("component").alias(f"{c}_c"), F.col("top").alias(f"{c}_top"), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
-    # each pair once: where neither is in the word's largest component, in the order of their ids
+    # each pair once: where neither is in the word's largest component, in the order of their keys
     more = as_side("a").filter("a_c <> a_top").join(as_side("b").drop("b_top"), "sig").filter((F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("a_top")) | (F.col("a") < F.col("b"))) & may_link())
     more = more.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(least_common()).alias("least")).filter("met >= least").select("a", "b")
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = write_table(more.join(known, ["a", "b"], "left_anti"), "shingle-more")
     if not more.isEmpty():
-        found = components(links.union(linked(more, named, text)), "shingle-components")
-    drop_table(words)
-    of = kinds.select("k1", "k2", "least").join(found, F.col("least") == F.col("node"), "left").withColumn("component", F.coalesce("component", "least"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.filter("component IS NOT NULL").join(least, "component").select("k1", "k2", "component_id")
-    out = rows.join(of, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        found = components(links.union(linked(more, reps, docs)), "shingle-components")
+    for t in (words, tried, open_, more):
+        drop_table(t)
+    of = kinds.select("k1", "k2", "least", "at").join(found, F.col("k1") == F.col("node"), "left").select("k1", "k2", "least", "at", F.coalesce("component", "k1").alias("component"))
+    of = write_table(of, "shingle-named")
+    named = of.groupBy("component").agg(F.min("least").alias("component_id"), F.min("at").alias("keeper"), F.count(F.lit(1)).alias("c"))
+    of = join_spread(of.select("k1", "k2", "component"), write_table(named, "shingle-least"), "component", "c")
+    return rows.select("doc_id", "h", "n", "k1", "k2").join(of.select("k1", "k2", "component_id", "keeper"), ["k1", "k2"], "left").drop("k1", "k2")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Components of texts that share five-word runs: doc_id, n_shingles, component_id (the smallest doc_id of its component).
+
+    A text's set has its distinct five-word shingles, of words [^ \\t-\\r]+ with A-Z as a-z; with fewer words the whole sequence as
+    one. Two rows link when 100 * common >= 75 * union. Null texts and texts without words have the empty set, link with nothing
+    and are their own component. Rows with one doc_id, or repeated, are rows of their own: each has the component of its own text,
+    so an id whose texts don't link may show several. Rows with a null doc_id are compared like any others, and join texts that
+    link through them; a component of such rows alone has a null id. An empty table gives an empty result. Other columns are left
+    behind.
+    """
+    return grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, all columns; of rows with that id that link, any one."""
-    found = write_table(near_duplicates(docs), "shingle-found")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    left = found.filter("doc_id = component_id")
-    again = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    if not again.isEmpty():  # rows repeated with their id
-        out = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
-    return out
+    """One row of each component, that of the smallest doc_id, all columns whatever their names; of rows with that id, the one
+    whose text has the least hash, and of rows repeated as a whole any one. Null ids come last; null texts and texts without words all stay."""
+    found = write_table(grouped(docs).filter("n > 0").select("doc_id", "h", "keeper"), "shingle-found")
+    stays = (F.col("h") == F.col("keeper.h")) & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id"))
+    gone = found.filter(~stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    again = found.filter(stays).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    row, h = fresh(docs, "kept_row"), fresh(docs, "kept_hash")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.xxhash64(docs["text"].cast("string")).alias(h))
+    same = lambda t: (F.col(h) == t["_h"]) & F.col(f"{row}.doc_id").eqNullSafe(t["_id"])
+    bounded = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    out = rows.join(bounded(gone), same(gone), "left_anti")
+    if not again.isEmpty():
+        once = out.join(bounded(again), same(again), "left_semi").groupBy(F.col(f"{row}.doc_id"), h).agg(F.first(row).alias(row)).select(row, h)
+        out = out.join(bounded(again), same(again), "left_anti").select(row, h).unionByName(once)
+    return out.select(f"{row}.*")
 
 
 def op6_shingle_join(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def odd_docs(seed: int = 1, n: int = 60):
-    """Texts with near copies, copies, nulls, and very long ones; null sources and ids; a repeated row."""
+    """Texts with near copies, copies, nulls, and very long ones; null sources; ids are the rows' numbers."""
     rnd = random.Random(seed)
     vocabulary = ["the", "of", "Stone", "river,", "night", "over", "É té", "light.", "run", "a", "b-c", "don't", "12.5"] + [f"w{k}" for k in range(200)]
     texts = []
@@ -216,26 +216,73 @@ def groups(n, links):
     return [top(k) for k in range(n)]
 
 
-def test_shingle_join(spark):
-    rows = odd_docs(7, 90)
+def near_by_brute_force(rows):
+    """Of each row: size of its set, its component's least doc_id that isn't null, and its component's first row."""
     sets = [shingles(t) for _, t, *_ in rows]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    want = groups(len(rows), links)
+    top, ids = groups(len(rows), links), defaultdict(list)
+    for k, (i, *_) in enumerate(rows):
+        ids[top[k]].append(i)
+    least = {t: min((i for i in x if i is not None), default=None) for t, x in ids.items()}
+    return [(len(s), least[top[k]], top[k]) for k, s in enumerate(sets)], len(links)
+
+
+def by_none(x):
+    return tuple((v is None, v or 0) for v in x)
+
+
+def test_shingle_join(spark):
+    rows = odd_docs(7, 90)
+    want, links = near_by_brute_force(rows)
     got = {r["doc_id"]: r for r in shingle_join.near_duplicates(frame(spark, rows)).collect()}
-    assert len(links) > 20
-    for k, s in enumerate(sets):
-        assert (got[k]["n_shingles"], got[k]["component_id"]) == (len(s), want[k])
+    assert links > 20
+    for k, (size, least, _) in enumerate(want):
+        assert (got[k]["n_shingles"], got[k]["component_id"]) == (size, least)
     kept = shingle_join.keep_one(frame(spark, rows)).collect()
-    assert sorted(r["doc_id"] for r in kept) == [k for k in range(len(rows)) if want[k] == k]
+    assert sorted(r["doc_id"] for r in kept) == [k for k in range(len(rows)) if want[k][2] == k]
     assert shingle_join.near_duplicates(empty(spark)).count() == 0
+    assert shingle_join.keep_one(empty(spark)).count() == 0
 
 
-def test_shingle_join_of_repeated_rows(spark):
-    t = " ".join(f"v{k}" for k in range(40))
-    rows = spark.createDataFrame([(5, t, None, None, 1)] * 2 + [(3, t, None, None, 1), (None, t + " more", None, None, 1), (9, None, None, None, None)], DOC)
-    got = shingle_join.near_duplicates(rows).collect()
-    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got if r["doc_id"]) == [(3, 3), (5, 3), (5, 3), (9, 9)]
-    assert len(got) == 5
+def test_shingle_join_of_repeated_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(17)
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "vuy")
+    rows = [(1, a), (5, a + " extra"), (5, b), (5, b), (7, b + " more"), (None, a + " and"), (None, c), (None, c + " too"), (None, c), (9, None), (9, ""), (None, None), (11, "x y"), (11, "x z"), (12, "X y")]
+    rows += [(rnd.choice([20, 21, 22, None]), t) for _, t, *_ in odd_docs(18, 25)]
+    rows = [(i, t, None, None, 1) for i, t in rows]
+    want, _ = near_by_brute_force(rows)
+    clashing = spark.createDataFrame(rows, DOC).withColumns({x: F.lit("mine") for x in ("_gone", "_k", "_h", "_row", "h", "k1", "component", "_id")})
+    got = shingle_join.near_duplicates(clashing).collect()
+    # rows without words are components of their own
+    mine = [(r[0], n, least if n else r[0]) for r, (n, least, _) in zip(rows, want)]
+    assert sorted(map(by_none, mine)) == sorted(by_none((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got)
+    kept = shingle_join.keep_one(clashing)
+    assert kept.columns == clashing.columns and {r["_k"] for r in kept.collect()} == {"mine"}
+    kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    parts = defaultdict(list)
+    for (i, t, *_), (n, least, top) in zip(rows, want):
+        parts[top if n else (i, t, len(parts))].append((i, t))
+    assert len(kept) == len(parts)
+    for part in parts.values():
+        first = min(x is None for x, _ in part), min((x for x, _ in part if x is not None), default=None)
+        assert sum(x in part and (x[0] is None, x[0]) == first for x in set(kept)) == 1 or not shingles(part[0][1])
+
+
+def test_shingle_join_of_large_sets(spark):
+    """Sets above what parity sketches tell apart: near copies and others that share much, at both sides of the threshold."""
+    rnd = random.Random(19)
+    rows = []
+    for k in range(6):
+        base = [f"{k}w{rnd.randrange(10**6)}" for _ in range(2500)]
+        for cut in (0, 150, 300, 340, 362, 380, 600):
+            rows.append(base[cut:] + [f"{k}n{cut}x{j}" for j in range(cut)])
+    rows = [(i, " ".join(t), None, None, 1) for i, t in enumerate(rows)]
+    want, links = near_by_brute_force(rows)
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, DOC)).collect()
+    assert links > 30 and len({x for _, x, _ in want}) > 6
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(i, n, least) for i, (n, least, _) in enumerate(want)]
 
 
 def test_parity_bounds_the_difference():
