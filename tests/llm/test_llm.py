@@ -326,16 +326,51 @@ def test_vectors(spark):
     assert hnsw.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_graph_recall():
+def clustered(rng, sizes, dim, spread, loose=0):
+    x = [c + spread * rng.normal(size=(n, dim)) for n in sizes for c in rng.normal(size=(1, dim))] + [rng.normal(size=(loose, dim))]
+    x = np.concatenate(x)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("sizes", "loose"), [([150] * 40, 2000), ([800] * 3, 1500), ([12] * 40, 2500)])
+def test_graph_finds_all_links(sizes, loose):
+    """Clusters wider than a beam, their members linked in part."""
+    import time
+
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(3000, 24))
-    x = np.concatenate([x, np.repeat(x[:40], 12, 0) + 0.15 * rng.normal(size=(480, 24))])
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = clustered(rng, sizes, 64, 0.3, loose)
     graph, order = hnsw.Graph.build(x, rng.random(len(x)) * 0.999 + 1e-3)
     x = x[order].astype(np.float32)
-    q, c = graph.within(x[:600], 0.9)
-    want = (x[:600] @ x.T >= 0.9).sum()
-    assert len(set(zip(q.tolist(), c.tolist()))) >= 0.98 * want
+    begin, found = time.time(), set()
+    for q, c in graph.within(x[:512], 0.9 - 1e-5):
+        found |= set(zip(q.tolist(), c.tolist()))
+    assert time.time() - begin < 20
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(x[:512].astype(float) @ x.T.astype(float) >= 0.9))))
+    assert len(want - found) <= 1e-4 * len(want)
+
+
+def test_audit_widens_beams():
+    """A graph without most of its edges fails its audits, and products find what beams can't."""
+    rng = np.random.default_rng(8)
+    x = clustered(rng, [20] * 60, 32, 0.25)
+    graph, order = hnsw.Graph.build(x, rng.random(len(x)) * 0.999 + 1e-3)
+    graph.levels[0][:, 2:] = -1
+    x = x[order].astype(np.float32)
+    beam = sum(((s >= 0.9) & (i >= 0)).sum() for i, s in [graph.search(x[:200], 32)])
+    found, want = sum(len(q) for q, _ in graph.within(x[:200], 0.9)), (x[:200] @ x.T >= 0.9).sum()
+    assert beam < 0.7 * want and abs(found - want) <= 0.002 * want
+
+
+def test_vectors_in_large_clusters(spark):
+    rng = np.random.default_rng(9)
+    x = clustered(rng, [150] * 6 + [800], 32, 0.28, 500)
+    x = np.concatenate([x, x[:30]])
+    sims = x @ x.T >= 0.9
+    np.fill_diagonal(sims, False)
+    want = groups(len(x), list(zip(*map(np.ndarray.tolist, np.nonzero(np.tril(sims))))))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [(got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) for k in range(len(x))] == [(int(sims[k].sum()), want[k], want[k] == k) for k in range(len(x))]
 
 
 def test_token_files(spark):
