@@ -1,4 +1,9 @@
-"""Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks."""
+"""Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
+
+Each slot of the schedule takes one block of one source, where the golden ratio's point of the slot falls into that source's
+interval of the cumulative quotas. So every prefix of the slots holds the sources in their shares but for a few blocks, and the
+slots say what is taken of each document, how often, and where in the mix it stands.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.llm.common import SPACES, drop_table, prefix_sums, read_table, write_table
+from loculus.llm.common import SPACES, drop_table, even_keys, fresh, prefix_sums, read_table, shuffle_parts, write_table
 
 WEIGHTS, BLOCK, SHARE, MOST = (5, 2, 1), 1024, (3, 2), 2
 #: The fraction of the golden ratio as a 64-bit fixed-point step.
 GOLDEN = 0x9E3779B97F4A7C15
 CHUNK = 1 << 16
+BROADCAST_ROWS = 1_000_000
 
 
 def word_counts(column: pa.Array, rows: int = 512) -> np.ndarray:
@@ -42,14 +48,15 @@ def word_counts(column: pa.Array, rows: int = 512) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row."""
+    """doc_id, h (a hash of the text), source, size of every row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(word_counts(b.column(2)), pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(word_counts(b.column(3)), pa.int64())], names=["doc_id", "h", "source", "size"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(count, f"doc_id {kinds['doc_id']}, source string, size bigint")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.col("source").cast("string"), text.alias("text")).mapInArrow(count, f"doc_id {kinds['doc_id']}, h bigint, source string, size bigint")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
@@ -77,12 +84,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
 
 
 def schedule(spark, plan: list[tuple[int, int, int]], block: int) -> DataFrame:
-    """The mix as slots: slot, source_no, rank, block, words.
+    """The mix as slots: slot, source_no, pass, block, words.
 
     plan: source_no, source_size, quota of each source that takes words. Slot i of the first sum(ceil(quota / block)) has the
     point frac(i * golden ratio), which falls into one source's interval of the cumulative quotas. A source's slots are
-    ranked; rank k takes block k modulo the source's number of blocks, and a source stops when its quota is full. What the
-    points leave short, a few slots a source, follows at the end.
+    ranked; rank k takes block k modulo the source's number of blocks in pass k div that number, and a source stops when its
+    quota is full; its later slots stay empty. What the points leave short, a few blocks a source, has the slots after them.
     """
     no = np.array([p[0] for p in plan], np.int64)
     size = np.array([p[1] for p in plan], np.int64)
@@ -118,15 +125,14 @@ def schedule(spark, plan: list[tuple[int, int, int]], block: int) -> DataFrame:
                     rank = np.arange(len(got)) - np.repeat(starts, np.diff(np.r_[starts, len(got)])) + np.array([before[int(p)] for p in ranked[starts]]).repeat(np.diff(np.r_[starts, len(got)]))
                     slot, p = order + row["chunk"] * CHUNK, ranked
                 else:  # one row a source: the ranks that the points left out
-                    p = np.repeat(row["plans"][0], row["befores"][0])
-                    rank = need[p] - 1 - np.arange(len(p))
-                    slot = np.full(len(p), slots, np.int64)
+                    (many_, at), p = row["befores"], row["plans"][0]
+                    p, rank, slot = np.repeat(p, many_), need[p] - many_ + np.arange(many_), slots + at + np.arange(many_)
                 keep = rank < need[p]
                 p, rank, slot = p[keep], rank[keep], slot[keep]
                 at = rank % blocks[p]
                 left = quota[p] - (rank // blocks[p]) * size[p] - at * block
                 words = np.minimum(np.minimum(block, size[p] - at * block), left)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (slot, no[p], rank, at, words)], names=["slot", "source_no", "rank", "block", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (slot, no[p], rank // blocks[p], at, words)], names=["slot", "source_no", "pass", "block", "words"])
 
     counts = spark.range(0, chunks, 1, min(chunks, 4096)).mapInArrow(count, "chunk bigint, plan bigint, n bigint")
     counts = write_table(counts, "mixing-slots")
@@ -134,69 +140,95 @@ def schedule(spark, plan: list[tuple[int, int, int]], block: int) -> DataFrame:
     ranks = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     per_chunk = ranks.groupBy("chunk").agg(F.collect_list("plan").alias("plans"), F.collect_list("before").alias("befores"))
     have = {r["plan"]: r["n"] for r in counts.groupBy("plan").agg(F.sum("n").alias("n")).collect()}
-    short = [(-1, [i], [int(need[i] - have.get(i, 0))]) for i in range(many) if need[i] > have.get(i, 0)]
+    short, last = [], 0
+    for i in range(many):  # one a source
+        if need[i] > have.get(i, 0):
+            short.append((-1, [i], [int(need[i] - have.get(i, 0)), last]))
+            last += int(need[i] - have.get(i, 0))
     kind = "chunk bigint, plans array<bigint>, befores array<bigint>"
-    return per_chunk.unionByName(spark.createDataFrame(short, kind)).mapInArrow(deal, "slot bigint, source_no bigint, rank bigint, block bigint, words bigint")
+    return per_chunk.unionByName(spark.createDataFrame(short, kind)).mapInArrow(deal, "slot bigint, source_no bigint, pass bigint, block bigint, words bigint")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """What the mix takes of each row: doc_id, source, size, source_size, target, taken.
+def takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame | None]:
+    """The rows (doc_id, h, source, size, source_no, source_size, target, _begin: words before it in its source) and what the slots take of them.
 
-    A source's rows stand in the order of md5(seed, doc_id), rows of one doc_id together, and their words form one stream that
-    is cut into equal blocks; a schedule of slots takes blocks, first all once, then again. taken counts the words of a row in
-    the blocks that its source's slots take: first words first, at most twice its size. Each source takes its target,
-    rounded. Null texts and texts without words have size 0 and are taken 0 times; null sources are one source, the last; null
-    doc_ids come last in their source; an empty table gives an empty result. Other columns are left behind.
+    The second table has a row for each row and pass of which slots take words: source_no, _begin, pass, slot (the first that
+    does), slots (how many do), words. None: nothing is taken.
     """
     spark = docs.sparkSession
     rows = sized(docs)
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    at = write_table(prefix_sums(rows.withColumn("_order", order), "source", ["_order", "doc_id", "size"], {"_begin": "size"}, "mixing"), "mixing-rows").drop("_order")
+    at = write_table(prefix_sums(rows.withColumn("_order", order), "source", ["_order", "doc_id", "size", "h"], {"_begin": "size"}, "mixing"), "mixing-rows").drop("_order")
     plan = write_table(targets(at, weights), "mixing-plan")
     used = plan.filter("target >= 0.5").orderBy("source_no").collect()  # one row a source
     out = at.join(F.broadcast(plan) if len(used) <= 100_000 else plan, at["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     if not used:
-        return out.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return out, None
     slots = schedule(spark, [(r["source_no"], r["source_size"], int(r["target"] + 0.5)) for r in used], block)
-    taken = slots.groupBy("source_no", "block").agg(F.sum((F.col("words") == block).cast("long")).alias("whole"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("part"), F.sum((F.col("words") < block).cast("long")).alias("parts"), F.min("words").alias("least"))
     pieces = out.filter("size > 0").select("source_no", "_begin", "size", F.explode(F.expr(f"sequence(_begin div {block}, (_begin + size - 1) div {block})")).alias("block"))
     pieces = pieces.select("source_no", "_begin", "block", F.greatest(F.lit(0), F.col("_begin") - F.col("block") * block).alias("_from"), F.least(F.lit(block), F.col("_begin") + F.col("size") - F.col("block") * block).alias("_to"))
-    cut = lambda words: F.greatest(F.lit(0), F.least(F.col("_to"), words) - F.col("_from"))
-    # a block is taken at most twice: twice the same, or once whole and once cut where the quota is full
-    words = F.col("whole") * (F.col("_to") - F.col("_from")) + F.when(F.col("parts") == 2, cut(F.col("part")) + cut(F.col("least"))).when(F.col("parts") == 1, cut(F.col("part"))).otherwise(F.lit(0))
-    got = pieces.join(taken, ["source_no", "block"]).groupBy("source_no", "_begin").agg(F.sum(words).alias("taken"))
-    got = got.select("source_no", "_begin", "taken")
-    full = out.join(got.withColumn("_some", F.lit(True)), (out["source_no"] == got["source_no"]) & (out["_begin"] == got["_begin"]) & (out["size"] > 0), "left")
-    return full.select("doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    cut = pieces.join(slots, ["source_no", "block"]).withColumn("_cut", F.least("_to", "words") - F.col("_from")).filter("_cut > 0")
+    got = cut.groupBy("source_no", "_begin", "pass").agg(F.min("slot").alias("slot"), F.count(F.lit(1)).alias("slots"), F.sum("_cut").alias("words"))
+    return out, got
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """What the mix takes of each row: doc_id, source, size, source_size, target, taken, first_slot, n_slots.
+
+    A source's rows stand in the order of md5(seed, doc_id), rows of one doc_id together, and their words form one stream that
+    is cut into equal blocks; a schedule of slots takes blocks, first all once, then again. taken counts the words of a row in
+    the blocks that its source's slots take, at most twice its size; first_slot is the first slot that takes any (null: none),
+    n_slots how many do. Each source takes its target, rounded. Null texts and texts without words have size 0 and are taken 0
+    times; null sources are one source, the last; null doc_ids come last in their source; rows with one doc_id, or repeated, are
+    rows of their own; an empty table gives an empty result. Other columns are left behind.
+    """
+    out, got = takes(docs, weights, block, seed)
+    if got is None:
+        return out.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"))
+    got = got.groupBy("source_no", "_begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("slots").alias("n_slots"))
+    full = out.join(got, (out["source_no"] == got["source_no"]) & (out["_begin"] == got["_begin"]) & (out["size"] > 0), "left")
+    return full.select("doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """What the mix takes, as rows with the columns of docs: a row for each time that a whole text is taken, and one with the first words of a text of which only those are. Rows without words are not taken."""
-    taken = mix(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_size"])
-    both = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(taken.withColumn("_k", F.coalesce(F.col("_id").cast("string"), F.lit("null"))), "_k").select(*docs.columns, "_size", "_taken")
+    """The mix as rows with the columns of docs, whatever their names: a row for each pass that takes a text, whole or its first words.
+
+    Rows stand in the order of the first slots that take them, partition after partition, so that what is read in this order has
+    all sources in their shares at any point. Rows without words are not taken. Rows with one doc_id and other texts are
+    taken each for itself; of rows repeated with id and text one stands for all. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    out, got = takes(docs, **how)
+    if got is None:
+        return docs.limit(0)
+    at, cut, part, h, row = (fresh(docs, f"mixed_{x}") for x in ("slot", "words", "part", "hash", "row"))
+    got = got.join(out.filter("size > 0").select("source_no", "_begin", "doc_id", "h", "size"), ["source_no", "_begin"])
+    got = write_table(got.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("slot").alias(at), F.col("_begin").alias("_order"), F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(F.lit(0)).alias(cut)), "mixing-takes")
+    again = out.filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    again = write_table(again, "mixing-again")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.xxhash64(docs["text"].cast("string")).alias(h))
+    same = lambda t: (F.col(h) == t["_h"]) & F.col(f"{row}.doc_id").eqNullSafe(t["_id"])
+    bounded = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    if not again.isEmpty():
+        once = rows.join(bounded(again), same(again), "left_semi").groupBy(F.col(f"{row}.doc_id"), h).agg(F.first(row).alias(row)).select(row, h)
+        rows = rows.join(bounded(again), same(again), "left_anti").select(row, h).unionByName(once)
+    last, parts = got.agg(F.max(at)).first()[0] or 0, shuffle_parts(spark)
+    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
+    both = rows.join(bounded(got), same(got)).withColumn(part, F.get(keys, (F.col(at) * parts / F.lit(last + 1)).cast("int")))
+    both = both.repartition(parts, part).sortWithinPartitions(at, "_order").select(f"{row}.*", cut)
     text, length = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    kind = docs.schema
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            size, taken = (b.column(b.num_columns - k).to_numpy() for k in (2, 1))
-            own = word_counts(b.column(text)) == size  # rows of one id with other texts have rows of their own in the mix
-            index, cut = [], []
-            for i in np.flatnonzero(own):
-                index += [i] * int(taken[i] // size[i])
-                cut += [0] * int(taken[i] // size[i])
-                if taken[i] % size[i]:
-                    index.append(i)
-                    cut.append(int(taken[i] % size[i]))
-            part = b.take(pa.array(index, pa.int64()))
-            columns = [part.column(k) for k in range(part.num_columns - 2)]
-            texts = [t if not c else first_words(t, c) for t, c in zip(part.column(text).to_pylist(), cut)]
-            columns[text] = pa.array(texts, part.column(text).type)
-            if length is not None:
-                columns[length] = pa.array([len(t) if c else n for t, c, n in zip(texts, cut, part.column(length).to_pylist())], part.column(length).type)
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
-
-    return both.mapInArrow(rows, kind)
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            words, columns = b.column(b.num_columns - 1).to_pylist(), list(b.columns[:-1])
+            if any(words):
+                texts = [first_words(t, n) if n else t for t, n in zip(b.column(text).to_pylist(), words)]
+                columns[text] = pa.array(texts, columns[text].type)
+                if length is not None:
+                    columns[length] = pa.array([len(t) if n else c for t, n, c in zip(texts, words, columns[length].to_pylist())], columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return both.mapInArrow(shortened, docs.schema)
 
 
 def first_words(text: str, n: int) -> str:
@@ -208,18 +240,31 @@ def first_words(text: str, n: int) -> str:
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
-def op5_sql(weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> str:
-    """The same in DuckDB: since each source takes exactly its rounded target, first words first, no schedule is needed."""
+def op5_sql(weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", block: int = BLOCK) -> str:
+    """The same in DuckDB, point by point."""
     return f"""
 WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size, md5('{seed}' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
 w AS (SELECT *, [{", ".join(map(str, weights))}][(no % {len(weights)} + 1)::BIGINT] AS w, source_size * 2 AS lim FROM s),
 r AS (SELECT *, lim / w AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER () * 3 / 2 - coalesce(sum(lim) OVER u, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER u, 0)) AS lev FROM r WINDOW u AS (ORDER BY ratio, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(lim::DOUBLE, w * (SELECT arg_min(lev, (ratio, no)) FROM l WHERE lev <= ratio)) AS target FROM l),
-p AS (SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(b + size, quota % source_size) - b) END::BIGINT AS taken FROM p"""
+t AS (SELECT source, no, source_size, least(lim::DOUBLE, w * (SELECT arg_min(lev, (ratio, no)) FROM l WHERE lev <= ratio)) AS target FROM l),
+p AS (SELECT d.*, t.no, t.source_size, t.target, row_number() OVER () AS k, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT no, source_size AS size, floor(target + 0.5)::BIGINT AS quota, (source_size + {block - 1}) // {block} AS blocks FROM t WHERE target >= 0.5),
+n AS (SELECT *, row_number() OVER (ORDER BY no) - 1 AS plan, (quota // size * blocks + (quota % size + {block - 1}) // {block})::BIGINT AS need, sum(quota) OVER (ORDER BY no)::UHUGEINT AS upto, sum(quota) OVER ()::UHUGEINT AS total FROM q),
+e AS (SELECT *, upto * 18446744073709551616::UHUGEINT // total - CASE WHEN upto = total THEN 1 ELSE 0 END::UHUGEINT AS edge FROM n),
+i AS (SELECT i, (i::UHUGEINT * {GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM range(1, 1 + coalesce((SELECT sum(need) FROM n), 0)::BIGINT) t(i)),
+z AS (SELECT i - 1 AS slot, (SELECT count(*) FROM e WHERE edge < i.x) AS plan FROM i),
+y AS (SELECT slot, plan, row_number() OVER (PARTITION BY plan ORDER BY slot) - 1 AS rank FROM z),
+h AS (SELECT n.plan, n.need, count(y.slot) AS have FROM n LEFT JOIN y ON y.plan = n.plan GROUP BY n.plan, n.need),
+g AS (SELECT plan, have, need - have AS short, (SELECT count(*) FROM z) + coalesce(sum(need - have) OVER (ORDER BY plan ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM h WHERE need > have),
+a AS (SELECT y.slot, y.plan, y.rank FROM y JOIN n ON n.plan = y.plan WHERE y.rank < n.need UNION ALL SELECT first + j, plan, have + j FROM (SELECT *, unnest(range(short)) AS j FROM g)),
+c AS (SELECT a.slot::BIGINT AS slot, n.no, a.rank % n.blocks AS block, least({block}, n.size - a.rank % n.blocks * {block}, n.quota - a.rank // n.blocks * n.size - a.rank % n.blocks * {block}) AS words FROM a JOIN n ON n.plan = a.plan),
+f AS (SELECT k, no, b, size, unnest(range(b // {block}, (b + size - 1) // {block} + 1)) AS block FROM p WHERE size > 0),
+v AS (SELECT f.k, c.slot, least({block}, f.b + f.size - f.block * {block}, c.words) - greatest(0, f.b - f.block * {block}) AS cut FROM f JOIN c ON c.no = f.no AND c.block = f.block),
+m AS (SELECT k, sum(cut)::BIGINT AS taken, min(slot) AS first_slot, count(*)::BIGINT AS n_slots FROM v WHERE cut > 0 GROUP BY k)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(m.taken, 0)::BIGINT AS taken, m.first_slot, coalesce(m.n_slots, 0)::BIGINT AS n_slots FROM p LEFT JOIN m ON m.k = p.k"""

@@ -111,19 +111,83 @@ def test_mixing(spark):
     assert sorted(map(key, again), key=str) == sorted(map(key, got), key=str)
     assert mixing.mix(empty(spark)).count() == 0
     assert {r["taken"] for r in mixing.mix(spark.createDataFrame([(1, None, None, None, None)], DOC)).collect()} == {0}
-    mixed = mixing.mixed_rows(frame(spark, rows).drop("size"))
-    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in mixing.mix(frame(spark, rows)).collect() if True)
-
+    full = [(r["first_slot"] is not None, r["n_slots"] > 0) for r in got]
+    assert full == [(r["taken"] > 0,) * 2 for r in got]
+    names_ = ("_k", "_size", "_taken", "_id", "_h", "_begin", "_mixed_slot", "pass", "slot", "words", "_order")
+    from pyspark.sql import functions as F
 
-def test_schedule_follows_the_points(spark):
-    plan = [(0, 1000, 1500), (1, 400, 300), (2, 50, 100)]
-    rows = sorted(mixing.schedule(spark, plan, 16).collect(), key=lambda r: (r["slot"], r["source_no"], r["rank"]))
+    clashing = frame(spark, rows).withColumns({x: F.lit("mine") for x in names_})
+    mixed = mixing.mixed_rows(clashing, block=16)
+    assert mixed.columns == clashing.columns and {r["_k"] + r["_size"] + r["_mixed_slot"] for r in mixed.collect()} == {"mine" * 3}
+    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
+    assert mixing.mixed_rows(empty(spark)).count() == 0
+
+
+def test_mixed_rows_of_repeated_ids(spark):
+    """Texts of one id are taken each for itself, and of rows repeated as a whole one stands for all that is taken of them."""
+    text = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, text("a", 50), None, "s", 1), (1, text("b", 50), None, "s", 1), (1, text("c", 30), None, "s", 1), (None, text("d", 40), None, "s", 1), (2, text("e", 60), None, "s", 1), (2, text("e", 60), None, "s", 1), (3, text("f", 500), None, "t", 1), (None, None, None, "t", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    taken, mixed = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs, block=16).collect():
+        taken[r["doc_id"]] += r["taken"]
+    for r in mixing.mixed_rows(docs, block=16).collect():
+        mixed[r["doc_id"]] += len(words(r["text"]))
+    assert {k: v for k, v in taken.items() if v} == dict(mixed)
+    assert len({r["text"][0] for r in mixing.mixed_rows(docs, block=16).collect() if r["doc_id"] == 1}) == 3
+
+
+def slots_by_points(plan, block):
+    """The schedule, slot by slot."""
+    total, bounds = sum(q for *_, q in plan), np.cumsum([q for *_, q in plan])
+    blocks = [-(-size // block) for _, size, _ in plan]
+    left = [q // size * n + -(-(q % size) // block) for (_, size, q), n in zip(plan, blocks)]
+    slots, rank, out = sum(left), [0] * len(plan), []
+
+    def put(slot, k):
+        _, size, q = plan[k]
+        p, at = divmod(rank[k], blocks[k])
+        out.append((slot, plan[k][0], p, at, min(block, size - at * block, q - p * size - at * block)))
+        rank[k] += 1
+
+    for i in range(1, slots + 1):
+        x = i * mixing.GOLDEN % 2**64
+        k = next(k for k, b in enumerate(bounds) if x * total < int(b) * 2**64)
+        if rank[k] < left[k]:
+            put(i - 1, k)
+    for k in range(len(plan)):
+        while rank[k] < left[k]:
+            put(slots, k)
+            slots += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk", [mixing.CHUNK, 50])
+def test_schedule_follows_the_points(spark, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    plan = [(0, 1000, 1500), (1, 400, 300), (2, 50, 100), (4, 7000, 7000)]
+    rows = sorted(tuple(r) for r in mixing.schedule(spark, plan, 16).collect())
+    assert rows == sorted(slots_by_points(plan, 16))
     words_of = defaultdict(int)
-    for r in rows:
-        words_of[r["source_no"]] += r["words"]
-    assert words_of == {0: 1500, 1: 300, 2: 100}
-    early = [r["source_no"] for r in rows[:60]]
-    assert abs(early.count(0) / 60 - 1500 / 1900) < 0.06
+    for _, no, _, _, n in rows:
+        words_of[no] += n
+    assert words_of == {no: q for no, _, q in plan}
+
+
+def test_every_prefix_of_the_mix_is_mixed(spark):
+    """Rows in the order that mixed_rows gives them hold each source in its share, at any point, but for a few blocks."""
+    rows = [(k, " ".join(f"{k}x{j}" for j in range(5 + k % 40)), "en", "abc"[k % 3 if k % 2 else 0], 0) for k in range(900)]
+    docs = spark.createDataFrame(rows, DOC)
+    quota = defaultdict(float)
+    for r in mixing.mix(docs, block=32).collect():
+        quota[r["source"]] += r["taken"]
+    total, have, n = sum(quota.values()), defaultdict(int), 0
+    worst = 0
+    for r in mixing.mixed_rows(docs, block=32).collect():
+        have[r["source"]] += len(words(r["text"]))
+        n += len(words(r["text"]))
+        worst = max(worst, *(abs(have[s] - n * q / total) for s, q in quota.items()))
+    assert n == total and worst < 6 * 32 < 0.02 * total
 
 
 def test_packing(spark):
