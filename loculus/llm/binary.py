@@ -1,24 +1,29 @@
 """Token ids as files: frequency-ranked ids in byte-aligned codes of one to four bytes with separate control bytes.
 
-The files are a Parquet table, so that Spark's commit keeps them whole when executors are lost and any store can hold them.
-Each row is a block of documents: doc_ids and lens in order, control with two bits an id (its length in bytes less one, four
+A folder holds all that reading needs, in three Parquet tables, so that Spark's commit keeps them whole when executors are lost
+and any store can hold them:
+
+blocks: a row is a block of documents: doc_ids and lens in order, control with two bits an id (its length in bytes less one, four
 ids a byte, first id in the low bits), data with the codes' bytes, low byte first. Files and blocks ascend by doc_id.
+files: file, base: how many ids stand in the files before it.
+header, written last: version, the tokenizer file's name, the end id, and the id of each rank (unsigned 32-bit, little-endian).
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loculus.llm.common import drop_table, read_table, shuffle_parts, write_table
+from loculus.llm.common import drop_table, read_table, shared_dir, shuffle_parts, write_table
 from loculus.llm.tokens import tokenizer_path, word_ids
 
-END, BLOCK_IDS, WORDS = 1, 1 << 18, 800_000
+VERSION, END, BLOCK_IDS, WORDS = 1, 1, 1 << 18, 800_000
 #: Of each control byte, the lengths of its four codes.
 LENGTHS = np.stack([(np.arange(256) >> 2 * k & 3) + 1 for k in range(4)], 1).astype(np.uint8)
 
@@ -86,9 +91,10 @@ def id_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
-def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Writes docs' ids in ascending doc_id order (null last): the files as a table, the start of each file, the id of each rank."""
+def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end: int = END) -> str:
+    """Writes docs' ids in ascending doc_id order (null last) to the folder path, which must be new; None: one in the shared folder. Returns the path."""
     spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     tokenizer = tokenizer or tokenizer_path()
     plain = id_type(tokenizer, end)
     tokens = write_table(tokenise(docs, tokenizer, end), "ids-plain")
@@ -122,15 +128,23 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END) ->
             yield flush()
 
     ordered = tokens.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.crc32("ids"))
-    files = write_table(ordered.mapInArrow(encode, f"file int, block int, start bigint, doc_ids array<{kind}>, lens array<bigint>, control binary, data binary"), "ids-files")
+    ordered.mapInArrow(encode, f"file int, block int, start bigint, doc_ids array<{kind}>, lens array<bigint>, control binary, data binary").write.parquet(f"{path}/blocks")
     drop_table(tokens)
+    files = spark.read.parquet(f"{path}/blocks")
     sizes = files.groupBy("file").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("_n"))
     starts = sizes.select("file", F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a file
-    return files, starts, ids
-
-
-def read_ids(files: DataFrame, starts: DataFrame, ids: np.ndarray, digest: bool = False) -> DataFrame:
-    """The documents of the files: doc_id, start, n_tokens, and ids, or with digest ids_crc32 instead."""
+    starts.coalesce(1).write.parquet(f"{path}/files")
+    header = [(VERSION, tokenizer.rsplit("/", 1)[-1], end, bytearray(ids.astype("<u4").tobytes()))]
+    spark.createDataFrame(header, "version int, tokenizer string, end int, ids binary").coalesce(1).write.parquet(f"{path}/header")
+    return path
+
+
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """The documents of the folder path, which is all it needs: doc_id, start, n_tokens, and ids, or with digest ids_crc32 instead."""
+    header = spark.read.parquet(f"{path}/header").first()
+    if header["version"] != VERSION:
+        raise ValueError(f"{path} has version {header['version']}, not {VERSION}")
+    ids, files, starts = np.frombuffer(bytes(header["ids"]), "<u4"), spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/files")
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,4 +169,4 @@ def op9_token_ids(spark, sf_dir: str) -> DataFrame:
     ids' checksums, repeated rows each for itself; null doc_ids come last; an empty table gives an empty result; other
     columns are left behind.
     """
-    return read_ids(*write_ids(read_table(spark, sf_dir, "documents")), digest=True)
+    return read_ids(spark, write_ids(read_table(spark, sf_dir, "documents")), digest=True)

@@ -7,11 +7,21 @@ white space out of every piece. The memory of kept words is bounded; beyond it t
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 KEPT_WORDS = 400_000
+#: What a tokenizer file must say for its texts to be encoded word by word; another file's texts are encoded whole.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 #: Signs that are a piece of their own where they follow or, but for the apostrophe, precede a letter or digit.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FRONT = SIGNS.replace("'", "")
@@ -41,7 +51,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary, rules = self.tokenizer.get_vocab(), json.loads(self.tokenizer.to_str())
+        self.by_words = all(rules[k] == v for k, v in RULES.items()) and rules["model"].get("end_of_word_suffix") == "</w>" and all("<|" in t["content"] for t in rules["added_tokens"])
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {b"": b""}
@@ -100,6 +111,9 @@ class WordIds:
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: of an empty one), one after another, and where each text's ids begin and end."""
         texts = pc.fill_null(plain_strings(texts), "")
+        if not self.by_words:
+            parts = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *parts]), np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)]
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         if special.any():  # such texts may hold special tokens, which are found before anything else
             parts = [np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, "<u4") if s else self.encode_many(texts.slice(k, 1))[0] for k, (t, s) in enumerate(zip(texts, special))]
