@@ -15,8 +15,8 @@ from loculus.llm.common import prefix_sums, read_table, write_table
 from loculus.llm.tokens import tokenizer_path, word_ids
 
 CAPACITY, END = 2048, 0
-#: How far the search goes; the best packing found so far stands in any case.
-FILLINGS, NODES, STEPS = 8, 400, 60_000
+#: How far the search goes in all: dead ends, and steps, those within fillings among them. The best packing found so far stands in any case.
+NODES, STEPS = 2000, 400_000
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END) -> DataFrame:
@@ -90,74 +90,73 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [x for room in open_bins.values() for x in room]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int = FILLINGS, steps: int = 300) -> list[tuple[int, ...]]:
-    """Undominated ways to fill a bin's room from what is left, the fullest first; sizes: ascending, those with a count.
+class Effort:
+    """Steps that are left to a search."""
 
-    A filling is dominated, and left out, if one of its items or two of them together could give way to a larger item that
-    is left and fits in their place with the waste: whatever then goes elsewhere is no larger.
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int, effort: Effort) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill a bin's room from what is left with a waste of at most `most`, those of less waste first.
+
+    sizes: ascending, those with a count. A filling is dominated, and left out, if an item that is left fits into its waste, or if
+    one of its items or two of them together could give way to a larger item that is left and fits in their place with the
+    waste: whatever then goes elsewhere is no larger. The search's effort alone can end this earlier.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = steps
+
+    def left(size: int, items: tuple[int, ...]) -> bool:
+        return items.count(size) < counts[size]
 
     def dominated(items: tuple[int, ...], waste: int) -> bool:
+        if any(left(s, items) for s in sizes[: bisect_right(sizes, waste)]):
+            return True
         for i, a in enumerate(items):
-            k = bisect_right(sizes, a + waste) - 1
-            if k >= 0 and sizes[k] > a and items.count(sizes[k]) < counts[sizes[k]]:
+            if any(left(s, items) for s in sizes[bisect_right(sizes, a) : bisect_right(sizes, a + waste)]):
                 return True
             for b in items[i + 1 :]:
-                k = bisect_right(sizes, a + b + waste) - 1
-                if k >= 0 and sizes[k] >= a + b and items.count(sizes[k]) < counts[sizes[k]]:
+                if any(left(s, items) for s in sizes[bisect_left(sizes, a + b) : bisect_right(sizes, a + b + waste)]):
                     return True
         return False
 
-    def extend(items: tuple[int, ...], room: int, top: int) -> None:
-        nonlocal budget
-        k = bisect_right(sizes, min(room, top)) - 1
-        grown = False
-        while k >= 0 and budget > 0 and sum(w == 0 for w, _ in found) < most:
-            size = sizes[k]
-            if items.count(size) < counts[size]:
-                grown = True
-                budget -= 1
-                extend((*items, size), room - size, size)
-                if len(items) >= 3 or size * 2 < room and len(found) >= most:
-                    break
-            k -= 1
-        if not grown and not dominated(items, room):
-            found.append((room, items))
-
-    extend((), room, room)
-    found.sort(key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1])))
-    kept = list(dict.fromkeys(items for _, items in found))[:most]
-    return kept or [greedy(sizes, counts, room)]
-
-
-def greedy(sizes: list[int], counts: dict[int, int], room: int) -> tuple[int, ...]:
-    """The largest that fits, again and again: never dominated by an exchange of one item."""
-    items: list[int] = []
-    k = bisect_right(sizes, room) - 1
-    while k >= 0:
-        fit = min(counts[sizes[k]], room // sizes[k])
-        items += [sizes[k]] * fit
-        room -= fit * sizes[k]
-        k = min(k - 1, bisect_right(sizes, room) - 1)
-    return tuple(items)
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    def exactly(target: int, top: int, items: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield items
+            return
+        for k in range(bisect_right(sizes, min(target, top)) - 1, -1, -1):
+            if not effort.spend():
+                return
+            if left(sizes[k], items):
+                yield from exactly(target - sizes[k], sizes[k], (*items, sizes[k]))
+
+    for waste in range(min(room, most) + 1):
+        for items in exactly(room - waste, room, ()):
+            if not dominated(items, waste):
+                yield items
+        if effort.left <= 0:
+            return
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS, report: dict | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Packs sizes with their counts into few bins: (items, how many such bins).
 
     Equal sizes are one kind, so the search sees at most `capacity` kinds however many items there are. Best-fit decreasing is
     the first incumbent. Then, depth first, the largest size left gets its undominated fillings in turn, a filling for as
-    many bins as the counts allow; a branch ends when its waste is more than an incumbent with one bin less could have. A
-    packing with fewer bins becomes the incumbent. The search ends at the lower bound or after `nodes` dead ends.
+    many bins as the counts allow and then for one; a branch ends when its waste is more than an incumbent with one bin less
+    could have, and best-fit packs what a branch that has got deeper than any before has left. A packing with fewer bins becomes the
+    incumbent. The search ends at the lower bound, when all is tried, or after `nodes` dead ends or `steps` steps. report gets
+    bins, bound, best_fit, nodes and steps.
     """
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
-    bins = sum(n for _, n in best)
+    bins = first = sum(n for _, n in best)
     floor, total = least_bins(counts, capacity), sum(s * n for s, n in counts.items())
-    left, sizes, steps, ends = dict(counts), sorted(counts), 0, 0
-    path: list[list] = []  # of [choices, index, bins, waste]
+    left, sizes, effort, ends, seen, deepest = dict(counts), sorted(counts), Effort(steps), 0, 0, 0
+    path: list[list] = []  # of [choices, filling, times still to try, bins, waste]
     used, waste = 0, 0
 
     def take(items: tuple[int, ...], n: int) -> None:
@@ -172,46 +171,56 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                 insort(sizes, s)
             left[s] += n
 
+    def choices() -> Iterator[tuple[int, ...]]:
+        # what a filling may draw on stays as it is now while its branch is gone through
+        top, room, own = sizes[-1], dict(left), list(sizes)
+        room[top] -= 1
+        if not room[top]:
+            own.pop()
+        most = (bins - 1) * capacity - total - waste
+        return ((top, *f) for f in fillings(own, room, capacity - top, most, effort))
+
     forward = True
-    while bins > floor and ends < nodes and steps < STEPS:
-        steps += 1
+    while bins > floor and ends < nodes and effort.spend():
         if forward:
+            seen += 1
             if not sizes:
-                best, bins = [(p[0][p[1]], p[2]) for p in path], used
+                best, bins = [(p[1], p[3]) for p in path], used
                 forward = False
                 continue
-            top = sizes[-1]
-            take((top,), 1)
-            choices = [(top, *f) for f in fillings(sizes, left, capacity - top)]
-            give((top,), 1)
-            path.append([choices, -1, 0, 0])
+            if used > deepest:
+                deepest = used
+                rest = best_fit({s: left[s] for s in sizes}, capacity)
+                if used + sum(n for _, n in rest) < bins:
+                    best, bins = [*((p[1], p[3]) for p in path), *rest], used + sum(n for _, n in rest)
+                    continue
+            path.append([choices(), None, [], 0, 0])
         if not path:
             break
         node = path[-1]
-        if node[1] >= 0:
-            give(node[0][node[1]], node[2])
-            used, waste = used - node[2], waste - node[3]
-        node[1] += 1
-        if node[1] == len(node[0]):
-            path.pop()
-            forward = False
-            ends += 1
-            continue
-        items = node[0][node[1]]
-        many = min(left[s] // items.count(s) for s in set(items))
+        if node[3]:
+            give(node[1], node[3])
+            used, waste, node[3], node[4] = used - node[3], waste - node[4], 0, 0
+        if not node[2]:
+            node[1] = next(node[0], None)
+            if node[1] is None:
+                path.pop()
+                forward, ends = False, ends + 1
+                continue
+            many = min(left[s] // node[1].count(s) for s in set(node[1]))
+            node[2] = [1, many] if many > 1 else [1]
+        items, many = node[1], node[2].pop()
         lost = (capacity - sum(items)) * many
         # a waste beyond what one bin less would leave cannot improve on the incumbent
         if waste + lost > (bins - 1) * capacity - total:
-            node[2] = node[3] = 0
-            node_bins = 0
-            take(items, node_bins)
-            forward = False
-            ends += 1
+            forward, ends = False, ends + 1
             continue
         take(items, many)
-        node[2], node[3] = many, lost
+        node[3], node[4] = many, lost
         used, waste = used + many, waste + lost
         forward = True
+    if report is not None:
+        report.update(bins=bins, bound=floor, best_fit=first, nodes=seen, steps=steps - max(0, effort.left))
     return best
 
 
