@@ -1,4 +1,9 @@
-"""Toxicity: a linear classifier in numpy, learnt from confirmed toxic and unlabelled texts by non-negative PU risk."""
+"""Toxicity: a linear classifier in numpy, learnt from confirmed toxic and unlabelled texts by non-negative PU risk.
+
+Texts are read once: what of their features occurs in confirmed toxic texts is written, a few hundred bytes a row. All rows that
+may be learnt from enter the risk as unlabelled ones: they are dealt to blocks by hash, each block fits a model of its
+own against the confirmed rows, and the mean of these models is the classifier; means of linear models are linear.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import held_out, labelled, read_table
+from loculus.llm.common import even_keys, fresh, held_out, labelled, read_table, shuffle_parts, write_table
 
-#: The sample that is fitted: at most so many confirmed toxic rows and so many unlabelled ones. Scoring covers all rows.
-POSITIVES, UNLABELLED = 4000, 8000
+#: At most so many confirmed toxic rows are learnt from; unlabelled rows a block, all of them; the groups that models are added up in.
+POSITIVES, BLOCK, GROUPS = 4000, 8192, 64
+BROADCAST_ROWS = 1_000_000
 BITS, PREFIXES = 20, (4, 5, 6)
 KEPT_WORDS = 100_000
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&@+=~`^_/\\-–—…«»“”¡¿"
@@ -46,15 +52,6 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield part, part.column(part.num_columns - 1).to_pylist()
 
 
-def features(docs: DataFrame) -> DataFrame:
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordFeatures()
-        for part, rows in texts(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([words.of(x).tobytes() for x in rows], pa.binary())], names=["doc_id", "features"])
-
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, features binary")
-
-
 def sampled(ids: DataFrame, most: int) -> list:
     """At most `most` of the ids, those of the least hashes, the same in every run."""
     n = ids.count()
@@ -64,40 +61,47 @@ def sampled(ids: DataFrame, most: int) -> list:
     return [r["doc_id"] for r in ids.orderBy(F.pmod(h, F.lit(1 << 30)), "doc_id").limit(most).collect()]
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 100, rate: float = 0.1, l1: float = 6e-4, least: int | None = None, most: float = 0.25) -> tuple[np.ndarray, float]:
-    """Weights (2^BITS) and bias of least non-negative PU risk with logistic loss:
+def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows' features in one array, and the row of each."""
+    return (np.concatenate(rows) if rows else np.zeros(0)).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
 
-    prior * E_pos[l(s)] + max(0, E_unl[l(-s)] - prior * E_pos[l(-s)]); where the second term is below zero, its gradient is
-    followed upwards. Adam on the whole sample, with weights drawn towards 0. Features of
-    fewer than `least` rows (None: an 80th of the positives, 3 to 20) or of more than a share of `most` stay 0.
+
+def pu_risk(w: np.ndarray, b: float, pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[float, float, np.ndarray, float]:
+    """prior * E_pos[l(s)], E_unl[l(-s)] - prior * E_pos[l(-s)], and the gradient (weights, bias) that is followed:
+
+    of their sum, or where the second is below zero of the second upwards. l: logistic loss, s: a row's score.
     """
-    weights = np.zeros(1 << BITS, np.float32)
-    rows = [*pos, *unl]
+    return _risk(w, b, flat([*pos, *unl]), len(pos), len(unl), prior)
+
+
+def _risk(w: np.ndarray, b: float, table: tuple[np.ndarray, np.ndarray], n_pos: int, n_unl: int, prior: float) -> tuple[float, float, np.ndarray, float]:
+    col, row = table
+    s = b + np.bincount(row, w[col], n_pos + n_unl)
+    p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    is_pos = np.arange(len(s)) < n_pos
+    first = prior * np.mean(np.logaddexp(0, -s[is_pos]))
+    second = np.mean(np.logaddexp(0, s[~is_pos])) - prior * np.mean(np.logaddexp(0, s[is_pos]))
+    up, down = np.where(is_pos, prior * (p - 1) / n_pos, 0.0), np.where(is_pos, -prior * p / n_pos, p / n_unl)
+    g = up + down if second >= 0 else -down
+    return first, second, np.bincount(col, g[row], len(w)), float(g.sum())
+
+
+def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int, steps: int = 100, rate: float = 0.1, l1: float = 6e-4, most: float = 0.25) -> tuple[np.ndarray, float]:
+    """Weights of `size` features and bias of least non-negative PU risk (pu_risk), by Adam with weights drawn towards 0. Features of more than a share of `most` of the unlabelled rows stay 0."""
+    weights = np.zeros(size, np.float32)
     if not pos or not unl:
         return weights, -30.0 if not pos else 0.0
-    flat = np.concatenate(rows).astype(np.int32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=1 << BITS)
-    least = least or min(20, max(3, len(pos) // 80))
-    chosen = (df >= least) & (df <= max(least, most * len(rows)))
-    used = np.flatnonzero(chosen)
-    place = np.zeros(1 << BITS, np.int32)
+    common = np.bincount(flat(unl)[0], minlength=size) > most * len(unl)
+    used = np.flatnonzero(~common)
+    place = np.zeros(size, np.int32)
     place[used] = np.arange(len(used))
-    keep = chosen[flat]
-    col, row = place[flat[keep]], row[keep]
-    del flat, keep
+    col, row = flat([*pos, *unl])
+    keep = ~common[col]
+    col, row = place[col[keep]], row[keep]
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    is_pos = np.arange(len(rows)) < len(pos)
     for step in range(1, steps + 1):
-        s = b + np.bincount(row, w[col], len(rows))
-        p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        up, down = p - 1, p  # derivatives of l(s), l(-s)
-        inner = np.mean(np.logaddexp(0, s[~is_pos])) - prior * np.mean(np.logaddexp(0, s[is_pos]))
-        g = np.where(is_pos, prior * up / len(pos), 0.0)
-        second = np.where(is_pos, -prior * down / len(pos), down / len(unl))
-        g = g + second if inner >= 0 else -second
-        gw, gb = np.bincount(col, g[row], len(used)), float(g.sum())
+        _, _, gw, gb = _risk(w, b, (col, row), len(pos), len(unl), prior)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -110,55 +114,126 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int
     return weights, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
-    """Fits on confirmed toxic rows and on unlabelled ones, both from the rows that may be learnt from; the prior is the toxic share of the labels there."""
+def seen_in(docs: DataFrame, ids: DataFrame) -> np.ndarray:
+    """The features of the rows of docs with these ids that several of them have: three at least, or a 400th of them."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, count, rows = WordFeatures(), np.zeros(1 << BITS, np.int64), 0
+        for part, got in texts(batches):
+            for x in got:
+                count[words.of(x)] += 1
+            rows += len(got)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows, count[at]])], names=["f", "n"])
+
+    own = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(found, "f int, n bigint")
+    count = {r["f"]: r["n"] for r in own.groupBy("f").agg(F.sum("n").alias("n")).filter("f = -1 OR n >= 3").collect()}  # at most 2^BITS rows
+    rows = count.pop(-1, 0)
+    return np.array(sorted(f for f, n in count.items() if n >= rows // 400), np.uint32)
+
+
+def described(docs: DataFrame, ids: DataFrame, features: np.ndarray) -> DataFrame:
+    """doc_id, h (a hash of the text), learn (the row may be learnt from), pos (its id is one of ids), f: numbers of the features that the text has."""
+    shared = docs.sparkSession.sparkContext.broadcast(features)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, place = WordFeatures(), np.full(1 << BITS, -1, np.int32)
+        place[shared.value] = np.arange(len(shared.value))
+        for part, rows in texts(batches):
+            got = [place[words.of(x)] for x in rows]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([x[x >= 0].astype("<u4").tobytes() for x in got], pa.binary())], names=["doc_id", "h", "learn", "pos", "f"])
+
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = text.join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_pos"))), F.col("doc_id") == F.col("_id"), "left")
+    text = text.select("doc_id", F.xxhash64("text").alias("h"), (F.col("doc_id").isNotNull() & ~held_out()).alias("learn"), F.coalesce("_pos", F.lit(False)).alias("pos"), "text")
+    return text.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, learn boolean, pos boolean, f binary")
+
+
+def block_models(rows: DataFrame, pos: list[np.ndarray], prior: float, size: int) -> DataFrame:
+    """Of the models of all blocks of rows (h, doc_id, f): n (blocks) and the sums w (weights), b (bias), in at most GROUPS rows."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(pos)
+    blocks = max(1, round(rows.count() / BLOCK))
+    parts = max(shuffle_parts(spark), min(blocks, 1 << 14))
+    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(blocks))).select(F.get(keys, F.pmod("block", F.lit(parts)).cast("int")).alias("task"), "block", "doc_id", "h", "f")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        w, b, n, now, own = np.zeros(size), 0.0, 0, None, []
+
+        def close() -> None:
+            nonlocal w, b, n
+            got = nnpu(shared.value, own, prior, size)
+            w, b, n = w + got[0], b + got[1], n + 1
+
+        for batch in batches:
+            for block, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != now and own:
+                    close()
+                    own = []
+                now = block
+                own.append(np.frombuffer(f, "<u4"))
+        if own:
+            close()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([n], pa.int64())], names=["part", "w", "b", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b, n = np.zeros(size), 0.0, 0
+        for batch in batches:
+            for _, x, y, m in zip(*[c.to_pylist() for c in batch.columns]):
+                w, b, n = w + np.frombuffer(x), b + y, n + m
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([n], pa.int64())], names=["part", "w", "b", "n"])
+
+    kind = "part bigint, w binary, b double, n bigint"
+    models = dealt.repartition(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(total, kind)
+    return models.repartition(GROUPS, "part").sortWithinPartitions("b").mapInArrow(add, kind)
+
+
+def toxic_table(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> DataFrame:
+    """doc_id, h (a hash of the text) and score of every row.
+
+    The prior is the toxic share of the labels that may be learnt from; at most `positives` of the toxic ones are, those of the
+    least hashes of their ids.
+    """
     spark = docs.sparkSession
     known = labelled(spark, labels, "toxic")
     share = known.agg(F.avg("label").alias("p"), F.count("label").alias("n")).collect()[0]
-    if not share["n"] or not share["p"]:
-        return np.zeros(1 << BITS, np.float32), -30.0
-    prior = min(max(float(share["p"]), 1e-4), 0.9)
-    pos = sampled(known.filter("label = 1").select("doc_id"), positives)
-    unl = sampled(docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id"), unlabelled)
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    ids = spark.createDataFrame([(i,) for i in dict.fromkeys([*pos, *unl])], kind)
-    found = {i: np.frombuffer(x, "<u4") for i, x in sorted(map(tuple, features(docs.join(F.broadcast(ids), "doc_id", "left_semi")).collect()))}
-    return nnpu([found[i] for i in pos if i in found], [found[i] for i in unl if i in found], prior)
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id, score of every row; the model, at most 4 * 2^BITS bytes, is broadcast."""
-    at = np.flatnonzero(model[0]).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast((at, model[0][at], model[1]))
+    pos = sampled(known.filter("label = 1").select("doc_id"), positives) if share["n"] and share["p"] else []
+    ids = spark.createDataFrame([(i,) for i in pos], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}")
+    features = seen_in(docs, ids) if pos else np.zeros(0, np.uint32)
+    size = len(features)
+    rows = write_table(described(docs, ids, features), "toxic-features")
+    confirmed = [np.frombuffer(r["f"], "<u4") for r in rows.filter("pos").dropDuplicates(["doc_id", "h"]).orderBy("doc_id", "h").collect()]
+    weights, bias = np.zeros(size), -30.0
+    if confirmed:
+        prior = min(max(float(share["p"]), 1e-4), 0.9)
+        sums = sorted(block_models(rows.filter("learn").select("doc_id", "h", "f"), confirmed, prior, size).collect(), key=lambda r: (r["b"], r["w"]))
+        n = sum(r["n"] for r in sums)
+        weights, bias = sum(np.frombuffer(r["w"]) for r in sums) / n, sum(r["b"] for r in sums) / n
+    shared = spark.sparkContext.broadcast((weights, bias))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, bias = shared.value
-        weights = np.zeros(1 << BITS)
-        weights[at] = values
-        words = WordFeatures()
-        for part, rows in texts(batches):
-            s = np.array([bias + weights[words.of(x)].sum() for x in rows])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(s, -500, 500))), pa.float64())], names=["doc_id", "score"])
+        weights, bias = shared.value
+        for b in batches:
+            col, row = flat([np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()])
+            s = bias + np.bincount(row, weights[col], b.num_rows) if len(col) else np.full(b.num_rows, bias)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(s, -500, 500))), pa.float64())], names=["doc_id", "h", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.select("doc_id", "h", "f").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, all columns."""
-    at, values, bias = (lambda m: (np.flatnonzero(m[0]).astype(np.uint32), m[0][np.flatnonzero(m[0])], m[1]))(fit(docs, labels))
-    shared, column = docs.sparkSession.sparkContext.broadcast((at, values, bias)), docs.columns.index("text")
-    logit = float(np.log(threshold / (1 - threshold)))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, bias = shared.value
-        weights = np.zeros(1 << BITS)
-        weights[at] = values
-        words = WordFeatures()
-        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            s = np.array([bias + weights[words.of(x)].sum() for x in b.column(column).to_pylist()])
-            yield b.filter(pa.array(s < logit))
-
-    return docs.mapInArrow(kept, docs.schema)
+    """The rows of docs that score below the threshold, all columns whatever their names. Null and empty texts and rows without doc_id are scored like others; repeated rows stay or go together; an empty table stays empty."""
+    bad = toxic_table(docs, labels).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    bad = write_table(bad, "toxic-rows")
+    row, h = fresh(docs, "clean_row"), fresh(docs, "clean_hash")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.xxhash64(docs["text"].cast("string")).alias(h))
+    few = bad.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(bad) if few else bad, (F.col(h) == bad["_h"]) & F.col(f"{row}.doc_id").eqNullSafe(bad["_id"]), "left_anti").select(f"{row}.*")
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -168,7 +243,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     without doc_id is scored and not held out. Without a toxic label to learn from all scores are about 0. An empty table gives
     an empty result. Other columns are left behind.
     """
-    return score(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return toxic_table(docs, labels).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -230,14 +230,55 @@ def test_bin_completion_is_best():
         go(0, [])
         return least[0]
 
-    rnd = random.Random(3)
-    for _ in range(150):
+    rnd, better = random.Random(3), 0
+    for _ in range(300):
         items = [rnd.randint(15, 70) for _ in range(rnd.randint(1, 11))]
-        counts = {s: items.count(s) for s in items}
-        plan = packing.bin_completion(counts, 100)
+        counts, report = {s: items.count(s) for s in items}, {}
+        plan = packing.bin_completion(counts, 100, report=report)
         packed = sorted(s for bin_, n in plan for s in bin_ * n)
         assert packed == sorted(items) and all(sum(b) <= 100 for b, _ in plan)
-        assert sum(n for _, n in plan) == best(items, 100)
+        assert sum(n for _, n in plan) == report["bins"] == best(items, 100)
+        better += report["bins"] < report["best_fit"]
+    assert better
+
+
+def test_search_beats_best_fit():
+    """Triples that fill bins without waste, which best-fit does not find."""
+    rnd, better = random.Random(5), 0
+    for _ in range(10):
+        items = []
+        for _ in range(14):
+            a, b = rnd.randint(380, 490), rnd.randint(250, 380)
+            items += [a, b, 1000 - a - b]
+        report = {}
+        plan = packing.bin_completion({s: items.count(s) for s in items}, 1000, report=report)
+        assert sorted(s for bin_, n in plan for s in bin_ * n) == sorted(items)
+        assert report["bound"] <= report["bins"] <= report["best_fit"]
+        better += report["bins"] < report["best_fit"]
+    assert better >= 5
+
+
+def test_fillings_are_all_that_no_other_dominates():
+    from itertools import combinations
+
+    rnd = random.Random(6)
+    for _ in range(60):
+        items = sorted(rnd.randint(3, 30) for _ in range(8))
+        counts, room = {s: items.count(s) for s in items}, 40
+        sizes = sorted(counts)
+        ways = {tuple(sorted(c, reverse=True)) for n in range(9) for c in combinations(items, n) if sum(c) <= room}
+
+        def left(way):
+            return [s for s in sizes if way.count(s) < counts[s]]
+
+        def dominated(way):
+            waste = room - sum(way)
+            parts = [0, *way], [a + b for a, b in combinations(way, 2)]
+            return any(s <= waste for s in left(way)) or any(p < s <= p + waste for p in parts[0] for s in left(way)) or any(p <= s <= p + waste for p in parts[1] for s in left(way))
+
+        got = list(packing.fillings(sizes, counts, room, room, packing.Effort(10**6)))
+        assert sorted(got) == sorted(w for w in ways if not dominated(w))
+        assert [room - sum(x) for x in got] == sorted(room - sum(x) for x in got)
 
 
 def test_fingerprints(spark):
@@ -440,16 +481,55 @@ def test_vectors_in_large_clusters(spark):
 def test_token_files(spark):
     rows = odd_docs()
     w = word_ids(tokenizer_path())
-    files, starts, ids = binary.write_ids(frame(spark, rows))
-    got = sorted(binary.read_ids(files, starts, ids).collect(), key=lambda r: r["doc_id"])
+    path = binary.write_ids(frame(spark, rows))
+    got = sorted(binary.read_ids(spark, path).collect(), key=lambda r: r["doc_id"])
     at = 0
     for r, (i, t, *_) in zip(got, rows):
         want = [*w.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, at, len(want)) and np.frombuffer(r["ids"], "<u4").tolist() == want
         at += len(want)
-    assert binary.read_ids(*binary.write_ids(empty(spark)), digest=True).count() == 0
+    assert binary.read_ids(spark, binary.write_ids(empty(spark)), digest=True).count() == 0
     twice = spark.createDataFrame([(1, "a b", None, None, 1)] * 2 + [(None, None, None, None, None)], DOC)
-    assert sorted(r["start"] for r in binary.read_ids(*binary.write_ids(twice)).collect()) == [0, 3, 6]
+    assert sorted(r["start"] for r in binary.read_ids(spark, binary.write_ids(twice)).collect()) == [0, 3, 6]
+
+
+def test_token_files_stand_alone(spark, tmp_path):
+    """A process that has the path alone decodes the files."""
+    import json
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    rows = odd_docs(21, 20)
+    path = binary.write_ids(frame(spark, rows), f"file://{tmp_path}/ids", end=7)
+    code = f"""
+import sys, json
+sys.path.insert(0, {ROOT!r})
+from loculus.session import local_session
+from loculus.llm.binary import read_ids
+import numpy as np
+got = read_ids(local_session("fresh", cpus=1, shuffle_partitions=2), {path!r}).collect()
+print("GOT" + json.dumps(sorted((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got)))
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300).stdout
+    got, w, at = json.loads(said[said.index("GOT") + 3 :].splitlines()[0]), word_ids(tokenizer_path()), 0
+    assert len(got) == len(rows)
+    for (doc, start, ids), (i, t, *_) in zip(got, rows):
+        want = [*w.tokenizer.encode(t or "", add_special_tokens=False).ids, 7]
+        assert (doc, start, ids) == (i, at, want)
+        at += len(want)
+
+
+def test_tokenizer_of_other_rules():
+    import pyarrow as pa
+
+    w = word_ids(tokenizer_path("byte_bpe_50k.json"))
+    texts = [r[1] for r in odd_docs(22, 20)] + ["two  spaces, Ångström", "<|endoftext|>"]
+    assert not w.by_words and word_ids(tokenizer_path()).by_words
+    flat, at = w.encode_many(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert flat[at[k] : at[k + 1]].tolist() == w.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def test_codes():
@@ -492,6 +572,96 @@ def test_toxicity_and_quality(spark):
     assert quality.keep_good(d, lab).columns == d.columns
 
 
+def test_risk_and_its_gradient():
+    """The risk by its formula, its gradient by differences, on both sides of zero."""
+    rng = np.random.default_rng(14)
+    pos, unl = ([np.unique(rng.integers(0, 30, rng.integers(0, 9))) for _ in range(n)] for n in (12, 40))
+    for scale in (0.1, 4.0):
+        w, b, prior = scale * rng.normal(size=30), 0.3 * scale, 0.4
+        s = lambda rows, w, b: np.array([b + w[r].sum() for r in rows])
+        loss = lambda x: np.log1p(np.exp(-x))
+
+        def parts(w, b):
+            return prior * loss(s(pos, w, b)).mean(), loss(-s(unl, w, b)).mean() - prior * loss(-s(pos, w, b)).mean()
+
+        first, second, gw, gb = toxicity.pu_risk(w, b, pos, unl, prior)
+        assert (first, second) == pytest.approx(parts(w, b))
+        what = (lambda w, b: sum(parts(w, b))) if second >= 0 else (lambda w, b: -parts(w, b)[1])
+        for k in range(30):
+            d = np.eye(30)[k] * 1e-5
+            assert gw[k] == pytest.approx((what(w + d, b) - what(w - d, b)) / 2e-5, abs=1e-6)
+        assert gb == pytest.approx((what(w, b + 1e-5) - what(w, b - 1e-5)) / 2e-5, abs=1e-6)
+    # confirmed rows alone score high: the second part is below zero
+    w = np.zeros(30)
+    w[7] = 12.0
+    low = toxicity.pu_risk(w, -6.0, [np.array([7])] * 3, [np.zeros(0, int)] * 5, 0.5)
+    assert low[1] < 0 and low[2][7] == pytest.approx(0.5, abs=0.01)
+
+
+def test_all_unlabelled_rows_are_learnt_from(spark, monkeypatch):
+    """Blocks hold all rows that may be learnt from, each once; scores are the mean model's, row by row."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "BLOCK", 40)
+    docs, labels = labelled_docs(400)
+    d, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    confirmed = [i for i, _, t in labels if t and i is not None and i < 400 and zlib.crc32(str(i).encode()) % 5]
+    ids = spark.createDataFrame([(i,) for i in confirmed], "doc_id long")
+    features = toxicity.seen_in(d, ids)
+    text, w = {i: t for i, t, *_ in docs}, toxicity.WordFeatures()
+    count = defaultdict(int)
+    for i in confirmed:
+        for f in w.of(text[i]).tolist():
+            count[f] += 1
+    assert features.tolist() == sorted(f for f, n in count.items() if n >= 3)
+    rows = toxicity.described(d, ids, features)
+    learn = [i for i, *_ in docs if i is not None and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r["doc_id"] for r in rows.filter("learn").collect()) == learn and sorted(r["doc_id"] for r in rows.filter("pos").collect()) == confirmed
+    pos = [np.frombuffer(r["f"], "<u4") for r in rows.filter("pos").orderBy("doc_id").collect()]
+    seen = []
+    sums = toxicity.block_models(rows.filter("learn").select("doc_id", "h", "f"), pos, 0.1, len(features)).collect()
+    assert sum(r["n"] for r in sums) == round(len(learn) / 40)
+    blocks = defaultdict(list)
+    for r in rows.filter("learn").select("doc_id", "h", "f", F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(round(len(learn) / 40))).alias("b")).orderBy("b", "doc_id", "h").collect():
+        blocks[r["b"]].append(np.frombuffer(r["f"], "<u4"))
+        seen.append(r["doc_id"])
+    assert sorted(seen) == learn
+    want = [toxicity.nnpu(pos, x, 0.1, len(features)) for x in blocks.values()]
+    assert sum(np.frombuffer(r["w"]) for r in sums) == pytest.approx(sum(x[0].astype(float) for x in want), abs=1e-4)
+    assert sum(r["b"] for r in sums) == pytest.approx(sum(x[1] for x in want))
+
+
+def test_quality_scores_by_a_plain_loop(spark):
+    docs, labels = labelled_docs()
+    d, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, got = quality.fit(d, lab), {r["doc_id"]: r["score"] for r in quality.quality_scores(d, lab).collect()}
+    assert model.pairs and len(model.tables) == len(quality.NAMES)
+
+    def bin_of(cuts, v):
+        return sum(c <= v for c in cuts.tolist())
+
+    for i, t, *_ in docs[::7]:
+        x = quality.describe(t)
+        s = model.bias + sum(t[bin_of(c, v)] for t, c, v in zip(model.tables, model.cuts, x))
+        s += sum(t[bin_of(ci, x[i]), bin_of(cj, x[j])] for i, j, ci, cj, t in model.pairs)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-s)))
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty texts, repeated rows, clashing names, and no rows, through each stage."""
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled_docs(120)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame(docs + docs[:5] + [(3, "another text of one id", "en", "b", 5), (None, None, None, None, None)], DOC).withColumns({c: F.lit("mine") for c in ("_id", "_h", "_pos", "f", "h", "learn", "row", "_clean_row", "score", "_gone", "key")})
+    for stage in (toxicity.keep_clean, quality.keep_good):
+        out = stage(odd, lab)
+        assert out.columns == odd.columns and {r["key"] for r in out.collect()} == {"mine"}
+        assert stage(odd.limit(0), lab).count() == 0
+    want = sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in toxicity.toxic_scores(odd, lab).filter("predicted = 0").collect()))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in toxicity.keep_clean(odd, lab).collect()) == want
+
+
 def test_interactions():
     rng = np.random.default_rng(10)
     x = rng.random((4000, 4))
