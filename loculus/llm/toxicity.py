@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier in numpy, learnt from confirmed toxic and unlabelled texts by non-negative PU risk.
 
 Texts are read once: what of their features occurs in confirmed toxic texts is written, a few hundred bytes a row. All rows that
-may be learnt from enter the risk as unlabelled ones: they are dealt to blocks by hash, each block fits a model of its
-own against the confirmed rows, and the mean of these models is the classifier; means of linear models are linear.
+may be learnt from are counted as unlabelled ones, and features as frequent in them as in confirmed ones, by chance and more,
+are left out. Then all enter the risk: they are dealt to blocks by hash, each block fits a model of its own against the
+confirmed rows, and the mean of these models is the classifier; means of linear models are linear.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from loculus.llm.common import even_keys, fresh, held_out, labelled, read_table,
 #: At most so many confirmed toxic rows are learnt from; unlabelled rows a block, all of them; the groups that models are added up in.
 POSITIVES, BLOCK, GROUPS = 4000, 8192, 64
 BROADCAST_ROWS = 1_000_000
+#: A feature tells something if its share of the confirmed rows is so many deviations from that of all; more than COMMON of all rows have none.
+DEVIATIONS, COMMON = 2.0, 0.25
 BITS, PREFIXES = 20, (4, 5, 6)
 KEPT_WORDS = 100_000
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&@+=~`^_/\\-–—…«»“”¡¿"
@@ -86,22 +89,15 @@ def _risk(w: np.ndarray, b: float, table: tuple[np.ndarray, np.ndarray], n_pos:
     return first, second, np.bincount(col, g[row], len(w)), float(g.sum())
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int, steps: int = 100, rate: float = 0.1, l1: float = 6e-4, most: float = 0.25) -> tuple[np.ndarray, float]:
-    """Weights of `size` features and bias of least non-negative PU risk (pu_risk), by Adam with weights drawn towards 0. Features of more than a share of `most` of the unlabelled rows stay 0."""
-    weights = np.zeros(size, np.float32)
+def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int, steps: int = 100, rate: float = 0.1, l1: float = 6e-4) -> tuple[np.ndarray, float]:
+    """Weights of `size` features and bias of least non-negative PU risk (pu_risk), by Adam with weights drawn towards 0."""
     if not pos or not unl:
-        return weights, -30.0 if not pos else 0.0
-    common = np.bincount(flat(unl)[0], minlength=size) > most * len(unl)
-    used = np.flatnonzero(~common)
-    place = np.zeros(size, np.int32)
-    place[used] = np.arange(len(used))
-    col, row = flat([*pos, *unl])
-    keep = ~common[col]
-    col, row = place[col[keep]], row[keep]
-    w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+        return np.zeros(size), -30.0 if not pos else 0.0
+    table = flat([*pos, *unl])
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
-        _, _, gw, gb = _risk(w, b, (col, row), len(pos), len(unl), prior)
+        _, _, gw, gb = _risk(w, b, table, len(pos), len(unl), prior)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -110,8 +106,17 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int,
         w = w - scale * (m / c1)
         w = np.sign(w) * np.maximum(0, np.abs(w) - scale * l1)
         b -= lr * (mb / c1) / (np.sqrt(vb / c2) + 1e-5)
-    weights[used] = w
-    return weights, b
+    return w, b
+
+
+def telling(pos: np.ndarray, n_pos: int, every: np.ndarray, n: int) -> np.ndarray:
+    """Whether features tell confirmed rows from others, by how many of n_pos confirmed and of n rows have them."""
+    p, q = pos / max(1, n_pos), every / max(1, n)
+    return (np.abs(p - q) >= DEVIATIONS * np.sqrt((q * (1 - q) + 1e-12) / max(1, n_pos))) & (q <= COMMON)
+
+
+def packed(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def seen_in(docs: DataFrame, ids: DataFrame) -> np.ndarray:
@@ -134,14 +139,14 @@ def seen_in(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 
 def described(docs: DataFrame, ids: DataFrame, features: np.ndarray) -> DataFrame:
     """doc_id, h (a hash of the text), learn (the row may be learnt from), pos (its id is one of ids), f: numbers of the features that the text has."""
-    shared = docs.sparkSession.sparkContext.broadcast(features)
+    shared, kind = docs.sparkSession.sparkContext.broadcast(features), packed(len(features))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place = WordFeatures(), np.full(1 << BITS, -1, np.int32)
         place[shared.value] = np.arange(len(shared.value))
         for part, rows in texts(batches):
             got = [place[words.of(x)] for x in rows]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([x[x >= 0].astype("<u4").tobytes() for x in got], pa.binary())], names=["doc_id", "h", "learn", "pos", "f"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([x[x >= 0].astype(kind).tobytes() for x in got], pa.binary())], names=["doc_id", "h", "learn", "pos", "f"])
 
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     text = text.join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_pos"))), F.col("doc_id") == F.col("_id"), "left")
@@ -149,36 +154,17 @@ def described(docs: DataFrame, ids: DataFrame, features: np.ndarray) -> DataFram
     return text.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, learn boolean, pos boolean, f binary")
 
 
-def block_models(rows: DataFrame, pos: list[np.ndarray], prior: float, size: int) -> DataFrame:
-    """Of the models of all blocks of rows (h, doc_id, f): n (blocks) and the sums w (weights), b (bias), in at most GROUPS rows."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(pos)
-    blocks = max(1, round(rows.count() / BLOCK))
-    parts = max(shuffle_parts(spark), min(blocks, 1 << 14))
-    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(blocks))).select(F.get(keys, F.pmod("block", F.lit(parts)).cast("int")).alias("task"), "block", "doc_id", "h", "f")
+SUMS = "part bigint, w binary, b double, n bigint"
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        w, b, n, now, own = np.zeros(size), 0.0, 0, None, []
+def _sums(w: np.ndarray, b: float, n: int) -> pa.RecordBatch:
+    from pyspark import TaskContext
 
-        def close() -> None:
-            nonlocal w, b, n
-            got = nnpu(shared.value, own, prior, size)
-            w, b, n = w + got[0], b + got[1], n + 1
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([n], pa.int64())], names=["part", "w", "b", "n"])
 
-        for batch in batches:
-            for block, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if block != now and own:
-                    close()
-                    own = []
-                now = block
-                own.append(np.frombuffer(f, "<u4"))
-        if own:
-            close()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([n], pa.int64())], names=["part", "w", "b", "n"])
+
+def added(sums: DataFrame, size: int) -> tuple[np.ndarray, float, int]:
+    """The total of sums (part, w, b, n), a row a task, by way of at most GROUPS rows."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, n = np.zeros(size), 0.0, 0
@@ -186,11 +172,61 @@ def block_models(rows: DataFrame, pos: list[np.ndarray], prior: float, size: int
             for _, x, y, m in zip(*[c.to_pylist() for c in batch.columns]):
                 w, b, n = w + np.frombuffer(x), b + y, n + m
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([n], pa.int64())], names=["part", "w", "b", "n"])
+            yield _sums(w, b, n)
+
+    got = sums.repartition(GROUPS, "part").sortWithinPartitions("b", "w").mapInArrow(add, SUMS).collect()
+    got = sorted(got, key=lambda r: (r["b"], r["w"]))
+    return sum((np.frombuffer(r["w"]) for r in got), np.zeros(size)), sum(r["b"] for r in got), sum(r["n"] for r in got)
+
+
+def counted(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """How many of the rows (f) have each feature, and how many rows there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(size), 0
+        for b in batches:
+            total, n = total + np.bincount(flat([np.frombuffer(x, packed(size)) for x in b.column(0).to_pylist()])[0], minlength=size), n + b.num_rows
+        if n:
+            yield _sums(total, 0.0, n)
+
+    total, _, n = added(rows.select("f").mapInArrow(count, SUMS), size)
+    return total, n
+
+
+def block_models(rows: DataFrame, n: int, pos: list[np.ndarray], prior: float, used: np.ndarray, size: int) -> tuple[np.ndarray, float, int]:
+    """The sums of the weights of the features used and of the biases over the models of all blocks of the n rows (doc_id, h, f), and how many blocks there are."""
+    spark = rows.sparkSession
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    shared, kind = spark.sparkContext.broadcast((place, [x[x >= 0] for x in (place[f] for f in pos)])), packed(len(used))
+    blocks = max(1, round(n / BLOCK))
+    parts = max(shuffle_parts(spark), min(blocks, 1 << 14))
+    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value[0]
+        for b in batches:
+            got = [place[np.frombuffer(x, packed(size))] for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x[x >= 0].astype(kind).tobytes() for x in got], pa.binary())], names=["block", "doc_id", "h", "f"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b, many, now, own = np.zeros(len(used)), 0.0, 0, None, []
+        for batch in batches:
+            for block, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != now and own:
+                    got = nnpu(shared.value[1], own, prior, len(used))
+                    w, b, many, own = w + got[0], b + got[1], many + 1, []
+                now = block
+                own.append(np.frombuffer(f, kind))
+        if own:
+            got = nnpu(shared.value[1], own, prior, len(used))
+            w, b, many = w + got[0], b + got[1], many + 1
+        if many:
+            yield _sums(w, b, many)
 
-    kind = "part bigint, w binary, b double, n bigint"
-    models = dealt.repartition(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(total, kind)
-    return models.repartition(GROUPS, "part").sortWithinPartitions("b").mapInArrow(add, kind)
+    small = rows.select(F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(blocks)).alias("block"), "doc_id", "h", "f")
+    small = small.mapInArrow(select, small.schema).withColumn("task", F.get(keys, F.pmod("block", F.lit(parts)).cast("int")))
+    return added(small.repartition(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(total, SUMS), len(used))
 
 
 def toxic_table(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> DataFrame:
@@ -207,19 +243,21 @@ def toxic_table(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES)
     features = seen_in(docs, ids) if pos else np.zeros(0, np.uint32)
     size = len(features)
     rows = write_table(described(docs, ids, features), "toxic-features")
-    confirmed = [np.frombuffer(r["f"], "<u4") for r in rows.filter("pos").dropDuplicates(["doc_id", "h"]).orderBy("doc_id", "h").collect()]
+    confirmed = [np.frombuffer(r["f"], packed(size)) for r in rows.filter("pos").dropDuplicates(["doc_id", "h"]).orderBy("doc_id", "h").collect()]
     weights, bias = np.zeros(size), -30.0
-    if confirmed:
+    learn = rows.filter("learn").select("doc_id", "h", "f")
+    every, n = counted(learn, size) if confirmed else (None, 0)
+    if n:
         prior = min(max(float(share["p"]), 1e-4), 0.9)
-        sums = sorted(block_models(rows.filter("learn").select("doc_id", "h", "f"), confirmed, prior, size).collect(), key=lambda r: (r["b"], r["w"]))
-        n = sum(r["n"] for r in sums)
-        weights, bias = sum(np.frombuffer(r["w"]) for r in sums) / n, sum(r["b"] for r in sums) / n
+        used = np.flatnonzero(telling(np.bincount(flat(confirmed)[0], minlength=size), len(confirmed), every, n))
+        w, b, many = block_models(learn, n, confirmed, prior, used, size)
+        weights[used], bias = w / many, b / many
     shared = spark.sparkContext.broadcast((weights, bias))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for b in batches:
-            col, row = flat([np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()])
+            col, row = flat([np.frombuffer(x, packed(size)) for x in b.column(2).to_pylist()])
             s = bias + np.bincount(row, weights[col], b.num_rows) if len(col) else np.full(b.num_rows, bias)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(s, -500, 500))), pa.float64())], names=["doc_id", "h", "score"])
 

@@ -617,18 +617,26 @@ def test_all_unlabelled_rows_are_learnt_from(spark, monkeypatch):
     rows = toxicity.described(d, ids, features)
     learn = [i for i, *_ in docs if i is not None and zlib.crc32(str(i).encode()) % 5]
     assert sorted(r["doc_id"] for r in rows.filter("learn").collect()) == learn and sorted(r["doc_id"] for r in rows.filter("pos").collect()) == confirmed
-    pos = [np.frombuffer(r["f"], "<u4") for r in rows.filter("pos").orderBy("doc_id").collect()]
-    seen = []
-    sums = toxicity.block_models(rows.filter("learn").select("doc_id", "h", "f"), pos, 0.1, len(features)).collect()
-    assert sum(r["n"] for r in sums) == round(len(learn) / 40)
+    kind, size, n = toxicity.packed(len(features)), len(features), len(learn)
+    pos = [np.frombuffer(r["f"], kind) for r in rows.filter("pos").orderBy("doc_id").collect()]
+    own = rows.filter("learn").select("doc_id", "h", "f")
+    every = np.zeros(size)
+    for r in own.collect():
+        every[np.frombuffer(r["f"], kind)] += 1
+    got = toxicity.counted(own, size)
+    assert (got[0] == every).all() and got[1] == n
+    used = np.flatnonzero(toxicity.telling(np.bincount(np.concatenate(pos), minlength=size), len(pos), every, n))
+    assert 0 < len(used) < size
+    w, b, many = toxicity.block_models(own, n, pos, 0.1, used, size)
+    assert many == round(n / 40)
+    place = {f: k for k, f in enumerate(used.tolist())}
+    mine = lambda x: np.array([place[f] for f in x.tolist() if f in place], int)
     blocks = defaultdict(list)
-    for r in rows.filter("learn").select("doc_id", "h", "f", F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(round(len(learn) / 40))).alias("b")).orderBy("b", "doc_id", "h").collect():
-        blocks[r["b"]].append(np.frombuffer(r["f"], "<u4"))
-        seen.append(r["doc_id"])
-    assert sorted(seen) == learn
-    want = [toxicity.nnpu(pos, x, 0.1, len(features)) for x in blocks.values()]
-    assert sum(np.frombuffer(r["w"]) for r in sums) == pytest.approx(sum(x[0].astype(float) for x in want), abs=1e-4)
-    assert sum(r["b"] for r in sums) == pytest.approx(sum(x[1] for x in want))
+    for r in own.withColumn("b", F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(many))).orderBy("b", "doc_id", "h").collect():
+        blocks[r["b"]].append(mine(np.frombuffer(r["f"], kind)))
+    assert sum(map(len, blocks.values())) == n
+    want = [toxicity.nnpu([mine(x) for x in pos], x, 0.1, len(used)) for x in blocks.values()]
+    assert w == pytest.approx(sum(x[0] for x in want), abs=1e-6) and b == pytest.approx(sum(x[1] for x in want))
 
 
 def test_quality_scores_by_a_plain_loop(spark):
