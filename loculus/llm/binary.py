@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loculus.llm.common import drop_table, read_table, shared_dir, shuffle_parts, write_table
+from loculus.llm.common import drop_table, light, read_table, shared_dir, shuffle_parts, write_table
 from loculus.llm.tokens import tokenizer_path, word_ids
 
 VERSION, END, BLOCK_IDS, WORDS = 1, 1, 1 << 18, 800_000
@@ -65,7 +65,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
                 got = [flat[i:j].astype(kind).tobytes() + last for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds) + 1), pa.array(got, pa.binary())], names=["doc_id", "n", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, ids binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(light(ids), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, ids binary")
 
 
 def id_type(tokenizer: str, end: int) -> str:
@@ -87,7 +87,7 @@ def id_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(light(count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
@@ -128,7 +128,7 @@ def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None =
             yield flush()
 
     ordered = tokens.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.crc32("ids"))
-    ordered.mapInArrow(encode, f"file int, block int, start bigint, doc_ids array<{kind}>, lens array<bigint>, control binary, data binary").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(light(encode), f"file int, block int, start bigint, doc_ids array<{kind}>, lens array<bigint>, control binary, data binary").write.parquet(f"{path}/blocks")
     drop_table(tokens)
     files = spark.read.parquet(f"{path}/blocks")
     sizes = files.groupBy("file").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("_n"))
@@ -159,7 +159,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
 
     name = "ids_crc32" if digest else "ids"
     based = files.join(F.broadcast(starts), "file").select("doc_ids", "lens", "control", "data", (F.col("start") + F.col("base")).alias("start"))
-    return based.select("doc_ids", "lens", "control", "data", "start").mapInArrow(decode, f"doc_id {kind}, start bigint, n_tokens bigint, {name} {'bigint' if digest else 'binary'}")
+    return based.select("doc_ids", "lens", "control", "data", "start").mapInArrow(light(decode), f"doc_id {kind}, start bigint, n_tokens bigint, {name} {'bigint' if digest else 'binary'}")
 
 
 def op9_token_ids(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,30 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def tidy() -> None:
+    """Gives what a Python worker has freed back to the machine; workers live on, and what they keep adds up over steps."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def light(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, a function of mapInArrow, with a worker tidied after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: fewer rows in an Arrow batch keep Python workers small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
@@ -129,7 +153,7 @@ def prefix_sums(df: DataFrame, key: str | None, order: list[str], sums: dict[str
                 cols.append(pa.array(got, pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, pid, np.int32)), *cols], names=[*batch.schema.names, "_pid", *sums])
 
-    table = write_table(ranged.mapInArrow(local, out), name)
+    table = write_table(ranged.mapInArrow(light(local), out), name)
     keyed = F.col(key) if key else F.lit(0)
     totals = table.groupBy("_pid", keyed.alias("_key")).agg(*[F.sum(v).alias(f"_of_{c}") for c, v in sums.items()])
     earlier = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import arrow_type, drop_table, even_keys, read_table, shuffle_parts, write_table
+from loculus.llm.common import arrow_type, drop_table, even_keys, light, read_table, shuffle_parts, write_table
 from loculus.llm.tokens import plain_strings
 
 #: Words of a chunk, more only where a text alone has them; words and pairs of a bucket as sent, about; the weight of single words, in counts.
@@ -113,7 +113,7 @@ def coded(docs: DataFrame) -> DataFrame:
             yield close()
 
     schema = f"part bigint, chunk bigint, doc_ids array<{kind.simpleString()}>, target binary, counts binary, hashes binary, codes binary, n_words bigint, all_t bigint, all_g bigint"
-    return docs.select("doc_id", F.col("text").cast("string"), "target").mapInArrow(code, schema)
+    return docs.select("doc_id", F.col("text").cast("string"), "target").mapInArrow(light(code), schema)
 
 
 class Chunk:
@@ -216,9 +216,9 @@ def summed(chunks: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield from close()
 
-    sent = chunks.select("part", "chunk", F.size("doc_ids").cast("long").alias("n_docs"), "target", "counts", "hashes", "codes", "n_words").mapInArrow(send, "key bigint, bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, wh binary, ph binary, t binary, g binary")
+    sent = chunks.select("part", "chunk", F.size("doc_ids").cast("long").alias("n_docs"), "target", "counts", "hashes", "codes", "n_words").mapInArrow(light(send), "key bigint, bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, wh binary, ph binary, t binary, g binary")
     dealt = sent.repartition(buckets, "key").sortWithinPartitions("bucket", "chunk")
-    return dealt.mapInArrow(add, "bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, distinct bigint, t binary, g binary")
+    return dealt.mapInArrow(light(add), "bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, distinct bigint, t binary, g binary")
 
 
 def probability(pair: np.ndarray, before: np.ndarray, word: np.ndarray, every: int, vocabulary: int, smooth: float = SMOOTH) -> np.ndarray:
@@ -291,7 +291,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, smooth: float =
     right = sums.select("part", "chunk", "bucket", none(chunks.schema["doc_ids"].dataType.simpleString()).alias("doc_ids"), F.col("t").alias("a"), F.col("g").alias("b"), none("binary").alias("c"), none("binary").alias("d"), F.col("words").alias("m"), F.col("pairs").alias("n"))
     both = left.unionByName(right).withColumn("part", F.get(keys, F.pmod("part", F.lit(parts)).cast("int")))
     dealt = both.repartition(parts, "part").sortWithinPartitions("chunk", "bucket")
-    return dealt.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, loss_target double, loss_background double, score double")
+    return dealt.mapInArrow(light(score), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, loss_target double, loss_background double, score double")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

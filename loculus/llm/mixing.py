@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.llm.common import SPACES, drop_table, even_keys, fresh, prefix_sums, read_table, shuffle_parts, write_table
+from loculus.llm.common import SPACES, drop_table, even_keys, fresh, light, prefix_sums, read_table, shuffle_parts, write_table
 
 WEIGHTS, BLOCK, SHARE, MOST = (5, 2, 1), 1024, (3, 2), 2
 #: The fraction of the golden ratio as a 64-bit fixed-point step.
@@ -56,7 +56,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.col("source").cast("string"), text.alias("text")).mapInArrow(count, f"doc_id {kinds['doc_id']}, h bigint, source string, size bigint")
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.col("source").cast("string"), text.alias("text")).mapInArrow(light(count), f"doc_id {kinds['doc_id']}, h bigint, source string, size bigint")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
@@ -134,7 +134,7 @@ def schedule(spark, plan: list[tuple[int, int, int]], block: int) -> DataFrame:
                 words = np.minimum(np.minimum(block, size[p] - at * block), left)
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (slot, no[p], rank // blocks[p], at, words)], names=["slot", "source_no", "pass", "block", "words"])
 
-    counts = spark.range(0, chunks, 1, min(chunks, 4096)).mapInArrow(count, "chunk bigint, plan bigint, n bigint")
+    counts = spark.range(0, chunks, 1, min(chunks, 4096)).mapInArrow(light(count), "chunk bigint, plan bigint, n bigint")
     counts = write_table(counts, "mixing-slots")
     w = Window.partitionBy("plan").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -146,7 +146,7 @@ def schedule(spark, plan: list[tuple[int, int, int]], block: int) -> DataFrame:
             short.append((-1, [i], [int(need[i] - have.get(i, 0)), last]))
             last += int(need[i] - have.get(i, 0))
     kind = "chunk bigint, plans array<bigint>, befores array<bigint>"
-    return per_chunk.unionByName(spark.createDataFrame(short, kind)).mapInArrow(deal, "slot bigint, source_no bigint, pass bigint, block bigint, words bigint")
+    return per_chunk.unionByName(spark.createDataFrame(short, kind)).mapInArrow(light(deal), "slot bigint, source_no bigint, pass bigint, block bigint, words bigint")
 
 
 def takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame | None]:
@@ -228,7 +228,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
                     columns[length] = pa.array([len(t) if n else c for t, n, c in zip(texts, words, columns[length].to_pylist())], columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return both.mapInArrow(shortened, docs.schema)
+    return both.mapInArrow(light(shortened), docs.schema)
 
 
 def first_words(text: str, n: int) -> str:

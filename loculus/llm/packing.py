@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import prefix_sums, read_table, write_table
+from loculus.llm.common import light, prefix_sums, read_table, write_table
 from loculus.llm.tokens import tokenizer_path, word_ids
 
 CAPACITY, END = 2048, 0
@@ -41,7 +41,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(light(cut), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
@@ -266,7 +266,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in names], pa.array(sequence[at] + within // per[at]), pa.array(offset[at] + within % per[at] * size)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(light(place), f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END) -> DataFrame:

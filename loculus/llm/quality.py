@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import held_out, labelled, read_table
+from loculus.llm.common import held_out, labelled, light, read_table
 from loculus.llm.toxicity import sampled, texts
 
 #: The sample that is fitted: at most so many labelled rows. Scoring covers all rows.
@@ -57,7 +57,7 @@ def described(docs: DataFrame) -> DataFrame:
             x = np.array([describe(t) for t in rows]).reshape(len(rows), len(NAMES))
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x[:, k]) for k in range(len(NAMES))]], names=["doc_id", *NAMES])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in NAMES))
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(light(found), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in NAMES))
 
 
 @dataclass
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             x = np.array([describe(t) for t in b.column(column).to_pylist()]).reshape(b.num_rows, len(NAMES))
             yield b.filter(pa.array(shared.value.score(x) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(light(kept), docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -198,7 +198,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
             x = np.array([describe(t) for t in rows]).reshape(len(rows), len(NAMES))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(x), pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(light(scored), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

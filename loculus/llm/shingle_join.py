@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import drop_table, free_shuffles, fresh, join_spread, read_table, shuffle_parts, write_table
+from loculus.llm.common import drop_table, free_shuffles, fresh, join_spread, light, read_table, shuffle_parts, write_table
 from loculus.llm.components import components
 
 WORDS, KEPT_WORDS, FLUSH = 5, 150_000, 300_000
@@ -128,7 +128,7 @@ def classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(rows[:, k]) for k in range(3 + LONGS)]], names=["doc_id", "h", "n", "k1", "k2", *[f"s{k}" for k in range(LONGS)]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string")).mapInArrow(found, f"doc_id {kind}, h bigint, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"s{k} bigint" for k in range(LONGS)))
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string")).mapInArrow(light(found), f"doc_id {kind}, h bigint, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"s{k} bigint" for k in range(LONGS)))
 
 
 def shared_words(docs: DataFrame, elements: int) -> DataFrame:
@@ -219,9 +219,9 @@ def shared_words(docs: DataFrame, elements: int) -> DataFrame:
         if parts:
             yield from close()
 
-    shown = docs.select(F.col("text").cast("string")).mapInArrow(show, "bucket bigint, met int, sigs binary, keys binary, more binary")
+    shown = docs.select(F.col("text").cast("string")).mapInArrow(light(show), "bucket bigint, met int, sigs binary, keys binary, more binary")
     dealt = shown.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return write_table(dealt.mapInArrow(meet, "sig bigint, key bigint, center bigint"), "shingle-words")
+    return write_table(dealt.mapInArrow(light(meet), "sig bigint, key bigint, center bigint"), "shingle-words")
 
 
 def may_link(a: str = "a", b: str = "b") -> Column:
@@ -264,7 +264,7 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                     ok.append(100 * both >= 75 * (len(own) + len(other) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return write_table(both.mapInArrow(check, "a bigint, b bigint"), "shingle-links")
+    return write_table(both.mapInArrow(light(check), "a bigint, b bigint"), "shingle-links")
 
 
 def grouped(docs: DataFrame) -> DataFrame:

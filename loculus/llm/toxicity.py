@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import even_keys, fresh, held_out, labelled, read_table, shuffle_parts, write_table
+from loculus.llm.common import even_keys, fresh, held_out, labelled, light, read_table, shuffle_parts, write_table
 
 #: At most so many confirmed toxic rows are learnt from; unlabelled rows a block, all of them; the groups that models are added up in.
 POSITIVES, BLOCK, GROUPS = 4000, 8192, 64
@@ -131,7 +131,7 @@ def seen_in(docs: DataFrame, ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows, count[at]])], names=["f", "n"])
 
-    own = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(found, "f int, n bigint")
+    own = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(light(found), "f int, n bigint")
     count = {r["f"]: r["n"] for r in own.groupBy("f").agg(F.sum("n").alias("n")).filter("f = -1 OR n >= 3").collect()}  # at most 2^BITS rows
     rows = count.pop(-1, 0)
     return np.array(sorted(f for f, n in count.items() if n >= rows // 400), np.uint32)
@@ -151,7 +151,7 @@ def described(docs: DataFrame, ids: DataFrame, features: np.ndarray) -> DataFram
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     text = text.join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_pos"))), F.col("doc_id") == F.col("_id"), "left")
     text = text.select("doc_id", F.xxhash64("text").alias("h"), (F.col("doc_id").isNotNull() & ~held_out()).alias("learn"), F.coalesce("_pos", F.lit(False)).alias("pos"), "text")
-    return text.mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, learn boolean, pos boolean, f binary")
+    return text.mapInArrow(light(found), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, learn boolean, pos boolean, f binary")
 
 
 SUMS = "part bigint, w binary, b double, n bigint"
@@ -174,7 +174,7 @@ def added(sums: DataFrame, size: int) -> tuple[np.ndarray, float, int]:
         if n:
             yield _sums(w, b, n)
 
-    got = sums.repartition(GROUPS, "part").sortWithinPartitions("b", "w").mapInArrow(add, SUMS).collect()
+    got = sums.repartition(GROUPS, "part").sortWithinPartitions("b", "w").mapInArrow(light(add), SUMS).collect()
     got = sorted(got, key=lambda r: (r["b"], r["w"]))
     return sum((np.frombuffer(r["w"]) for r in got), np.zeros(size)), sum(r["b"] for r in got), sum(r["n"] for r in got)
 
@@ -189,7 +189,7 @@ def counted(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
         if n:
             yield _sums(total, 0.0, n)
 
-    total, _, n = added(rows.select("f").mapInArrow(count, SUMS), size)
+    total, _, n = added(rows.select("f").mapInArrow(light(count), SUMS), size)
     return total, n
 
 
@@ -225,8 +225,8 @@ def block_models(rows: DataFrame, n: int, pos: list[np.ndarray], prior: float, u
             yield _sums(w, b, many)
 
     small = rows.select(F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(blocks)).alias("block"), "doc_id", "h", "f")
-    small = small.mapInArrow(select, small.schema).withColumn("task", F.get(keys, F.pmod("block", F.lit(parts)).cast("int")))
-    return added(small.repartition(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(total, SUMS), len(used))
+    small = small.mapInArrow(light(select), small.schema).withColumn("task", F.get(keys, F.pmod("block", F.lit(parts)).cast("int")))
+    return added(small.repartition(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(light(total), SUMS), len(used))
 
 
 def toxic_table(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> DataFrame:
@@ -261,7 +261,7 @@ def toxic_table(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES)
             s = bias + np.bincount(row, weights[col], b.num_rows) if len(col) else np.full(b.num_rows, bias)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(s, -500, 500))), pa.float64())], names=["doc_id", "h", "score"])
 
-    return rows.select("doc_id", "h", "f").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, score double")
+    return rows.select("doc_id", "h", "f").mapInArrow(light(scored), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
