@@ -155,7 +155,7 @@ def route(q: DataFrame, entities: DataFrame, synonyms=SYNONYMS) -> DataFrame:
         tz = F.when(cmd.contains("back"), -s["fz"]).when(cmd.contains("left"), s["fx"]).when(cmd.contains("right"), -s["fx"]).otherwise(s["fz"])
         dx, dz = w["n"]["x"] - s["x"], w["n"]["z"] - s["z"]
         n = F.sqrt(dx * dx + dz * dz)
-        dot = F.try_divide(tx * dx + tz * dz, n)
+        dot = F.round(F.try_divide(tx * dx + tz * dz, n), 9)  # what is square to the way is so for any order of sums
         gain = F.when(F.coalesce(n > 1e-8, F.lit(False)), F.when(dot > 0, dot).otherwise(F.lit(-0.5))).otherwise(F.lit(0.0))
         mx, mz = w["x"] - s["x"], w["z"] - s["z"]
         m = F.sqrt(mx * mx + mz * mz)
@@ -171,7 +171,7 @@ def route(q: DataFrame, entities: DataFrame, synonyms=SYNONYMS) -> DataFrame:
     points = F.aggregate("walk", begin, step, lambda s: s["p"])
     able = F.col("es").isNotNull() & F.col("ef").isNotNull() & (F.col("fn") >= 1e-8) & (F.size("turns") == F.col("gaps"))
     q = q.withColumn("p", F.when(able, points))
-    return q.groupBy("qid").agg(F.coalesce(F.max_by(Q.letter(F.col("option")), F.when(F.col("p") > -1, F.struct("p", -F.col("o")))), F.lit("A")).alias("answer"))
+    return q.groupBy("qid").agg(F.coalesce(F.max_by(Q.letter(F.col("option")), F.when(F.col("p") > -1, F.struct(F.round("p", 9), -F.col("o")))), F.lit("A")).alias("answer"))
 
 
 def answer_all(q: DataFrame, entities: DataFrame, cameras: DataFrame, scale: DataFrame, area: DataFrame, synonyms=SYNONYMS) -> DataFrame:
