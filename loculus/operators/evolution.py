@@ -99,7 +99,7 @@ def vote(history: DataFrame, rounds: int) -> DataFrame:
 def median_vote(responses: DataFrame, low: float, high: float) -> DataFrame:
     """qid, answer: the median of the numbers in several responses that lie within bounds, to one decimal; null without any."""
     v = F.nullif(F.regexp_extract("text", r"[\d.]+", 0), F.lit("")).try_cast("double")
-    return responses.withColumn("v", v).groupBy("qid").agg(F.median(F.when(F.col("v").between(low, high), F.col("v"))).alias("m")).select("qid", F.when(F.col("m").isNotNull(), F.format_string("%.1f", F.col("m"))).alias("answer"))
+    return responses.withColumn("v", v).groupBy("qid").agg(F.median(F.when(F.col("v").between(low, high), F.col("v"))).alias("m")).select("qid", F.when(F.col("m").isNotNull(), F.format_string("%.1f", F.round("m", 6))).alias("answer"))
 
 
 def belief_rounds(questions: DataFrame, det: DataFrame, looks: DataFrame, rounds: int = 3, synonyms=None) -> DataFrame:

@@ -73,12 +73,12 @@ def read_videos(spark: SparkSession, dirs: list[str]) -> DataFrame:
 
 def entity_yaml(entities: DataFrame) -> DataFrame:
     """scene, text: entities as YAML, a block each in order."""
-    row = F.format_string("  - id: %s\n    category: %s\n    position: [%.2f, %.2f, %.2f]\n    count: %d", "entity_id", "label", "mx", "my", "mz", "count_in_frame")
+    row = F.format_string("  - id: %s\n    category: %s\n    position: [%.2f, %.2f, %.2f]\n    count: %d", "entity_id", "label", *[F.round(f"m{c}", 9) for c in "xyz"], "count_in_frame")
     return entities.groupBy("scene").agg(F.sort_array(F.collect_list(F.struct("entity_ord", row.alias("t")))).alias("r")).select("scene", F.concat(F.lit("entities:\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("text"))
 
 
 def entity_markdown(entities: DataFrame) -> DataFrame:
-    row = F.format_string("| %s | %s | (%.2f, %.2f, %.2f) | %d |", "entity_id", "label", "mx", "my", "mz", "count_in_frame")
+    row = F.format_string("| %s | %s | (%.2f, %.2f, %.2f) | %d |", "entity_id", "label", *[F.round(f"m{c}", 9) for c in "xyz"], "count_in_frame")
     return entities.groupBy("scene").agg(F.sort_array(F.collect_list(F.struct("entity_ord", row.alias("t")))).alias("r")).select("scene", F.concat(F.lit("| id | category | position | count |\n|---|---|---|---|\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("text"))
 
 
