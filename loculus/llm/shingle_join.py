@@ -237,17 +237,19 @@ def least_common(a: str = "a", b: str = "b") -> Column:
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b (keys of classes) whose whole texts' sets have 100 * common >= 75 * union. reps: k1, and doc_id and h of one row of each class."""
+    """The pairs a, b (nodes, each a class) whose whole texts' sets have 100 * common >= 75 * union. reps: node, and doc_id and h of one row of each class."""
     pairs = write_table(pairs, "shingle-pairs")
-    ids = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-    ids = write_table(reps.select("k1", F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(ids, "k1", "left_semi"), "shingle-ids")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = write_table(reps.select("node", F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(ids, "node", "left_semi"), "shingle-ids")
     few = ids.count() <= BROADCAST_ROWS
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    text = text.join(F.broadcast(ids) if few else ids, (text["h"] == ids["_h"]) & text["doc_id"].eqNullSafe(ids["_id"])).select("k1", "text")
+    text = text.join(F.broadcast(ids) if few else ids, (text["h"] == ids["_h"]) & text["doc_id"].eqNullSafe(ids["_id"])).select("node", "text")
     # a row that is repeated, with its id, brings its text once
-    text = write_table(text.groupBy("k1").agg(F.first("text").alias("text")), "shingle-texts")
+    text = write_table(text, "shingle-texts")
+    if not text.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+        text = text.groupBy("node").agg(F.first("text").alias("text"))
     free_shuffles(docs.sparkSession)
-    both = pairs.join(text.select(F.col("k1").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("k1").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    both = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -279,26 +281,27 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = write_table(classes(docs), "shingle-classes")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     kinds = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(row).alias("at"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(LONGS)])
-    kinds = write_table(kinds, "shingle-kinds")
+    # small numbers travel in less than hashes
+    kinds = write_table(kinds.withColumn("node", F.monotonically_increasing_id()), "shingle-kinds")
     elements = rows.agg(F.sum("n")).collect()[0][0] or 0
     words = shared_words(docs, int(elements))
     free_shuffles(docs.sparkSession)
-    named = kinds.select("k1", "n", *[f"s{k}" for k in range(LONGS)])
-    reps = kinds.select("k1", "at.doc_id", "at.h")
-    side = lambda c: named.select(F.col("k1").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
-    pairs = words.filter("key <> center").groupBy(F.col("center").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("met"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link())
+    named = kinds.select("k1", F.col("node").alias("rep"), "n", *[f"s{k}" for k in range(LONGS)])
+    reps = kinds.select("node", "at.doc_id", "at.h")
+    side = lambda c: named.select(F.col("k1").alias(f"{c}_k"), F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
+    pairs = words.filter("key <> center").groupBy("center", "key").agg(F.count(F.lit(1)).alias("met"))
+    pairs = pairs.join(side("a"), F.col("center") == F.col("a_k")).join(side("b"), F.col("key") == F.col("b_k")).filter(may_link())
     # where sketches of larger sets tell little, a pair should have met in some words; what this leaves out comes below
     pairs = pairs.filter((F.col("a_n") + F.col("b_n") <= 2 * BITS) | (F.col("met") * 4 >= least_common()))
     tried = write_table(pairs.select("a", "b").distinct(), "shingle-tried")
     links = linked(tried, reps, docs)
     found = components(links, "shingle-components")
     # words whose classes lie in several components
-    member = words.select("sig", F.col("key").alias("rep")).distinct().join(found, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+    member = words.select("sig", "key").distinct().join(named.select("k1", "rep"), F.col("key") == F.col("k1")).select("sig", "rep").join(found, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     member = write_table(member, "shingle-members")
     sizes = member.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"))
     split = sizes.groupBy("sig").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("sig", F.col("top.component").alias("top"))
-    open_ = write_table(member.join(split, "sig").join(named.withColumnRenamed("k1", "rep"), "rep"), "shingle-split")
+    open_ = write_table(member.join(split, "sig").join(named.drop("k1"), "rep"), "shingle-split")
     drop_table(member)
     free_shuffles(docs.sparkSession)
     as_side = lambda c: open_.select("sig", F.col("rep").alias(c), F.col("component").alias(f"{c}_c"), F.col("top").alias(f"{c}_top"), F.col("n").alias(f"{c}_n"), *[F.col(f"s{k}").alias(f"{c}_s{k}") for k in range(LONGS)])
@@ -311,7 +314,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         found = components(links.union(linked(more, reps, docs)), "shingle-components")
     for t in (words, tried, open_, more):
         drop_table(t)
-    of = kinds.select("k1", "k2", "least", "at").join(found, F.col("k1") == F.col("node"), "left").select("k1", "k2", "least", "at", F.coalesce("component", "k1").alias("component"))
+    of = kinds.select("k1", "k2", "least", "at", "node").join(found, "node", "left").select("k1", "k2", "least", "at", F.coalesce("component", "node").alias("component"))
     of = write_table(of, "shingle-named")
     named = of.groupBy("component").agg(F.min("least").alias("component_id"), F.min("at").alias("keeper"), F.count(F.lit(1)).alias("c"))
     of = join_spread(of.select("k1", "k2", "component"), write_table(named, "shingle-least"), "component", "c")
