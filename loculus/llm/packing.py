@@ -12,19 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loculus.llm.common import light, prefix_sums, read_table, write_table
-from loculus.llm.tokens import tokenizer_path, word_ids
+from loculus.llm.tokens import KEPT_WORDS, tokenizer_path, word_ids
 
 CAPACITY, END = 2048, 0
 #: How far the search goes in all: dead ends, and steps, those within fillings among them. The best packing found so far stands in any case.
 NODES, STEPS = 2000, 400_000
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END, kept: int = KEPT_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each row's ids and its end id."""
     path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = word_ids(path, kept)
         last = np.array([end], "<u4").tobytes()
         for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             doc, piece, start, length, crc = [], [], [], [], []
@@ -269,13 +269,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(light(place), f"{fields}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """Every row of docs as pieces with their places in sequences of at most `capacity` ids.
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END, kept: int = KEPT_WORDS) -> DataFrame:
+    """Every row of docs as pieces with their places in sequences of at most `capacity` ids. kept: words whose ids a process remembers.
 
     A null or empty text is its end id alone, a piece of length 1. Rows with one doc_id, or wholly repeated, are packed each
     for itself. Null doc_ids are kept. An empty table gives an empty result. Other columns are left behind.
     """
-    return pack(cut_pieces(docs, capacity, tokenizer, end), capacity)
+    return pack(cut_pieces(docs, capacity, tokenizer, end, kept), capacity)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
