@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: five stages, each of one operator of loculus.llm.
 
-Every stage works on all rows that the one before kept; all but the last return the columns of documents.
+Every stage works on all rows that the one before kept; all but the last return the columns of documents. Null ids and texts,
+empty texts, repeated rows and extra columns of any name go through as each operator's docstring says; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document; where it takes the first words alone, these."""
+    """A row for each pass of the mix that takes a document, in the order of its slots; where it takes the first words alone, these."""
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows' token ids in sequences of at most 2048."""
-    return pack_documents(docs)
+    """The rows' token ids in sequences of at most 2048. Processes that the other stages share remember fewer words."""
+    return pack_documents(docs, kept=200_000)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
