@@ -24,6 +24,8 @@ from loculus.llm.common import drop_table, light, read_table, shared_dir, shuffl
 from loculus.llm.tokens import tokenizer_path, word_ids
 
 VERSION, END, BLOCK_IDS, WORDS = 1, 1, 1 << 18, 800_000
+#: Texts that are encoded together: a word of several of them is looked up once.
+ROWS = 3000
 #: Of each control byte, the lengths of its four codes.
 LENGTHS = np.stack([(np.arange(256) >> 2 * k & 3) + 1 for k in range(4)], 1).astype(np.uint8)
 
@@ -60,7 +62,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = word_ids(tokenizer, WORDS), np.array([end], kind).tobytes()
         for b in batches:
-            for part in (b.slice(at, 1024) for at in range(0, b.num_rows, 1024)):
+            for part in (b.slice(at, ROWS) for at in range(0, b.num_rows, ROWS)):
                 flat, bounds = words.encode_many(part.column(1))
                 got = [flat[i:j].astype(kind).tobytes() + last for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds) + 1), pa.array(got, pa.binary())], names=["doc_id", "n", "ids"])
@@ -169,4 +171,4 @@ def op9_token_ids(spark, sf_dir: str) -> DataFrame:
     ids' checksums, repeated rows each for itself; null doc_ids come last; an empty table gives an empty result; other
     columns are left behind.
     """
-    return read_ids(spark, write_ids(read_table(spark, sf_dir, "documents")), digest=True)
+    return read_ids(spark, write_ids(read_table(spark, sf_dir, "documents", ROWS)), digest=True)

@@ -91,14 +91,12 @@ def light(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: fewer rows in an Arrow batch keep Python workers small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    """Texts are long: fewer rows in an Arrow batch keep Python workers small. A setting of the session, as Spark has it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+def read_table(spark: SparkSession, sf_dir: str, name: str, rows: int = 1000) -> DataFrame:
+    small_batches(spark, rows)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
