@@ -21,13 +21,15 @@ def local_session(app: str = "loculus", cpus: int | str = "*", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that lineage is cut in: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that lineage is cut in: spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine, as in tests."""
     import atexit
     import shutil
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="loculus-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
