@@ -97,7 +97,7 @@ LINES = {"count": "printf('  count: %d', count_in_frame)", "position": "printf('
 add("s30_task_text", "SELECT scene, string_agg(concat_ws(chr(10), printf('- %s:', label), " + ", ".join(v for k, v in LINES.items() if k in NEEDS["object_counting"]) + "), chr(10) ORDER BY entity_ord) AS text FROM ent GROUP BY scene")
 
 VIEW = "pro", f"SELECT scene, frame_order, label, {d4('500 * (mx - cx) / n + 320')} AS u, {d4('500 * (my - cy) / n + 240')} AS v FROM (SELECT ent.scene, frame_order, label, mx, my, mz, cx, cy, cz, sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy) + (mz - cz) * (mz - cz)) AS n FROM ent JOIN cam ON cam.scene = ent.scene) WHERE mz - cz >= 0 AND n >= 0.1"
-add("p22_projection_frames", "SELECT * FROM pro", VIEW)
+add("p22_projection", "SELECT * FROM pro", VIEW)
 add("j10_labels_by_boxes", f"""SELECT scene, frame, thing, CASE WHEN held IS NOT NULL THEN held.label WHEN far < 192 THEN near.label ELSE 'object' END AS label, {d4('CASE WHEN held IS NOT NULL THEN held.confidence WHEN far < 192 THEN near.confidence * 0.5 WHEN n > 0 THEN 0.3 ELSE 0.1 END')} AS confidence FROM
  (SELECT scene, frame, thing, count(label) AS n, min(far) AS far, arg_min({{'label': label, 'confidence': confidence}}, (far, label)) AS near, arg_max({{'label': label, 'confidence': confidence}}, (confidence, -share, label)) FILTER (WHERE u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2) AS held FROM
   (SELECT *, sqrt((u - (x1 + x2) / 2) * (u - (x1 + x2) / 2) + (v - (y1 + y2) / 2) * (v - (y1 + y2) / 2)) AS far, sqrt(((u - (x1 + x2) / 2) / 640) ** 2 + ((v - (y1 + y2) / 2) / 480) ** 2) AS share FROM

@@ -59,16 +59,10 @@ def boxes_meet(spark, d):
     return side("a").join(side("b"), "scene").filter((F.col("ao") < F.col("bo")) & G.boxes_meet(v("alo"), v("ahi"), v("blo"), v("bhi"))).select("scene", "a_label", "b_label")
 
 
-@query("p22_projection", with_ctes(f"SELECT scene, label, {d4('500 * (mx - cx) / n + 320')} AS u, {d4('500 * (my - cy) / n + 240')} AS v FROM (SELECT ent.scene, label, mx, my, mz, cx, cy, cz, sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy) + (mz - cz) * (mz - cz)) AS n FROM ent JOIN cam ON cam.scene = ent.scene AND frame_order = 0) WHERE mz - cz >= 0 AND n >= 0.1"))
+@query("p22_projection")
 def projection(spark, d):
-    return projection_of(spark, d, "frame_order = 0").drop("frame_order")
-
-
-@query("p22_projection_frames")
-def projection_of(spark, d, which: str = "true"):
-    """For the cameras of all frames."""
     det = detections(spark, d)
-    e = entity_beliefs(det).join(cameras(det).filter(which), "scene")
+    e = entity_beliefs(det).join(cameras(det), "scene")
     u, v = L.project(tuple(F.col(f"m{c}") for c in "xyz"), tuple(F.col(f"c{c}") for c in "xyz"), (F.lit(0.0), F.lit(0.0), F.lit(1.0)), F.lit(500.0), F.lit(500.0), F.lit(320.0), F.lit(240.0))
     return rounded(e.select("scene", "frame_order", "label", u.alias("u"), v.alias("v")).filter("u IS NOT NULL"))
 
@@ -76,7 +70,7 @@ def projection_of(spark, d, which: str = "true"):
 @query("j10_labels_by_boxes")
 def labels_by_boxes(spark, d):
     det = detections(spark, d)
-    p = projection_of(spark, d).select("scene", F.col("frame_order").alias("frame"), F.col("label").alias("thing"), "u", "v")
+    p = projection(spark, d).select("scene", F.col("frame_order").alias("frame"), F.col("label").alias("thing"), "u", "v")
     boxes = det.select("scene", F.col("frame_order").alias("frame"), "label", "confidence", (F.col("x") * 60).alias("x1"), (F.col("y") * 150).alias("y1"), (F.col("x") * 60 + F.col("width_3d") * 60).alias("x2"), (F.col("y") * 150 + F.col("height_3d") * 60).alias("y2"))
     return rounded(L.label_by_boxes(p, boxes, 640, 480))
 

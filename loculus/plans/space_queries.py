@@ -139,9 +139,9 @@ def merge_clouds(spark, d):
     return rounded(X.merge([(p, [1, 0, 0, 0, 1, 0, 0, 0, 1], [0, 0, 0]), (p, [0, 0, 1, 0, 1, 0, -1, 0, 0], [0.25, 0.5, 0.75])], 1.0).drop("r", "g", "b"))
 
 
-@query("j8_voxels_near", with_ctes(f"""SELECT scene, label AS place, vx, vy, vz, {d4('d')} AS distance FROM (SELECT v.scene, e.label, vx, vy, vz, sqrt(((vx + 0.5) * 0.5 - mx) * ((vx + 0.5) * 0.5 - mx) + ((vy + 0.5) * 0.5 - my) * ((vy + 0.5) * 0.5 - my) + ((vz + 0.5) * 0.5 - mz) * ((vz + 0.5) * 0.5 - mz)) AS d FROM vox v JOIN ent e ON e.scene = v.scene AND e.entity_ord = 1) WHERE d <= 1.5""", VOX))
+@query("j8_voxels_near", with_ctes(f"""SELECT scene, label AS place, vx, vy, vz, {d4('d')} AS distance FROM (SELECT v.scene, e.label, vx, vy, vz, sqrt(((vx + 0.5) * 0.5 - mx) * ((vx + 0.5) * 0.5 - mx) + ((vy + 0.5) * 0.5 - my) * ((vy + 0.5) * 0.5 - my) + ((vz + 0.5) * 0.5 - mz) * ((vz + 0.5) * 0.5 - mz)) AS d FROM vox v JOIN ent e ON e.scene = v.scene) WHERE d <= 1.5""", VOX))
 def voxels_near(spark, d):
-    p = entities(spark, d).filter("entity_ord = 1").select("scene", F.col("label").alias("place"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
+    p = entities(spark, d).select("scene", F.col("label").alias("place"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
     return rounded(X.near_place(X.fuse(points(spark, d), SIZE), p, 1.5, SIZE))
 
 
@@ -203,53 +203,35 @@ def field_of_view(spark, d):
     return V.field_of_view(cam, ent)
 
 
-RAY = "ray", "SELECT scene, label, cx, cy, cz, mx, my, mz, d, i, dx, dy, dz, sqrt(dx * dx + dy * dy + dz * dz) AS len FROM (SELECT see.*, t.i, mx + t.a * w3 / 2 * 0.8 - cx AS dx, my + t.b * h3 / 2 * 0.8 - cy AS dy, mz + t.c * 0.3 / 2 * 0.8 - cz AS dz FROM see, (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(V.targets(9))) + ") t(i, a, b, c) WHERE frame_order = 0 AND d <= 15)"
-BLK = "blk", "SELECT scene, label, count(DISTINCT i) AS n FROM (SELECT s.scene, label, i, mx, my, mz, s.vx, s.vy, s.vz FROM (SELECT *, trunc((cx + dx / len * (k * 0.25)) / 0.5)::INTEGER AS vx, trunc((cy + dy / len * (k * 0.25)) / 0.5)::INTEGER AS vy, trunc((cz + dz / len * (k * 0.25)) / 0.5)::INTEGER AS vz FROM (SELECT *, unnest(range(1, 1 + greatest(0, least(trunc(len / 0.25)::BIGINT - 1, floor(d * 0.85 / 0.25)::BIGINT)))) AS k FROM ray)) s JOIN vox v USING (scene, vx, vy, vz)) WHERE sqrt(((vx + 0.5) * 0.5 - mx) * ((vx + 0.5) * 0.5 - mx) + ((vy + 0.5) * 0.5 - my) * ((vy + 0.5) * 0.5 - my) + ((vz + 0.5) * 0.5 - mz) * ((vz + 0.5) * 0.5 - mz)) > 1.5 GROUP BY ALL"
+RAY = "ray", "SELECT scene, frame_order, label, cx, cy, cz, mx, my, mz, d, i, dx, dy, dz, sqrt(dx * dx + dy * dy + dz * dz) AS len FROM (SELECT see.*, t.i, mx + t.a * w3 / 2 * 0.8 - cx AS dx, my + t.b * h3 / 2 * 0.8 - cy AS dy, mz + t.c * 0.3 / 2 * 0.8 - cz AS dz FROM see, (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(V.targets(9))) + ") t(i, a, b, c) WHERE d <= 15)"
+BLK = "blk", "SELECT scene, frame_order, label, count(DISTINCT i) AS n FROM (SELECT s.scene, frame_order, label, i, mx, my, mz, s.vx, s.vy, s.vz FROM (SELECT *, trunc((cx + dx / len * (k * 0.25)) / 0.5)::INTEGER AS vx, trunc((cy + dy / len * (k * 0.25)) / 0.5)::INTEGER AS vy, trunc((cz + dz / len * (k * 0.25)) / 0.5)::INTEGER AS vz FROM (SELECT *, unnest(range(1, 1 + greatest(0, least(trunc(len / 0.25)::BIGINT - 1, floor(d * 0.85 / 0.25)::BIGINT)))) AS k FROM ray)) s JOIN vox v USING (scene, vx, vy, vz)) WHERE sqrt(((vx + 0.5) * 0.5 - mx) * ((vx + 0.5) * 0.5 - mx) + ((vy + 0.5) * 0.5 - my) * ((vy + 0.5) * 0.5 - my) + ((vz + 0.5) * 0.5 - mz) * ((vz + 0.5) * 0.5 - mz)) > 1.5 GROUP BY ALL"
 
 
-@query("j14_ray_visibility", with_ctes(f"SELECT see.scene, frame_order, see.label, {d4('CASE WHEN d > 15 THEN 1.0 ELSE coalesce(n, 0) / 9.0::DOUBLE END')} AS occluded, d <= 15 AND coalesce(n, 0) / 9.0::DOUBLE < 0.5 AS visible FROM see LEFT JOIN blk ON blk.scene = see.scene AND blk.label = see.label WHERE frame_order = 0", SEE, VOX, RAY, BLK))
+@query("j14_ray_visibility", with_ctes(f"SELECT see.scene, see.frame_order, see.label, {d4('CASE WHEN d > 15 THEN 1.0 ELSE coalesce(n, 0) / 9.0::DOUBLE END')} AS occluded, d <= 15 AND coalesce(n, 0) / 9.0::DOUBLE < 0.5 AS visible FROM see LEFT JOIN blk ON blk.scene = see.scene AND blk.frame_order = see.frame_order AND blk.label = see.label", SEE, VOX, RAY, BLK))
 def ray_visibility(spark, d):
-    return ray_visibility_of(spark, d, "frame_order = 0")
-
-
-@query("j14_ray_visibility_frames")
-def ray_visibility_of(spark, d, which: str = "true"):
-    """From the cameras of all frames."""
     _, cam, ent = views(spark, d)
-    return rounded(V.ray_visibility(cam.filter(which), ent, X.fuse(points(spark, d), SIZE), SIZE))
+    return rounded(V.ray_visibility(cam, ent, X.fuse(points(spark, d), SIZE), SIZE))
 
 
-HIT = "hit", "SELECT r.scene, r.label, arg_min(b.label, k) AS hit_label, min(k) * 0.25 AS t, any_value(d) AS d FROM (SELECT *, unnest(range(0, ceil((d - 0.1) / 0.25)::BIGINT)) AS k FROM see WHERE frame_order = 0 AND d >= 0.1) r JOIN box b ON b.scene = r.scene AND b.vx = floor((cx + (mx - cx) / (d + 1e-8) * k * 0.25) / 0.5) AND b.vy = floor((cy + (my - cy) / (d + 1e-8) * k * 0.25) / 0.5) AND b.vz = floor((cz + (mz - cz) / (d + 1e-8) * k * 0.25) / 0.5) WHERE round(b.occupancy, 9) > 0.5 GROUP BY r.scene, r.label"
+HIT = "hit", "SELECT r.scene, r.frame_order, r.label, arg_min(b.label, k) AS hit_label, min(k) * 0.25 AS t, any_value(d) AS d FROM (SELECT *, unnest(range(0, ceil((d - 0.1) / 0.25)::BIGINT)) AS k FROM see WHERE d >= 0.1) r JOIN box b ON b.scene = r.scene AND b.vx = floor((cx + (mx - cx) / (d + 1e-8) * k * 0.25) / 0.5) AND b.vy = floor((cy + (my - cy) / (d + 1e-8) * k * 0.25) / 0.5) AND b.vz = floor((cz + (mz - cz) / (d + 1e-8) * k * 0.25) / 0.5) WHERE round(b.occupancy, 9) > 0.5 GROUP BY r.scene, r.frame_order, r.label"
 
 
-@query("j17_occluded", with_ctes(f"SELECT scene, label, hit_label, {d4('1 - t / d')} AS occlusion FROM hit WHERE hit_label <> label", SEE, BOX, HIT))
+@query("j17_occluded", with_ctes(f"SELECT scene, frame_order, label, hit_label, {d4('1 - t / d')} AS occlusion FROM hit WHERE hit_label <> label", SEE, BOX, HIT))
 def occluded(spark, d):
-    return occluded_of(spark, d, "frame_order = 0").drop("frame_order")
-
-
-@query("j17_occluded_frames")
-def occluded_of(spark, d, which: str = "true"):
-    """From the cameras of all frames."""
     det, cam, ent = views(spark, d)
-    p = V.seen_pairs(cam.filter(which), ent).filter("distance >= 0.1")
+    p = V.seen_pairs(cam, ent).filter("distance >= 0.1")
     rays = p.select(F.concat_ws("|", "scene", "frame_order", "label").alias("ray"), "scene", "frame_order", "label", "distance", (F.col("distance") - 0.1).alias("reach"), *[F.col(f"c{c}").alias(f"o{c}") for c in "xyz"], *[((F.col(f"m{c}") - F.col(f"c{c}")) / (F.col("distance") + 1e-8)).alias(f"d{c}") for c in "xyz"])
     box = X.fill_boxes(det, SIZE).withColumn("occupancy", F.round("occupancy", 9))
     hit = X.first_hits(rays, box, SIZE).withColumnRenamed("label", "hit_label")
     return rounded(rays.select("ray", "scene", "frame_order", "label", "distance").join(hit, "ray").filter("hit_label <> label").select("scene", "frame_order", "label", "hit_label", (1 - F.col("t") / F.col("distance")).alias("occlusion")))
 
 
-@query("j18_box_hits", with_ctes(f"""SELECT scene, label AS from_label, arg_min(bl, (round(t, 9), bl)) AS box, {d4('min(t)')} AS t FROM (SELECT s.scene, s.label, b.label AS bl, greatest(t0, 0) AS t FROM (SELECT *, mx - cx AS dx, my - cy AS dy, mz - cz AS dz FROM see WHERE frame_order = 0) s JOIN ent b ON b.scene = s.scene,
+@query("j18_box_hits", with_ctes(f"""SELECT scene, frame_order, label AS from_label, arg_min(bl, (round(t, 9), bl)) AS box, {d4('min(t)')} AS t FROM (SELECT s.scene, s.frame_order, s.label, b.label AS bl, greatest(t0, 0) AS t FROM (SELECT *, mx - cx AS dx, my - cy AS dy, mz - cz AS dz FROM see) s JOIN ent b ON b.scene = s.scene,
   LATERAL (SELECT greatest(least((b.mx - b.w3 / 2 - cx) / dx, (b.mx + b.w3 / 2 - cx) / dx), least((b.my - b.h3 / 2 - cy) / dy, (b.my + b.h3 / 2 - cy) / dy), least((b.mz - 0.3 / 2 - cz) / dz, (b.mz + 0.3 / 2 - cz) / dz)) AS t0,
-  least(greatest((b.mx - b.w3 / 2 - cx) / dx, (b.mx + b.w3 / 2 - cx) / dx), greatest((b.my - b.h3 / 2 - cy) / dy, (b.my + b.h3 / 2 - cy) / dy), greatest((b.mz - 0.3 / 2 - cz) / dz, (b.mz + 0.3 / 2 - cz) / dz)) AS t1) WHERE t0 <= t1 AND t1 >= 0) GROUP BY scene, label""", SEE))
+  least(greatest((b.mx - b.w3 / 2 - cx) / dx, (b.mx + b.w3 / 2 - cx) / dx), greatest((b.my - b.h3 / 2 - cy) / dy, (b.my + b.h3 / 2 - cy) / dy), greatest((b.mz - 0.3 / 2 - cz) / dz, (b.mz + 0.3 / 2 - cz) / dz)) AS t1) WHERE t0 <= t1 AND t1 >= 0) GROUP BY scene, frame_order, label""", SEE))
 def box_hits(spark, d):
-    return box_hits_of(spark, d, "frame_order = 0").drop("frame_order")
-
-
-@query("j18_box_hits_frames")
-def box_hits_of(spark, d, which: str = "true"):
-    """From the cameras of all frames."""
     _, cam, ent = views(spark, d)
-    p = V.seen_pairs(cam.filter(which), ent)
+    p = V.seen_pairs(cam, ent)
     rays = p.select(F.concat_ws("|", "scene", "frame_order", "label").alias("ray"), "scene", "frame_order", F.col("label").alias("from_label"), *[F.col(f"c{c}").alias(f"o{c}") for c in "xyz"], *[(F.col(f"m{c}") - F.col(f"c{c}")).alias(f"d{c}") for c in "xyz"])
     ext = {"x": F.col("w3"), "y": F.col("h3"), "z": F.lit(0.3)}
     boxes = ent.select("scene", F.col("label").alias("box"), *[(F.col(f"m{c}") - ext[c] / 2).alias(f"lo_{c}") for c in "xyz"], *[(F.col(f"m{c}") + ext[c] / 2).alias(f"hi_{c}") for c in "xyz"])
