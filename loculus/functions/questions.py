@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loculus.functions.tables import TASK_PATTERNS
+
 # How questions are worded. Each list is tried in order.
 COUNT = [r"(?i)How many (\w+(?:\s+\w+)*?)(?:\(s\)|\(es\))?\s+(?:are|is|do|does|can)", r"(?i)How many (\w+)"]
 SIZE = [r"(?:size|height|length|width|dimension).*?(?:of|for)\s+(?:the\s+)?(.+?)[\?\.]", r"of the (\w+)"]
@@ -124,3 +128,12 @@ def frame_spec(spec: Column) -> Column:
     """"3,5-8" as [3, 5, 6, 7, 8]."""
     part = lambda p: F.when(p.rlike(r"^\s*\d+\s*-\s*\d+\s*$"), F.sequence(F.trim(F.split_part(p, F.lit("-"), F.lit(1))).cast("int"), F.trim(F.split_part(p, F.lit("-"), F.lit(2))).cast("int"))).when(p.rlike(r"^\s*\d+\s*$"), F.array(F.trim(p).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.flatten(F.transform(F.split(spec, ","), part)))
+
+
+def task_of(question: Column, given: Column, patterns=TASK_PATTERNS) -> Column:
+    """The question's type: the given one where it is known, else the first with a pattern in the question, else the first of all."""
+    q = F.lower(question)
+    out = F.lit(patterns[0][0])
+    for task, found in reversed(patterns):
+        out = F.when(reduce(lambda a, b: a | b, [q.rlike(p) for p in found]), F.lit(task)).otherwise(out)
+    return F.when(given.isin([t for t, _ in patterns]), given).otherwise(out)

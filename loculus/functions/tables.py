@@ -74,3 +74,28 @@ NUMERIC_TASKS = ["object_counting", "object_size_estimation", "room_size_estimat
 TEST_SYNONYMS = {"rod": ["bar"], "ring": ["loop"]}
 TEST_SIZES = [("anvil", 0.3), ("bolt", 0.05), ("gear", 0.2), ("gizmo", 0.25), ("plate", 0.3), ("ring", 0.1), ("rod", 1.0), ("widget", 0.4)]
 TEST_RANGES = [("anvil", 0.2, 0.5), ("bolt", 0.02, 0.1), ("plate", 0.2, 0.5), ("gizmo", 0.1, 0.5)]
+
+# Red, green and blue of categories in a top-down view, in the order in which they are tried; of all others last.
+COLORS = [
+    ("chair", 65, 105, 225), ("table", 139, 69, 19), ("sofa", 255, 140, 0), ("couch", 255, 140, 0),
+    ("bed", 148, 103, 189), ("desk", 139, 69, 19), ("door", 128, 128, 128), ("window", 135, 206, 235),
+    ("tv", 220, 20, 60), ("television", 220, 20, 60), ("toilet", 255, 182, 193), ("sink", 0, 191, 255),
+    ("refrigerator", 0, 128, 128), ("fridge", 0, 128, 128), ("lamp", 255, 215, 0), ("shelf", 107, 142, 35),
+    ("cabinet", 85, 107, 47), ("pillow", 255, 192, 203), ("rug", 188, 143, 143), ("trash", 169, 169, 169),
+    ("microwave", 100, 149, 237), ("oven", 178, 34, 34), ("plant", 34, 139, 34), ("curtain", 216, 191, 216),
+    ("monitor", 220, 20, 60), ("backpack", 128, 0, 0), ("default", 150, 150, 150),
+]
+
+# Patterns of questions without a type, in the order in which they are tried; what fits none counts objects.
+TASK_PATTERNS = [
+    ("object_counting", ["how many", "count", "number of"]),
+    ("object_abs_distance", ["distance between", "how far.*from", "meters.*between"]),
+    ("object_size_estimation", ["size of", "how (big|large|tall|wide)", "dimension"]),
+    ("room_size_estimation", ["room.*size", "area of.*room", "square (meter|feet)"]),
+    ("object_rel_direction_easy", ["left or right", "to (my|the) (left|right)"]),
+    ("object_rel_direction_medium", ["(front|back|left|right).*facing"]),
+    ("object_rel_direction_hard", ["front.*(left|right)", "back.*(left|right)"]),
+    ("object_rel_distance", ["(closer|closer to|nearest|farthest)", "which.*closest"]),
+    ("obj_appearance_order", ["first.*appear", "order.*appear", "sequence"]),
+    ("route_planning", ["how.*get.*from.*to", "path.*from", "route", "walk.*from"]),
+]

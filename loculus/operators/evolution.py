@@ -147,3 +147,38 @@ def belief_rounds(questions: DataFrame, det: DataFrame, looks: DataFrame, rounds
         own = own.join(gone, ["scene", "label", "det_ord"], "left_anti").checkpoint()
     used = looks.join(state.select("qid", "n"), "qid").filter(F.col("round") <= F.col("n"))
     return state.join(vote(used, rounds).withColumnRenamed("answer", "voted"), "qid", "left").select("qid", F.coalesce("final", "voted", F.lit("A")).alias("answer"), F.coalesce("converged", F.lit("conf_weighted_vote")).alias("converged"), F.col("n").alias("rounds"))
+
+
+# What is corrected before a question of a type is answered, by words of the type, tried in this order; else sizes.
+STRATEGIES = [("counting", "counts"), ("size", "sizes"), ("distance", "distances"), ("direction", "directions"), ("appearance", "first_seen"), ("order", "first_seen"), ("route", "topology")]
+
+
+def strategy_of(qtype: Column) -> Column:
+    out = F.lit("sizes")
+    for word, name in reversed(STRATEGIES):
+        out = F.when(F.lower(qtype).contains(word), F.lit(name)).otherwise(out)
+    return out
+
+
+def evolve(questions: DataFrame, entities: DataFrame, det: DataFrame, least: float = LOW_CONFIDENCE, reference=REFERENCE, ranges=COMMON_RANGES, most: float = 10.0) -> DataFrame:
+    """questions (qid, scene, qtype) with each entity as its type's correction leaves it: qid, strategy, label, count, w3, h3, mx, my, mz, first_seen.
+
+    Unsure entities go first. Every correction is made once a scene; questions pick theirs by scene and strategy.
+    """
+    from loculus.operators.series import gaps
+
+    e = drop_unsure(entities, least)
+    keep = ["scene", "label", "count_in_frame", "w3", "h3", "mx", "my", "mz", "first_seen"]
+    plain = e.select(*keep)
+    counted = plain.join(counts(det).select("scene", "label", F.col("count").alias("_c")), ["scene", "label"], "left").withColumn("count_in_frame", F.coalesce("_c", "count_in_frame"))
+    moved = plain.join(directions(det).select("scene", "label", *[F.col(f"m{c}").alias(f"_{c}") for c in "xyz"]), ["scene", "label"], "left").withColumns({f"m{c}": F.coalesce(f"_{c}", f"m{c}") for c in "xyz"})
+    sure = plain.join(gaps(det).select("scene", "label", F.col("first_sure").alias("_f")), ["scene", "label"], "left").withColumn("first_seen", F.coalesce("_f", "first_seen"))
+    all_ = {"counts": counted, "sizes": sizes(e, reference, ranges), "distances": distances(e, most), "directions": moved, "first_seen": sure, "topology": plain}
+    done = reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("strategy"), *keep) for s, d in all_.items()])
+    return questions.withColumn("strategy", strategy_of(F.col("qtype"))).join(done, ["scene", "strategy"]).select("qid", "strategy", "label", F.col("count_in_frame").alias("count"), "w3", "h3", "mx", "my", "mz", "first_seen")
+
+
+def agent_rates(runs: DataFrame) -> DataFrame:
+    """total, triggered, improved, evolution_rate, improvement_rate of runs (rounds, evolved): rounds that began, and runs that a round changed."""
+    s = runs.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("rounds"), F.lit(0)).alias("triggered"), F.count_if("evolved").alias("improved"))
+    return s.select("*", (F.col("triggered") / F.greatest(F.lit(1), F.col("total"))).alias("evolution_rate"), F.when(F.col("triggered") > 0, F.col("improved") / F.col("triggered")).otherwise(F.lit(0.0)).alias("improvement_rate"))

@@ -53,3 +53,23 @@ def frame_budget(total: int, fps: float, per_second: float = 2.0, most: int = 12
 
 def frame_at(seconds: float, fps: float, total: int) -> int:
     return max(0, min(int(seconds * fps), total - 1))
+
+
+def frame_batches(total: int, n: int = 16, size: int = 4):
+    """The numbers of n frames spread evenly over a video, `size` at a time."""
+    frames = [total - 1 if n > 1 and i == n - 1 else int(i * ((total - 1) / max(n - 1, 1))) for i in range(n)]
+    for i in range(0, n, size):
+        yield frames[i : i + size]
+
+
+def newest_run(root: str) -> str:
+    """The sub-folder written last that holds logs or detailed results, its own or its workers'; the root without any."""
+    kinds = ("gpu*.log", "detailed_results.json", "gpu*/detailed_results.json")
+    runs = [p for p in Path(root).iterdir() if p.is_dir() and any(next(p.glob(k), None) for k in kinds)]
+    return str(max(runs, key=lambda p: p.stat().st_mtime)) if runs else root
+
+
+def output_dir(given: str | None, worker: int | None, stamp: str, root: str = "outputs", name: str = "run") -> str:
+    """Where a run writes: the folder given, else one for all workers, else one with a time stamp; a worker has its own within it."""
+    base = Path(given).expanduser() if given else Path(root) / (name if worker is not None else f"{name}_{stamp}")
+    return str(base / f"gpu{worker}" if worker is not None else base)

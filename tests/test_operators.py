@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import io
 import itertools
 import json
@@ -256,3 +257,32 @@ def test_labels_by_boxes_of_all_frames(spark):
     got = {(r["scene"], r["frame"], r["thing"]) for r in catalog.QUERIES["j10_labels_by_boxes"](spark, SMALL).collect()}
     seen = {(r["scene"], r["frame_order"], r["label"]) for r in catalog.QUERIES["p22_projection"](spark, SMALL).collect()}
     assert got == seen and {f for _, f, _ in got} == set(range(7))
+
+
+def test_frame_batches_and_folders(tmp_path):
+    from loculus.sources import settings
+
+    assert list(settings.frame_batches(100, 5, 2)) == [[0, 24], [49, 74], [99]]
+    assert list(settings.frame_batches(7, 1)) == [[0]]
+    assert settings.newest_run(str(tmp_path)) == str(tmp_path)
+    for n, (name, file) in enumerate([("old", "gpu0.log"), ("new", "gpu1/detailed_results.json"), ("other", "notes.txt")]):
+        f = tmp_path / name / file
+        f.parent.mkdir(parents=True)
+        f.write_text("")
+        os.utime(tmp_path / name, (1000 + n, 1000 + n))
+    assert settings.newest_run(str(tmp_path)) == str(tmp_path / "new")
+    assert settings.output_dir(None, 3, "t", "o") == "o/run/gpu3" and settings.output_dir(None, None, "t", "o") == "o/run_t" and settings.output_dir("x", None, "t") == "x"
+
+
+def test_label_rows_and_names_to_add(spark):
+    """A hand-made case: the instance seen most gives the place, of equals the first; three names at most, those of no object left out."""
+    from loculus.operators import retrieve
+
+    rows = [("s", "cup", 1, 2, 1.0, 0.6, 5, 9), ("s", "cup", 2, 3, 2.0, 0.8, 2, 7), ("s", "cup", 3, 3, 3.0, 1.0, 4, 8)]
+    i = spark.createDataFrame(rows, "scene string, label string, entity_ord int, obs_count int, mx double, existence double, first_seen int, last_seen int").withColumns({c: F.lit(1.0) for c in ("my", "mz", "w3", "h3")})
+    r = retrieve.label_rows(i).first()
+    assert (r["entity_id"], r["count"], r["mx"], r["first_seen"], r["last_seen"]) == ("entity_cup", 3, 2.0, 2, 9) and r["avg_confidence"] == pytest.approx(0.8)
+    replies = spark.createDataFrame([("s", "'Lamp' not found; 'x' not found; 'mug' not found; 'sofa' not found"), ("t", None)], "scene string, text string")
+    assert [tuple(x) for x in retrieve.names_to_add(replies, i).collect()] == [("s", "lamp")]
+    assert retrieve.of_tasks(i, [], "label").count() == 0
+    assert retrieve.label_rows(i.limit(0)).count() == 0
