@@ -225,7 +225,8 @@ def top_labels(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     m = e.select("label", F.posexplode("e").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
     product = F.aggregate(F.zip_with("e", "m", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    logits = e.select(F.col("vec_id").alias("key"), "e").join(F.broadcast(m.limit(1000)), F.lit(True)).select("key", "label", (10 * product).alias("logit"))
+    few = F.broadcast(m) if m.count() <= 10_000 else m
+    logits = e.select(F.col("vec_id").alias("key"), "e").join(few, F.lit(True)).select("key", "label", (10 * product).alias("logit"))
     return rounded(M.top_labels(logits))
 
 
