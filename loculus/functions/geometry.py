@@ -73,7 +73,7 @@ def position_uncertainty(depth_std: Column, confidence: Column) -> Column:
 def grid_cell(x: Column, low: Column, high: Column, n: int = 64) -> Column:
     """The cell of a grid of n that x is in, within [0, n - 1]; the middle where bounds are missing."""
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low + 1e-6)))
-    return F.coalesce((part * (n - 1)).cast("int"), F.lit(n // 2))
+    return F.coalesce((part * (n - 1) + BORDER).cast("int"), F.lit(n // 2))
 
 
 def metres_per_cell(calibrated: Column, raw: Column) -> Column:
@@ -84,13 +84,17 @@ def scale_factor(metres: Column, raw: Column) -> Column:
     return F.when(raw > 1e-8, F.try_divide(metres, raw)).otherwise(F.lit(1.0))
 
 
+#: A place this near below a border of cells (in cells) is past it: sums in another order differ in their last bits, and cells must not.
+BORDER = 1e-9
+
+
 def voxel_floor(x: Column, size: float) -> Column:
-    return F.floor(x / size).cast("int")
+    return F.floor(x / size + BORDER).cast("int")
 
 
 def voxel_trunc(x: Column, size: float) -> Column:
     """Towards zero, as the ray casters have it: differs from voxel_floor for negative x."""
-    return (x / size).cast("int")
+    return (x / size + F.signum(x) * BORDER).cast("int")
 
 
 def voxel_center(i: Column, size: float) -> Column:

@@ -13,16 +13,25 @@ def tokens(name: Column) -> Column:
     return F.filter(F.split(F.translate(name, "_-", "  "), r"\s+"), lambda w: w != "")
 
 
+def plain(name: Column) -> Column:
+    """A name as it is compared: in lower case, without spaces around it."""
+    return F.lower(F.trim(name))
+
+
+def meanings(name: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
+    """The synonyms of a name's words, as an array."""
+    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.flatten(F.transform(tokens(name), lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))
+
+
 def matches(target: Column, label: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
     """Whether a label means the target: equal, one within the other, a word in common, or a word's synonym.
 
     Synonyms go from single words to single words. The empty target matches every label.
     """
-    t, label = F.lower(F.trim(target)), F.lower(F.trim(label))
+    t, label = plain(target), plain(label)
     tw, lw = tokens(t), tokens(label)
-    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    known = F.exists(tw, lambda w: F.coalesce(F.arrays_overlap(F.try_element_at(table, w), lw), F.lit(False)))
-    return label.contains(t) | t.contains(label) | F.coalesce(F.arrays_overlap(tw, lw), F.lit(False)) | known
+    return label.contains(t) | t.contains(label) | F.coalesce(F.arrays_overlap(tw, lw), F.lit(False)) | F.coalesce(F.arrays_overlap(meanings(t, synonyms), lw), F.lit(False))
 
 
 def singulars(target: Column) -> Column:

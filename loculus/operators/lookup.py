@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.functions.names import matches
 from loculus.functions.tables import SYNONYMS
+from loculus.operators.matching import name_pairs
+from loculus.operators.spatial import offsets
 
 
 def all_matches(names: DataFrame, entities: DataFrame, synonyms=SYNONYMS) -> DataFrame:
     """names: scene, name. Each distinct name with every entity of its scene that it matches.
 
-    The fuzzy test runs once for each distinct name and each label of the detector's vocabulary; what matches is then joined by
-    scene and label, by equality.
+    Distinct names and the detector's vocabulary meet through an index, once for all scenes; what matches is then joined by scene
+    and label, by equality.
     """
     n = names.select("scene", "name").filter("name IS NOT NULL").distinct()
-    words = n.select("name").distinct().join(entities.select("label").distinct(), matches(F.col("name"), F.col("label"), synonyms))
+    words = name_pairs(n.select("name"), entities.select("label"), synonyms)
     return n.join(words, "name").join(entities, ["scene", "label"])
 
 
@@ -33,26 +34,27 @@ def attach(rows: DataFrame, name: str, found: DataFrame, as_: str) -> DataFrame:
 
 
 def pairs(entities: DataFrame, most: float | None = None) -> DataFrame:
-    """Pairs of a scene's entities in order of first detection with their distance; with a bound, those nearer than that.
+    """Pairs of a scene's entities in order of first detection with their distance; with a bound, those nearer than that and some more.
 
-    With a bound, places are dealt to cells of its size: a pair meets in the 27 cells around one of them, so far ones never do.
+    With a bound, places are dealt to cells of its size: a pair meets in the cell of one of them, since either both share it or the other
+    looks into it from one of the 13 cells on one side, so far ones never do.
     """
     keep = ["scene", "label", "entity_ord", "mx", "my", "mz"]
-    a, b = entities.select(*keep), entities.select(*keep)
+    e = entities.select(*keep)
     named = lambda e, p: e.select("scene", *[F.col(c).alias(f"{p}_{c}") for c in keep[1:]], *[c for c in e.columns if c.startswith("_c")])
-    on = ["scene"]
-    if most is not None:
-        cell = lambda c: F.floor(F.col(f"m{c}") / most).cast("int")
-        around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-        a = a.select("*", *[cell(c).alias(f"_c{c}") for c in "xyz"])
-        b = b.select("*", *[cell(c).alias(f"_b{c}") for c in "xyz"])
-        for c in "xyz":
-            b = b.withColumn("_d", F.explode(around)).withColumn(f"_c{c}", F.col(f"_b{c}") + F.col("_d")).drop("_d", f"_b{c}")
-        on += ["_cx", "_cy", "_cz"]
-    out = named(a, "a").join(named(b, "b"), on).filter("a_entity_ord < b_entity_ord")
+    if most is None:
+        out = named(e, "a").join(named(e, "b"), "scene").filter("a_entity_ord < b_entity_ord")
+    else:
+        e = e.select("*", *[F.floor(F.col(f"m{c}") / most).alias(f"_c{c}") for c in "xyz"])
+        cell = ["_cx", "_cy", "_cz"]
+        own = named(e, "a").join(named(e, "b"), ["scene", *cell]).filter("a_entity_ord < b_entity_ord")
+        looks = e.select(*keep, *cell, F.explode(offsets(half=True)).alias("o")).select(*keep, *[(F.col(f"_c{c}") + F.col(f"o.{c}")).alias(f"_c{c}") for c in "xyz"])
+        other = named(looks, "a").join(named(e, "b"), ["scene", *cell])
+        first = F.col("a_entity_ord") < F.col("b_entity_ord")
+        turned = [F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{p}_{c}") for p, q in ("ab", "ba") for c in keep[1:]]
+        out = own.drop(*cell).unionByName(other.select("scene", *turned))
     d = F.sqrt(sum(((F.col(f"b_m{c}") - F.col(f"a_m{c}")) * (F.col(f"b_m{c}") - F.col(f"a_m{c}")) for c in "yz"), (F.col("b_mx") - F.col("a_mx")) * (F.col("b_mx") - F.col("a_mx"))))
-    out = out.withColumn("distance", d)
-    return out if most is None else out.drop("_cx", "_cy", "_cz")
+    return out.withColumn("distance", d)
 
 
 def nearest_frame(entities: DataFrame, frames: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loculus.functions.geometry import opposite_relation, relation_word
 from loculus.operators.lookup import pairs
+from loculus.operators.spatial import nearest_other
 
 
 def relations(entities: DataFrame, most: float = 3.0, near: float = 1.0, next_to: float = 0.5, vertical: float = 0.3) -> DataFrame:
@@ -61,17 +62,10 @@ def remove(objects: DataFrame, rel: DataFrame, gone: DataFrame) -> tuple[DataFra
     return objects.join(gone, ["scene", "label"], "left_anti"), rel.join(s, ["scene", "subject"], "left_anti").join(o, ["scene", "object"], "left_anti")
 
 
-def closer_but_later(entities: DataFrame) -> DataFrame:
-    """Pairs of which the first is over 1 m nearer in depth and yet first seen over 5 frames later."""
-    a = entities.select("scene", F.col("label").alias("near"), F.col("mz").alias("na"), F.col("first_seen").alias("fa"))
-    b = entities.select("scene", F.col("label").alias("far"), F.col("mz").alias("nb"), F.col("first_seen").alias("fb"))
-    return a.join(b, "scene").filter("na < nb - 1.0 AND fa > fb + 5").select("scene", "near", "far")
-
-
 def topology(entities: DataFrame) -> DataFrame:
-    """scene, mean and greatest distance of pairs, and of each entity the nearest other."""
-    p = pairs(entities)
-    return p.groupBy("scene").agg(F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), F.count(F.lit(1)).alias("n_pairs"))
+    """Each entity with the nearest other of its scene (nulls where it is alone), and the scene's mean and greatest distance of pairs and their number."""
+    p = pairs(entities).groupBy("scene").agg(F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), F.count(F.lit(1)).alias("n_pairs"))
+    return nearest_other(entities).join(p, "scene", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
 
 
 def spatial_conflicts(entities: DataFrame) -> DataFrame:

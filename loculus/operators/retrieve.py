@@ -11,6 +11,7 @@ from loculus.functions.tables import COLORS, SYNONYMS
 from loculus.functions.texts import missing_names
 from loculus.operators.beliefs import entity_beliefs
 from loculus.operators.lookup import all_matches, not_found
+from loculus.operators.matching import holding_pairs
 
 # Words of names that stand for no object.
 NO_OBJECTS = ("the room", "into", "toward")
@@ -23,10 +24,9 @@ def by_category(names: DataFrame, entities: DataFrame, column: str = "label") ->
 
 
 def within(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """Each distinct name with the entities of its scene whose label holds it or lies in it; the test runs once a name and label."""
+    """Each distinct name with the entities of its scene whose label holds it or lies in it; names and labels meet through an index."""
     n = names.select("scene", "name").filter("name IS NOT NULL").distinct()
-    t, label = F.lower("name"), F.col("label")
-    words = n.select("name").distinct().join(entities.select("label").distinct(), label.contains(t) | t.contains(label))
+    words = holding_pairs(n.select("name"), entities.select("label"))
     return n.join(words, "name").join(entities, ["scene", "label"])
 
 

@@ -59,17 +59,3 @@ def ray_visibility(cameras: DataFrame, entities: DataFrame, voxels: DataFrame, s
     out = p.select("scene", "frame_order", "label", "far").join(blocked, ["scene", "frame_order", "label"], "left")
     share = F.when(F.col("far"), F.lit(1.0)).otherwise(F.coalesce("blocked", F.lit(0)) / float(rays))
     return out.select("scene", "frame_order", "label", share.alias("occluded"), (~F.col("far") & (share < threshold)).alias("visible"))
-
-
-def box_hits(rays: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The first box of its scene that each ray meets, by slabs: ray, box, t; rays: ray, scene, o and d of x, y, z; boxes: scene, box, lo_ and hi_ of x, y, z."""
-    near, far = [], []
-    for c in "xyz":
-        a, b = F.try_divide(F.col(f"lo_{c}") - F.col(f"o{c}"), F.col(f"d{c}")), F.try_divide(F.col(f"hi_{c}") - F.col(f"o{c}"), F.col(f"d{c}"))
-        inside = F.col(f"o{c}").between(F.col(f"lo_{c}"), F.col(f"hi_{c}"))
-        flat = F.col(f"d{c}") == 0
-        near.append(F.when(flat, F.when(inside, F.lit(-1e308)).otherwise(F.lit(1e308))).otherwise(F.least(a, b)))
-        far.append(F.when(flat, F.when(inside, F.lit(1e308)).otherwise(F.lit(-1e308))).otherwise(F.greatest(a, b)))
-    t0, t1 = F.greatest(*near), F.least(*far)
-    hit = rays.join(boxes, "scene").withColumn("t", F.when((t0 <= t1) & (t1 >= 0), F.greatest(t0, F.lit(0.0)))).filter("t IS NOT NULL")
-    return hit.groupBy("ray").agg(F.min("t").alias("t"), F.min_by("box", F.struct("t", "box")).alias("box"))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loculus.functions import questions as Q
-from loculus.functions.names import matches
 from loculus.functions.tables import CHOICE_TASKS, NUMERIC_TASKS, TYPICAL_CM
 from loculus.operators import answers as A
 from loculus.operators import lookup as L
 from loculus.operators import scale as S
 from loculus.operators.beliefs import entity_beliefs
+from loculus.operators.matching import name_pairs
 from loculus.plans.fixtures import ALL_RANGES, ALL_SIZES, ALL_SYNONYMS, cameras, d4, detections, rounded, sql_match, with_ctes
 from loculus.plans.registry import query
 
@@ -138,7 +138,7 @@ def run_summary(spark, d):
 def fuzzy_matches(spark, d):
     ent = prepared(spark, d)[0].select("label").distinct()
     names = ent.select(F.col("label").alias("name")).union(ent.select(F.split_part("label", F.lit(" "), F.lit(1)))).distinct()
-    return names.join(ent, matches(F.col("name"), F.col("label"), ALL_SYNONYMS))
+    return name_pairs(names, ent, ALL_SYNONYMS)
 
 
 @query("j1_first_match", with_ctes(f"SELECT scene, name, first_seen, {d4('mx')} AS mx FROM fst", *LAB))

@@ -7,7 +7,7 @@ from loculus.functions.texts import NEEDS
 from loculus.operators.family_answers import COMMON, NO_NAMES
 from loculus.plans.answer_queries import ANSWERS, LAB, NUM, PICK
 from loculus.plans.family_queries import KEN
-from loculus.plans.fixtures import d4, with_ctes
+from loculus.plans.fixtures import d4, vt, with_ctes
 from loculus.plans.registry import QUERIES, SQL
 from loculus.plans.space_queries import BOX, SIZE
 
@@ -87,7 +87,7 @@ add("q_c6_rel_distance", f"""SELECT 'rel-' || q.scene || '-' || q.k AS qid, coal
 
 add("x14_prompts", "SELECT kind || '-' || scene || '-' || k AS qid, 'You see a video of an indoor scene.' || chr(10) || 'Question: ' || question || CASE WHEN options IS NULL THEN chr(10) || 'Answer with one number.' ELSE chr(10) || 'Options:' || chr(10) || array_to_string(options, chr(10)) || chr(10) || 'Answer with the letter alone.' END AS prompt FROM qst", *LAB, QST)
 
-add("a12_half_open_boxes", f"SELECT DISTINCT scene, vx, vy, vz FROM (SELECT scene, trunc((mx - w3 / 2 + i * {SIZE}) / {SIZE})::INTEGER AS vx, trunc((my - h3 / 2 + j * {SIZE}) / {SIZE})::INTEGER AS vy, trunc((mz - 0.3::DOUBLE / 2) / {SIZE})::INTEGER AS vz FROM (SELECT *, unnest(range(ceil(w3 / {SIZE})::BIGINT)) AS i FROM ent), LATERAL (SELECT unnest(range(ceil(h3 / {SIZE})::BIGINT)) AS j))")
+add("a12_half_open_boxes", f"SELECT DISTINCT scene, vx, vy, vz FROM (SELECT scene, {vt('mx - w3 / 2 + i * 0.5', SIZE)}::INTEGER AS vx, {vt('my - h3 / 2 + j * 0.5', SIZE)}::INTEGER AS vy, {vt('mz - 0.3::DOUBLE / 2', SIZE)}::INTEGER AS vz FROM (SELECT *, unnest(range(ceil(w3 / {SIZE})::BIGINT)) AS i FROM ent), LATERAL (SELECT unnest(range(ceil(h3 / {SIZE})::BIGINT)) AS j))")
 
 SQL["e8_median_vote"] = "SELECT user_id AS qid, round(median(CASE WHEN v BETWEEN 1 AND 200 THEN v END)::DECIMAL(18, 6), 1)::DECIMAL(18, 1)::VARCHAR AS answer FROM (SELECT user_id, round(value::DECIMAL(18, 6), 1)::DOUBLE AS v FROM events) GROUP BY user_id"
 

@@ -54,7 +54,7 @@ def room_area(spark, d):
     return rounded(S.room_area(ent, cam, scale))
 
 
-@query("p10_grid_cells", with_ctes("SELECT scene, label, " + ", ".join(f"CAST(trunc(greatest(0.0, least(1.0, (m{c} - lo_{c}) / (hi_{c} - lo_{c} + 1e-6))) * 63) AS INTEGER) AS g{c}" for c in "xyz") + " FROM ent JOIN bnd USING (scene)"))
+@query("p10_grid_cells", with_ctes("SELECT scene, label, " + ", ".join(f"CAST(trunc(greatest(0.0, least(1.0, (m{c} - lo_{c}) / (hi_{c} - lo_{c} + 1e-6))) * 63 + 1e-9) AS INTEGER) AS g{c}" for c in "xyz") + " FROM ent JOIN bnd USING (scene)"))
 def grid_cells(spark, d):
     _, ent, _, bounds, _ = scaled(spark, d)
     return S.grid_cells(ent, bounds)

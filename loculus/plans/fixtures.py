@@ -54,6 +54,16 @@ def d4(expr: str) -> str:
     return f"floor(({expr}) * 1e4 + 0.50001) / 1e4 + 0.0"
 
 
+def vf(x: str, size: float) -> str:
+    """voxel_floor in DuckDB."""
+    return f"floor(({x}) / {size} + 1e-9)"
+
+
+def vt(x: str, size: float) -> str:
+    """voxel_trunc in DuckDB."""
+    return f"trunc(({x}) / {size} + sign({x}) * 1e-9)"
+
+
 def sql_map(table: dict[str, list[str]]) -> str:
     return "MAP {" + ", ".join(f"'{k}': [{', '.join(repr(x) for x in v)}]" for k, v in table.items()) + "}"
 

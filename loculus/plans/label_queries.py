@@ -12,9 +12,10 @@ from loculus.operators import lookup
 from loculus.operators.beliefs import COV, entity_beliefs, track_moments
 from loculus.operators.evolution import area_of
 from loculus.operators.scale import grid_cells
+from loculus.operators.spatial import boxes_that_meet
 from loculus.plans.answer_queries import LAB, prepared
 from loculus.plans.belief_queries import cols, scaled
-from loculus.plans.fixtures import ALL_SYNONYMS, cameras, d4, detections, read, rounded, with_ctes
+from loculus.plans.fixtures import ALL_SYNONYMS, cameras, d4, detections, read, rounded, vf, vt, with_ctes
 from loculus.plans.process_queries import triples
 from loculus.plans.registry import query
 from loculus.sources import results as Res
@@ -45,7 +46,7 @@ def physical_sizes(spark, d):
     return rounded(ent.join(scale, "scene").select("scene", "label", (F.greatest("w3", "h3") * F.col("scf")).alias("size"), (F.col("w3") * F.col("h3") * 0.3).alias("volume")))
 
 
-@query("p16_voxel_keys", with_ctes("SELECT scene, det_ord, floor((x - 5) / 0.5)::INTEGER AS fx, trunc((x - 5) / 0.5)::INTEGER AS tx FROM det"))
+@query("p16_voxel_keys", with_ctes(f"SELECT scene, det_ord, {vf('x - 5', 0.5)}::INTEGER AS fx, {vt('x - 5', 0.5)}::INTEGER AS tx FROM det"))
 def voxel_keys(spark, d):
     return detections(spark, d).select("scene", "det_ord", G.voxel_floor(F.col("x") - 5, 0.5).alias("fx"), G.voxel_trunc(F.col("x") - 5, 0.5).alias("tx"))
 
@@ -54,9 +55,8 @@ def voxel_keys(spark, d):
 def boxes_meet(spark, d):
     e = entity_beliefs(detections(spark, d))
     ext = {"x": F.col("w3"), "y": F.col("h3"), "z": F.lit(0.3)}
-    side = lambda p: e.select("scene", F.col("label").alias(f"{p}_label"), F.col("entity_ord").alias(f"{p}o"), *[(F.col(f"m{c}") - ext[c] / 2).alias(f"{p}lo{c}") for c in "xyz"], *[(F.col(f"m{c}") + ext[c] / 2).alias(f"{p}hi{c}") for c in "xyz"])
-    v = lambda p: tuple(F.col(f"{p}{c}") for c in "xyz")
-    return side("a").join(side("b"), "scene").filter((F.col("ao") < F.col("bo")) & G.boxes_meet(v("alo"), v("ahi"), v("blo"), v("bhi"))).select("scene", "a_label", "b_label")
+    boxes = e.select("scene", F.col("label").alias("box"), F.col("entity_ord").alias("ord"), *[(F.col(f"m{c}") - ext[c] / 2).alias(f"lo_{c}") for c in "xyz"], *[(F.col(f"m{c}") + ext[c] / 2).alias(f"hi_{c}") for c in "xyz"])
+    return boxes_that_meet(boxes).withColumnsRenamed({"a": "a_label", "b": "b_label"})
 
 
 @query("p22_projection")
@@ -76,7 +76,7 @@ def labels_by_boxes(spark, d):
 
 
 @query("p23_quadrants", with_ctes("SELECT scene, k, CASE WHEN tx = 0 AND tz = 0 THEN 'same_position' ELSE CASE WHEN tx * fx + tz * fz >= 0 THEN 'front' ELSE 'behind' END || '-' || CASE WHEN fx * tz - fz * tx >= 0 THEN 'right' ELSE 'left' END END AS word FROM (SELECT scene, k, tx, tz, CASE WHEN dx = 0 AND dz = 0 THEN 0 ELSE dx END AS fx, CASE WHEN dx = 0 AND dz = 0 THEN 1 ELSE dz END AS fz FROM (SELECT a.scene, a.entity_ord AS k, b.gx - a.gx AS dx, b.gz - a.gz AS dz, c.gx - a.gx AS tx, c.gz - a.gz AS tz FROM gce a JOIN gce b ON b.scene = a.scene AND b.entity_ord = a.entity_ord + 1 JOIN gce c ON c.scene = a.scene AND c.entity_ord = a.entity_ord + 2))",
-    ("gce", "SELECT scene, entity_ord, " + ", ".join(f"CAST(trunc(greatest(0.0, least(1.0, (m{c} - lo_{c}) / (hi_{c} - lo_{c} + 1e-6))) * 63) AS INTEGER) AS g{c}" for c in "xz") + " FROM ent JOIN bnd USING (scene)")))
+    ("gce", "SELECT scene, entity_ord, " + ", ".join(f"CAST(trunc(greatest(0.0, least(1.0, (m{c} - lo_{c}) / (hi_{c} - lo_{c} + 1e-6))) * 63 + 1e-9) AS INTEGER) AS g{c}" for c in "xz") + " FROM ent JOIN bnd USING (scene)")))
 def quadrants(spark, d):
     _, ent, _, bounds, _ = scaled(spark, d)
     g = grid_cells(ent, bounds).join(ent.select("scene", "label", "entity_ord"), ["scene", "label"])

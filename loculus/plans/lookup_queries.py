@@ -239,7 +239,7 @@ def camera_to_world(spark, d):
     return rounded(one)
 
 
-@query("p11_grid_metres", with_ctes("SELECT scene, label, " + ", ".join(f"{d4(f'trunc(greatest(0.0, least(1.0, (m{c} - lo_{c}) / (hi_{c} - lo_{c} + 1e-6))) * 63) * mpg')} AS {c}" for c in "xyz") + " FROM ent JOIN bnd USING (scene) JOIN scl USING (scene)"))
+@query("p11_grid_metres", with_ctes("SELECT scene, label, " + ", ".join(f"{d4(f'trunc(greatest(0.0, least(1.0, (m{c} - lo_{c}) / (hi_{c} - lo_{c} + 1e-6))) * 63 + 1e-9) * mpg')} AS {c}" for c in "xyz") + " FROM ent JOIN bnd USING (scene) JOIN scl USING (scene)"))
 def grid_metres(spark, d):
     """Cells of the grid in metres from its corner."""
     from loculus.operators.scale import grid_cells

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from loculus.functions.geometry import sector
 from loculus.operators import lookup as L
 from loculus.operators import relations as R
+from loculus.operators import spatial as G
 from loculus.operators import visibility as V
 from loculus.operators import voxels as X
 from loculus.operators.beliefs import entity_beliefs
-from loculus.plans.fixtures import cameras, d4, detections, points, rounded, with_ctes
+from loculus.plans.fixtures import cameras, d4, detections, points, rounded, vf, vt, with_ctes
 from loculus.plans.registry import query
 
 SIZE = 0.5
@@ -81,10 +82,15 @@ def of_object(spark, d):
 
 @query("j25_closer_but_later", with_ctes("SELECT a.scene, a.label AS near, b.label AS far FROM ent a JOIN ent b ON a.scene = b.scene AND a.mz < b.mz - 1.0 AND a.first_seen > b.first_seen + 5"))
 def closer_but_later(spark, d):
-    return R.closer_but_later(entities(spark, d))
+    return G.later_but_nearer(entities(spark, d))
 
 
-@query("a28_topology", with_ctes(f"SELECT scene, count(*) AS n_pairs, {d4('avg(d)')} AS mean_distance, {d4('max(d)')} AS max_distance FROM prs GROUP BY scene", PRS))
+NBR = "nbr", "SELECT scene, al AS label, bl AS other, bo AS o, d FROM prs UNION ALL SELECT scene, bl, al, ao, d FROM prs"
+
+
+@query("a28_topology", with_ctes(f"""SELECT ent.scene, ent.label, coalesce(n_pairs, 0) AS n_pairs, {d4('mean_distance')} AS mean_distance, {d4('max_distance')} AS max_distance, nearest, {d4('nearest_distance')} AS nearest_distance
+  FROM ent LEFT JOIN (SELECT scene, count(*) AS n_pairs, avg(d) AS mean_distance, max(d) AS max_distance FROM prs GROUP BY scene) p ON p.scene = ent.scene
+  LEFT JOIN (SELECT scene, label, arg_min(other, (round(d, 9), o)) AS nearest, min(d) AS nearest_distance FROM nbr GROUP BY ALL) n ON n.scene = ent.scene AND n.label = ent.label""", PRS, NBR))
 def topology(spark, d):
     return rounded(R.topology(entities(spark, d)))
 
@@ -115,7 +121,7 @@ def sectors(spark, d):
     return rounded(r.select("scene", "k", angle.alias("angle"), word.alias("direction")))
 
 
-VOX = "vox", f"SELECT scene, floor(x / {SIZE})::INTEGER AS vx, floor(y / {SIZE})::INTEGER AS vy, floor(z / {SIZE})::INTEGER AS vz, count(*) AS hits, least(1.0, 0.6 + 0.1 * count(*)) AS occupancy, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(x) AS ax, avg(y) AS ay, avg(z) AS az, min(frame_order) AS first_frame, max(frame_order) AS last_frame FROM pts GROUP BY ALL"
+VOX = "vox", f"SELECT scene, {vf('x', SIZE)}::INTEGER AS vx, {vf('y', SIZE)}::INTEGER AS vy, {vf('z', SIZE)}::INTEGER AS vz, count(*) AS hits, least(1.0, 0.6 + 0.1 * count(*)) AS occupancy, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(x) AS ax, avg(y) AS ay, avg(z) AS az, min(frame_order) AS first_frame, max(frame_order) AS last_frame FROM pts GROUP BY ALL"
 
 
 @query("a8_voxel_fusion", with_ctes(f"SELECT scene, vx, vy, vz, hits, {d4('occupancy')} AS occupancy, {d4('r')} AS r, {d4('g')} AS g, {d4('b')} AS b, first_frame, last_frame FROM vox", VOX))
@@ -133,7 +139,7 @@ def bounds(spark, d):
     return rounded(X.bounds(points(spark, d)))
 
 
-@query("a32_merge_clouds", with_ctes(f"SELECT scene, vx, vy, vz, {d4('avg(x)')} AS x, {d4('avg(y)')} AS y, {d4('avg(z)')} AS z FROM (SELECT scene, x, y, z, floor(x)::INTEGER AS vx, floor(y)::INTEGER AS vy, floor(z)::INTEGER AS vz FROM (SELECT scene, x, y, z FROM pts UNION ALL SELECT scene, z + 0.25, y + 0.5, -x + 0.75 FROM pts)) GROUP BY ALL"))
+@query("a32_merge_clouds", with_ctes(f"SELECT scene, vx, vy, vz, {d4('avg(x)')} AS x, {d4('avg(y)')} AS y, {d4('avg(z)')} AS z FROM (SELECT scene, x, y, z, {vf('x', 1.0)}::INTEGER AS vx, {vf('y', 1.0)}::INTEGER AS vy, {vf('z', 1.0)}::INTEGER AS vz FROM (SELECT scene, x, y, z FROM pts UNION ALL SELECT scene, z + 0.25, y + 0.5, -x + 0.75 FROM pts)) GROUP BY ALL"))
 def merge_clouds(spark, d):
     p = points(spark, d)
     return rounded(X.merge([(p, [1, 0, 0, 0, 1, 0, 0, 0, 1], [0, 0, 0]), (p, [0, 0, 1, 0, 1, 0, -1, 0, 0], [0.25, 0.5, 0.75])], 1.0).drop("r", "g", "b"))
@@ -146,8 +152,8 @@ def voxels_near(spark, d):
 
 
 BOX = "box", f"""SELECT scene, vx, vy, vz, avg(confidence) AS occupancy, count(*) AS n, coalesce(arg_max(label, det_ord) FILTER (confidence > 0.5), arg_min(label, det_ord)) AS label FROM det,
-  LATERAL (SELECT unnest(range(floor((x - width_3d / 2) / {SIZE})::BIGINT, floor((x + width_3d / 2) / {SIZE})::BIGINT + 1)) AS vx) a, LATERAL (SELECT unnest(range(floor((y - height_3d / 2) / {SIZE})::BIGINT, floor((y + height_3d / 2) / {SIZE})::BIGINT + 1)) AS vy) b,
-  LATERAL (SELECT unnest(range(floor((z - 0.3 / 2) / {SIZE})::BIGINT, floor((z + 0.3 / 2) / {SIZE})::BIGINT + 1)) AS vz) c GROUP BY ALL"""
+  LATERAL (SELECT unnest(range({vf('x - width_3d / 2', SIZE)}::BIGINT, {vf('x + width_3d / 2', SIZE)}::BIGINT + 1)) AS vx) a, LATERAL (SELECT unnest(range({vf('y - height_3d / 2', SIZE)}::BIGINT, {vf('y + height_3d / 2', SIZE)}::BIGINT + 1)) AS vy) b,
+  LATERAL (SELECT unnest(range({vf('z - 0.3 / 2', SIZE)}::BIGINT, {vf('z + 0.3 / 2', SIZE)}::BIGINT + 1)) AS vz) c GROUP BY ALL"""
 
 
 @query("a12_box_voxels", with_ctes(f"SELECT scene, vx::INTEGER AS vx, vy::INTEGER AS vy, vz::INTEGER AS vz, n, label, {d4('occupancy')} AS occupancy FROM box", BOX))
@@ -204,7 +210,7 @@ def field_of_view(spark, d):
 
 
 RAY = "ray", "SELECT scene, frame_order, label, cx, cy, cz, mx, my, mz, d, i, dx, dy, dz, sqrt(dx * dx + dy * dy + dz * dz) AS len FROM (SELECT see.*, t.i, mx + t.a * w3 / 2 * 0.8 - cx AS dx, my + t.b * h3 / 2 * 0.8 - cy AS dy, mz + t.c * 0.3 / 2 * 0.8 - cz AS dz FROM see, (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(V.targets(9))) + ") t(i, a, b, c) WHERE d <= 15)"
-BLK = "blk", "SELECT scene, frame_order, label, count(DISTINCT i) AS n FROM (SELECT s.scene, frame_order, label, i, mx, my, mz, s.vx, s.vy, s.vz FROM (SELECT *, trunc((cx + dx / len * (k * 0.25)) / 0.5)::INTEGER AS vx, trunc((cy + dy / len * (k * 0.25)) / 0.5)::INTEGER AS vy, trunc((cz + dz / len * (k * 0.25)) / 0.5)::INTEGER AS vz FROM (SELECT *, unnest(range(1, 1 + greatest(0, least(trunc(len / 0.25)::BIGINT - 1, floor(d * 0.85 / 0.25)::BIGINT)))) AS k FROM ray)) s JOIN vox v USING (scene, vx, vy, vz)) WHERE sqrt(((vx + 0.5) * 0.5 - mx) * ((vx + 0.5) * 0.5 - mx) + ((vy + 0.5) * 0.5 - my) * ((vy + 0.5) * 0.5 - my) + ((vz + 0.5) * 0.5 - mz) * ((vz + 0.5) * 0.5 - mz)) > 1.5 GROUP BY ALL"
+BLK = "blk", f"SELECT scene, frame_order, label, count(DISTINCT i) AS n FROM (SELECT s.scene, frame_order, label, i, mx, my, mz, s.vx, s.vy, s.vz FROM (SELECT *, {vt('cx + dx / len * (k * 0.25)', 0.5)}::INTEGER AS vx, {vt('cy + dy / len * (k * 0.25)', 0.5)}::INTEGER AS vy, {vt('cz + dz / len * (k * 0.25)', 0.5)}::INTEGER AS vz FROM (SELECT *, unnest(range(1, 1 + greatest(0, least(trunc(len / 0.25)::BIGINT - 1, floor(d * 0.85 / 0.25)::BIGINT)))) AS k FROM ray)) s JOIN vox v USING (scene, vx, vy, vz)) WHERE sqrt(((vx + 0.5) * 0.5 - mx) * ((vx + 0.5) * 0.5 - mx) + ((vy + 0.5) * 0.5 - my) * ((vy + 0.5) * 0.5 - my) + ((vz + 0.5) * 0.5 - mz) * ((vz + 0.5) * 0.5 - mz)) > 1.5 GROUP BY ALL"
 
 
 @query("j14_ray_visibility", with_ctes(f"SELECT see.scene, see.frame_order, see.label, {d4('CASE WHEN d > 15 THEN 1.0 ELSE coalesce(n, 0) / 9.0::DOUBLE END')} AS occluded, d <= 15 AND coalesce(n, 0) / 9.0::DOUBLE < 0.5 AS visible FROM see LEFT JOIN blk ON blk.scene = see.scene AND blk.frame_order = see.frame_order AND blk.label = see.label", SEE, VOX, RAY, BLK))
@@ -213,7 +219,7 @@ def ray_visibility(spark, d):
     return rounded(V.ray_visibility(cam, ent, X.fuse(points(spark, d), SIZE), SIZE))
 
 
-HIT = "hit", "SELECT r.scene, r.frame_order, r.label, arg_min(b.label, k) AS hit_label, min(k) * 0.25 AS t, any_value(d) AS d FROM (SELECT *, unnest(range(0, ceil((d - 0.1) / 0.25)::BIGINT)) AS k FROM see WHERE d >= 0.1) r JOIN box b ON b.scene = r.scene AND b.vx = floor((cx + (mx - cx) / (d + 1e-8) * k * 0.25) / 0.5) AND b.vy = floor((cy + (my - cy) / (d + 1e-8) * k * 0.25) / 0.5) AND b.vz = floor((cz + (mz - cz) / (d + 1e-8) * k * 0.25) / 0.5) WHERE round(b.occupancy, 9) > 0.5 GROUP BY r.scene, r.frame_order, r.label"
+HIT = "hit", f"SELECT r.scene, r.frame_order, r.label, arg_min(b.label, k) AS hit_label, min(k) * 0.25 AS t, any_value(d) AS d FROM (SELECT *, unnest(range(0, ceil((d - 0.1) / 0.25)::BIGINT)) AS k FROM see WHERE d >= 0.1) r JOIN box b ON b.scene = r.scene AND b.vx = {vf('cx + (mx - cx) / (d + 1e-8) * k * 0.25', 0.5)} AND b.vy = {vf('cy + (my - cy) / (d + 1e-8) * k * 0.25', 0.5)} AND b.vz = {vf('cz + (mz - cz) / (d + 1e-8) * k * 0.25', 0.5)} WHERE round(b.occupancy, 9) > 0.5 GROUP BY r.scene, r.frame_order, r.label"
 
 
 @query("j17_occluded", with_ctes(f"SELECT scene, frame_order, label, hit_label, {d4('1 - t / d')} AS occlusion FROM hit WHERE hit_label <> label", SEE, BOX, HIT))
@@ -235,7 +241,7 @@ def box_hits(spark, d):
     rays = p.select(F.concat_ws("|", "scene", "frame_order", "label").alias("ray"), "scene", "frame_order", F.col("label").alias("from_label"), *[F.col(f"c{c}").alias(f"o{c}") for c in "xyz"], *[(F.col(f"m{c}") - F.col(f"c{c}")).alias(f"d{c}") for c in "xyz"])
     ext = {"x": F.col("w3"), "y": F.col("h3"), "z": F.lit(0.3)}
     boxes = ent.select("scene", F.col("label").alias("box"), *[(F.col(f"m{c}") - ext[c] / 2).alias(f"lo_{c}") for c in "xyz"], *[(F.col(f"m{c}") + ext[c] / 2).alias(f"hi_{c}") for c in "xyz"])
-    hit = V.box_hits(rays, boxes)
+    hit = G.box_hits(rays, boxes)
     return rounded(rays.select("ray", "scene", "frame_order", "from_label").join(hit, "ray").select("scene", "frame_order", "from_label", "box", "t"))
 
 
