@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loculus.functions.geometry import grid_cell
-from loculus.functions.names import matches
 from loculus.functions.tables import CALIBRATION_SIZES, COMMON_RANGES, SYNONYMS
+from loculus.operators.matching import name_pairs
 
 GRID = 64
 
@@ -31,10 +31,11 @@ def scene_bounds(entities: DataFrame, cameras: DataFrame) -> DataFrame:
 
 
 def first_rows(entities: DataFrame, table: list[tuple], synonyms=SYNONYMS) -> DataFrame:
-    """Each entity with the first row of the table whose name it matches; the table is a constant, a few dozen rows."""
+    """Each entity with the first row of the table whose name it matches; the table is a constant, a few dozen rows, and meets the labels through an index."""
     spark = entities.sparkSession
     dim = spark.createDataFrame([(k, r[0], float(sum(r[1:]) / (len(r) - 1))) for k, r in enumerate(table)], "dim_ord int, dim_name string, dim_size double")
-    names = entities.select("label").distinct().join(F.broadcast(dim), matches(F.col("dim_name"), F.col("label"), synonyms)).groupBy("label").agg(F.min_by(F.struct("dim_name", "dim_size"), "dim_ord").alias("d"))
+    meant = name_pairs(dim.select(F.col("dim_name").alias("name")), entities.select("label"), synonyms).withColumnRenamed("name", "dim_name")
+    names = meant.join(F.broadcast(dim), "dim_name").groupBy("label").agg(F.min_by(F.struct("dim_name", "dim_size"), "dim_ord").alias("d"))
     return entities.join(names, "label").select("scene", "label", "w3", "h3", F.col("d.dim_name").alias("dim_name"), F.col("d.dim_size").alias("dim_size"))
 
 

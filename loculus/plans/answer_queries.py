@@ -16,13 +16,14 @@ from loculus.operators.beliefs import entity_beliefs
 from loculus.operators.matching import name_pairs
 from loculus.plans.fixtures import ALL_RANGES, ALL_SIZES, ALL_SYNONYMS, cameras, d4, detections, rounded, sql_match, with_ctes
 from loculus.plans.registry import query
+from loculus.session import cut
 
 OPTIONS = {"easy": ["A. left", "B. right"], "medium": ["A. left", "B. right", "C. back"], "hard": ["A. front-left", "B. front-right", "C. back-left", "D. back-right"]}
 STAND = "If I am standing by the %s and facing the %s, is the %s to "
 
 
-def questions(entities: DataFrame) -> DataFrame:
-    """Questions of every type about each entity and those first seen after it."""
+def questions(entities: DataFrame, *types: str) -> DataFrame:
+    """Questions of every type, or of some, about each entity and those first seen after it."""
     w = Window.partitionBy("scene").orderBy("k")
     lab = entities.select("scene", "label", F.col("entity_ord").alias("k")).select("*", *[F.lead("label", n).over(w).alias(f"l{n}") for n in range(1, 5)])
     number = (1 + (F.col("scene") * 7 + F.col("k")) % 5).cast("string")
@@ -37,27 +38,33 @@ def questions(entities: DataFrame) -> DataFrame:
         return rows.select(F.concat(F.lit(f"{name}-"), "scene", F.lit("-"), "k").alias("qid"), "scene", "k", F.lit(qtype).alias("qtype"), question.alias("question"), options.alias("options"), truth.alias("ground_truth"))
 
     word = F.when(F.col("k") % 2 == 0, "closest to").otherwise("farthest from")
-    return reduce(DataFrame.unionByName, [
-        part("count", "object_counting", text("How many %s(s) are in this room?", "label"), none, number),
-        part("none", "object_counting", text("How many zebras%s are in this room?", "k"), none, number),
-        part("size", "object_size_estimation", text("What is the size of the %s?", "label"), none, number),
-        part("room", "room_size_estimation", text("What is the size of this room (in square meters)? %s", "label"), none, number),
-        part("dist", "object_abs_distance", text("Measuring from the closest point of each object, what is the distance between the %s and the %s (in meters)?", "label", "l1"), none, number, 1),
-        part("easy", "object_rel_direction_easy", text(STAND + "the left or the right of the %s?", "label", "l1", "l2", "l1"), fixed("easy"), pick(2), 2),
-        part("medium", "object_rel_direction_medium", text(STAND + "my left, right, or back?", "label", "l1", "l2"), fixed("medium"), pick(3), 2),
-        part("hard", "object_rel_direction_hard", text(STAND + "my front-left, front-right, back-left, or back-right?", "label", "l1", "l2"), fixed("hard"), pick(4), 2),
-        part("rel", "object_rel_distance", F.concat(F.lit("Which of these objects is the "), word, F.lit(" the "), "label", F.lit("?")), opt(["l1"], ["l2"], ["l3"], ["l4"]), pick(4), 4),
-        part("order", "obj_appearance_order", text("What will be the first-time appearance order of the following categories in the video: %s, %s, %s, %s?", "l1", "label", "l3", "l2"), opt(["label", "l1", "l2", "l3"], ["l1", "label", "l3", "l2"], ["l3", "l2", "l1", "label"], ["l2", "l3", "label", "l1"]), pick(4), 3),
-        part("route", "route_planning", text("You are a robot beginning at the %s facing the %s. You want to navigate to the %s. You will perform the following actions: 1. [please fill in] 2. Go forward until the %s 3. [please fill in] 4. Go forward until the %s.", "label", "l1", "l3", "l2", "l3"), F.array(*[F.lit(x) for x in ("A. Turn Left, Turn Right", "B. Turn Right, Turn Left", "C. Turn Back, Turn Left", "D. Turn Left, Turn Left")]), pick(4), 3),
-    ])
-
-
-def prepared(spark, d):
-    """Entities are read many times by a plan of answers, and are few beside the detections: they are kept, and made anew where an executor is lost."""
+    parts = [
+        ("count", "object_counting", text("How many %s(s) are in this room?", "label"), none, number),
+        ("none", "object_counting", text("How many zebras%s are in this room?", "k"), none, number),
+        ("size", "object_size_estimation", text("What is the size of the %s?", "label"), none, number),
+        ("room", "room_size_estimation", text("What is the size of this room (in square meters)? %s", "label"), none, number),
+        ("dist", "object_abs_distance", text("Measuring from the closest point of each object, what is the distance between the %s and the %s (in meters)?", "label", "l1"), none, number, 1),
+        ("easy", "object_rel_direction_easy", text(STAND + "the left or the right of the %s?", "label", "l1", "l2", "l1"), fixed("easy"), pick(2), 2),
+        ("medium", "object_rel_direction_medium", text(STAND + "my left, right, or back?", "label", "l1", "l2"), fixed("medium"), pick(3), 2),
+        ("hard", "object_rel_direction_hard", text(STAND + "my front-left, front-right, back-left, or back-right?", "label", "l1", "l2"), fixed("hard"), pick(4), 2),
+        ("rel", "object_rel_distance", F.concat(F.lit("Which of these objects is the "), word, F.lit(" the "), "label", F.lit("?")), opt(["l1"], ["l2"], ["l3"], ["l4"]), pick(4), 4),
+        ("order", "obj_appearance_order", text("What will be the first-time appearance order of the following categories in the video: %s, %s, %s, %s?", "l1", "label", "l3", "l2"), opt(["label", "l1", "l2", "l3"], ["l1", "label", "l3", "l2"], ["l3", "l2", "l1", "label"], ["l2", "l3", "label", "l1"]), pick(4), 3),
+        ("route", "route_planning", text("You are a robot beginning at the %s facing the %s. You want to navigate to the %s. You will perform the following actions: 1. [please fill in] 2. Go forward until the %s 3. [please fill in] 4. Go forward until the %s.", "label", "l1", "l3", "l2", "l3"), F.array(*[F.lit(x) for x in ("A. Turn Left, Turn Right", "B. Turn Right, Turn Left", "C. Turn Back, Turn Left", "D. Turn Left, Turn Left")]), pick(4), 3),
+    ]
+    return reduce(DataFrame.unionByName, [part(*p) for p in parts if not types or p[1] in types])
+
+
+def prepared(spark, d, *types):
+    """Entities, cameras, scales and questions (of some types). A plan of answers reads them many times, and they are few beside the detections, so they are kept."""
     det = detections(spark, d)
-    ent, cam = entity_beliefs(det).persist(), cameras(det)
-    scale = S.scene_scale(ent, S.scene_bounds(ent, cam), ALL_SIZES, ALL_RANGES, ALL_SYNONYMS).persist()
-    return ent, cam, scale, questions(ent)
+    ent, cam = cut(entity_beliefs(det)), cut(cameras(det))
+    scale = cut(S.scene_scale(ent, S.scene_bounds(ent, cam), ALL_SIZES, ALL_RANGES, ALL_SYNONYMS))
+    return ent, cam, scale, cut(questions(ent, *types))
+
+
+def named(spark, d):
+    """Entities alone, kept."""
+    return cut(entity_beliefs(detections(spark, d)))
 
 
 LAB = [
@@ -95,8 +102,8 @@ def _register(name: str, prefix: str, qtype: str, sql: str, truth: str) -> None:
 
     @query(name, with_ctes(f"SELECT '{prefix}-' || scene || '-' || k AS qid, scene, answer, {scoring} AS score FROM (SELECT *{num} FROM (SELECT *, {truth} AS t FROM ({sql})))", *LAB))
     def run(spark, d):
-        ent, cam, scale, q = prepared(spark, d)
-        q = q.filter((F.col("qtype") == qtype) & F.col("qid").startswith(prefix + "-"))
+        ent, cam, scale, q = prepared(spark, d, qtype)
+        q = q.filter(F.col("qid").startswith(prefix + "-"))
         s = ALL_SYNONYMS
         got = {
             "object_counting": lambda: A.counting(q, ent, s), "object_size_estimation": lambda: A.object_size(q, ent, scale, s), "object_abs_distance": lambda: A.abs_distance(q, ent, scale, s),
@@ -112,14 +119,14 @@ for _name, _parts in ANSWERS.items():
 @query("q_a3_room_size", with_ctes(f"""SELECT 'room-' || scene || '-' || entity_ord AS qid, CAST(round_even(area, 0) AS INTEGER)::VARCHAR AS answer FROM ent JOIN (SELECT scene, greatest(5.0, least(80.0, (e[1] + 2.0) * (e[2] + 2.0))) AS area FROM (SELECT scene, list_reverse_sort([x * scf, y * scf, z * scf]) AS e FROM
   (SELECT scene, {", ".join(f"CASE WHEN count(*) >= 10 THEN quantile_cont({c}, 0.95) - quantile_cont({c}, 0.05) ELSE max({c}) - min({c}) END AS {c}" for c in "xyz")} FROM plc GROUP BY scene) JOIN scl USING (scene))) USING (scene)"""))
 def room_size(spark, d):
-    ent, cam, scale, q = prepared(spark, d)
-    return A.room_size(q.filter("qtype = 'room_size_estimation'"), S.room_area(ent, cam, scale))
+    ent, cam, scale, q = prepared(spark, d, "room_size_estimation")
+    return A.room_size(q, S.room_area(ent, cam, scale))
 
 
 @query("q_a8_route")
 def route(spark, d):
-    ent, _, _, q = prepared(spark, d)
-    return A.route(q.filter("qtype = 'route_planning'"), ent, ALL_SYNONYMS)
+    ent = named(spark, d)
+    return A.route(questions(ent, "route_planning"), ent, ALL_SYNONYMS)
 
 
 @query("q_a9_all_answers")
@@ -136,14 +143,14 @@ def run_summary(spark, d):
 
 @query("f1_fuzzy_matches", with_ctes("SELECT name, label FROM mat", *LAB))
 def fuzzy_matches(spark, d):
-    ent = prepared(spark, d)[0].select("label").distinct()
+    ent = named(spark, d).select("label").distinct()
     names = ent.select(F.col("label").alias("name")).union(ent.select(F.split_part("label", F.lit(" "), F.lit(1)))).distinct()
     return name_pairs(names, ent, ALL_SYNONYMS)
 
 
 @query("j1_first_match", with_ctes(f"SELECT scene, name, first_seen, {d4('mx')} AS mx FROM fst", *LAB))
 def first_match(spark, d):
-    ent = prepared(spark, d)[0]
+    ent = named(spark, d)
     one = F.split_part("label", F.lit(" "), F.lit(1))
     labels = ent.select("label").union(ent.select(one)).distinct().select(F.col("label").alias("name"))
     names = labels.join(F.broadcast(ent.select("scene").distinct()))  # a word list, once for each scene
@@ -152,11 +159,11 @@ def first_match(spark, d):
 
 @query("x1_question_names", with_ctes("""SELECT 'rel-' || scene || '-' || k AS qid, concat_ws('|', CASE WHEN k % 2 = 0 OR true THEN split_part(label, ' ', 1) END, l1, l2, l3, l4) AS names FROM lab WHERE l4 IS NOT NULL UNION ALL SELECT 'dist-' || scene || '-' || k, label || '|' || split_part(l1, ' ', 1) FROM lab WHERE l1 IS NOT NULL""", *LAB))
 def question_names(spark, d):
-    q = prepared(spark, d)[3].filter("qtype IN ('object_rel_distance', 'object_abs_distance')")
+    q = questions(named(spark, d), "object_rel_distance", "object_abs_distance")
     return q.select("qid", F.array_join(Q.question_names(F.col("question"), F.col("options")), "|").alias("names"))
 
 
 @query("x2_computation", with_ctes("SELECT v.t AS qtype, v.c AS computation, count(*) AS n FROM lab, (VALUES ('object_counting', 'count', 0), ('object_counting', 'count', 0), ('object_size_estimation', 'size', 0), ('room_size_estimation', 'room_size', 0), ('object_abs_distance', 'distance', 1), ('object_rel_direction_easy', 'direction', 2), ('object_rel_direction_medium', 'direction', 2), ('object_rel_direction_hard', 'direction', 2), ('object_rel_distance', NULL, 4), ('obj_appearance_order', NULL, 3), ('route_planning', 'route', 3)) v(t, c, need) WHERE (need = 0 OR (need = 1 AND l1 IS NOT NULL) OR (need = 2 AND l2 IS NOT NULL) OR (need = 3 AND l3 IS NOT NULL) OR (need = 4 AND l4 IS NOT NULL)) GROUP BY ALL", *LAB))
 def computation(spark, d):
-    q = prepared(spark, d)[3]
+    q = questions(named(spark, d))
     return q.groupBy("qtype", Q.computation(F.col("question"), F.col("options")).alias("computation")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,12 +10,12 @@ from loculus.plans.answer_queries import LAB, questions
 from loculus.plans.belief_queries import KAL
 from loculus.plans.fixtures import ALL_SYNONYMS, d4, detections, rounded, with_ctes
 from loculus.plans.registry import query
+from loculus.session import cut
 
 
 def prepared(spark, d, *types):
     det = detections(spark, d)
-    q = questions(entity_beliefs(det))
-    return q.filter(F.col("qtype").isin(*types)), A.filtered(det)
+    return cut(questions(cut(entity_beliefs(det)), *types)), cut(A.filtered(det))
 
 
 KEN = [

@@ -13,7 +13,7 @@ from loculus.operators.beliefs import COV, entity_beliefs, track_moments
 from loculus.operators.evolution import area_of
 from loculus.operators.scale import grid_cells
 from loculus.operators.spatial import boxes_that_meet
-from loculus.plans.answer_queries import LAB, prepared
+from loculus.plans.answer_queries import LAB, named, questions
 from loculus.plans.belief_queries import cols, scaled
 from loculus.plans.fixtures import ALL_SYNONYMS, cameras, d4, detections, read, rounded, vf, vt, with_ctes
 from loculus.plans.process_queries import triples
@@ -120,7 +120,7 @@ def areas(spark, d):
 
 @query("a21_counts_by_name", with_ctes("SELECT scene, name, max(max_in_frame) AS most, count(*) AS labels FROM ent JOIN mat USING (label) GROUP BY scene, name", *LAB))
 def counts_by_name(spark, d):
-    ent = prepared(spark, d)[0]
+    ent = named(spark, d)
     labels = ent.select("label").union(ent.select(F.split_part("label", F.lit(" "), F.lit(1)))).distinct().select(F.col("label").alias("name"))
     names = labels.join(F.broadcast(ent.select("scene").distinct()))  # a word list, once for each scene
     return lookup.all_matches(names, ent, ALL_SYNONYMS).groupBy("scene", "name").agg(F.max("max_in_frame").alias("most"), F.count(F.lit(1)).alias("labels"))
@@ -155,7 +155,7 @@ def missing_names(spark, d):
 
 @query("x14_prompts")
 def prompts(spark, d):
-    q = prepared(spark, d)[3]
+    q = questions(named(spark, d))
     return q.select("qid", T.prompt(F.col("question"), F.col("options")).alias("prompt"))
 
 

@@ -11,7 +11,7 @@ from loculus.operators import evolution as E
 from loculus.operators import maps as M
 from loculus.operators import retrieve as Rt
 from loculus.operators.beliefs import entity_beliefs
-from loculus.plans.answer_queries import LAB, prepared
+from loculus.plans.answer_queries import LAB, named, questions
 from loculus.plans.answers_sql import QST
 from loculus.plans.belief_queries import scaled
 from loculus.plans.fixtures import ALL_RANGES, ALL_SYNONYMS, cameras, d4, detections, read, rounded, sql_match, with_ctes
@@ -115,7 +115,7 @@ def auto_add(spark, d):
 @query("x3_task_types", with_ctes("SELECT kind || '-' || scene || '-' || k AS qid, CASE WHEN k % 3 = 0 THEN 'room_size_estimation' " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{t}'" for t, found in TASK_PATTERNS for p in found) + f" ELSE '{TASK_PATTERNS[0][0]}' END AS task FROM qst", *LAB, QST))
 def task_types(spark, d):
     """A third of the questions name their type, a third an unknown one, the others none."""
-    q = prepared(spark, d)[3].withColumn("k", F.substring_index("qid", "-", -1).cast("int") % 3)
+    q = questions(named(spark, d)).withColumn("k", F.substring_index("qid", "-", -1).cast("int") % 3)
     given = F.when(F.col("k") == 0, "room_size_estimation").when(F.col("k") == 1, "riddle")
     return q.select("qid", Q.task_of(F.col("question"), given).alias("task"))
 

@@ -19,7 +19,7 @@ from loculus.operators.beliefs import entity_beliefs
 from loculus.operators.lookup import evenly, top_in
 from loculus.operators.scale import stratified_sample
 from loculus.operators.voxels import downsample
-from loculus.plans.answer_queries import LAB, all_answers, prepared
+from loculus.plans.answer_queries import LAB, all_answers, named
 from loculus.plans.fixtures import ALL_RANGES, ALL_SYNONYMS, TEST_SIZES, cameras, d4, detections, points, read, rounded, with_ctes
 from loculus.plans.registry import query
 from loculus.plans.space_queries import PRS
@@ -126,7 +126,7 @@ SEL = [
 
 
 def triples(spark, d):
-    ent = prepared(spark, d)[0]
+    ent = named(spark, d)
     w = Window.partitionBy("scene").orderBy("k")
     lab = ent.select("scene", "label", F.col("entity_ord").alias("k")).withColumns({"l1": F.lead("label", 1).over(w), "l2": F.lead("label", 2).over(w)}).filter("l2 IS NOT NULL")
     return ent, lab.select(F.concat_ws("-", "scene", "k").alias("qid"), "scene", F.array("label", "l1", "l2").alias("names"))

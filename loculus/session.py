@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "loculus", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -35,3 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", found)
     spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df worked out once and kept in the checkpoint folder, for what is small and read by many parts of a plan: its readers' plans end there, and a lost executor loses none of it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
