@@ -186,7 +186,7 @@ def contained(names: DataFrame, e: DataFrame) -> DataFrame:
 
 def agent_counting(q: DataFrame, e: DataFrame, synonyms=SYNONYMS) -> DataFrame:
     q = q.select("qid").join(named_in(q, e, synonyms), "qid", "left")
-    return q.select("qid", F.coalesce(F.col("e.max_in_frame").cast("string"), F.lit("0")).alias("answer"), F.coalesce(F.least(F.lit(1.0), F.col("e.confidence") + 0.2), F.lit(0.3)).alias("sure"))
+    return q.select("qid", F.coalesce(F.col("e.max_in_frame").cast("string"), F.lit("0")).alias("answer"), F.when(F.col("e").isNull(), 0.3).otherwise(F.least(F.lit(1.0), F.col("e.confidence") + 0.2)).alias("sure"))
 
 
 def agent_distance(q: DataFrame, e: DataFrame) -> DataFrame:

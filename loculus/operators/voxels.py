@@ -69,9 +69,9 @@ def fill_boxes(det: DataFrame, size: float, depth: Column | None = None) -> Data
     return out.groupBy(*KEY).agg(F.avg("confidence").alias("occupancy"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max_by("label", F.when(sure, F.col("det_ord"))), F.min_by("label", "det_ord")).alias("label"))
 
 
-def half_open_boxes(entities: DataFrame, size: float) -> DataFrame:
+def half_open_boxes(entities: DataFrame, size: float, depth: Column | None = None) -> DataFrame:
     """The median family's filling: steps of a voxel from the low to below the high side, cut towards zero."""
-    out = entities.select("scene", "mx", "my", "mz", F.col("w3").alias("ex"), F.col("h3").alias("ey"), F.lit(0.3).alias("ez"))
+    out = entities.select("scene", "mx", "my", "mz", F.col("w3").alias("ex"), F.col("h3").alias("ey"), (F.lit(0.3) if depth is None else depth).alias("ez")).filter("ex > 0 AND ey > 0 AND ez > 0")
     for c in "xyz":
         low = F.col(f"m{c}") - F.col(f"e{c}") / 2
         steps = F.ceil(F.col(f"e{c}") / size).cast("int")

@@ -43,9 +43,14 @@ QST = "qst", " UNION ALL ".join(f"SELECT '{kind}' AS kind, scene, k, {question}
 SMS = "sms", "SELECT scene, label, w.m AS w_mean, h.m AS h_mean FROM (SELECT scene, label, " + ", ".join(f"list_reduce(l{c}, lambda a, x: {{'m': (a.m * (n - 1) + x.m) / n}}) AS {c}" for c in "wh") + " FROM (SELECT scene, label, count(*)::DOUBLE AS n, list({'m': width_3d} ORDER BY det_ord) AS lw, list({'m': height_3d} ORDER BY det_ord) AS lh FROM det GROUP BY ALL))"
 
 
+#: Of each query here its last select, and the tables that it alone has.
+RAW: dict[str, tuple[str, list[tuple[str, str]]]] = {}
+
+
 def add(name: str, sql: str, *more: tuple[str, str]) -> None:
     if name not in QUERIES or name in SQL:
         raise ValueError(name)
+    RAW[name] = sql, [m for m in more if m not in (*KEN, QST, SMS)]
     SQL[name] = with_ctes(sql, *more)
 
 

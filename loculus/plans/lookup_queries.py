@@ -140,12 +140,6 @@ query("e15_evolve", EVO + f"""SELECT q.scene || '-' || qtype AS qid, strategy, e
   LEFT JOIN (SELECT scene, label, median(x) AS x, median(y) AS y, median(z) AS z FROM det GROUP BY ALL HAVING count(*) >= 3) r ON r.scene = e.scene AND r.label = e.label""")(evolved)
 
 
-@query("e20_agent_rates", f"SELECT count(*) AS total, sum(event_id % 3)::BIGINT AS triggered, count(*) FILTER (event_id % 3 > 0 AND event_id % 5 = 0) AS improved, {d4('sum(event_id % 3) / count(*)')} AS evolution_rate, {d4('count(*) FILTER (event_id % 3 > 0 AND event_id % 5 = 0) / sum(event_id % 3)')} AS improvement_rate FROM events")
-def agent_rates(spark, d):
-    i = F.col("event_id")
-    return rounded(E.agent_rates(events(spark, d).select((i % 3).alias("rounds"), ((i % 3 > 0) & (i % 5 == 0)).alias("evolved"))))
-
-
 @query("r14e_key_frames", with_ctes("SELECT DISTINCT scene, unnest([first_seen, last_seen]) AS frame FROM ent JOIN lst USING (scene, label)", LAST))
 def key_frames(spark, d):
     """The frames in which entities are first and last seen."""
