@@ -104,18 +104,18 @@ def first_hits(rays: DataFrame, voxels: DataFrame, size: float, least: float = 0
 def components(voxels: DataFrame, least_cosine: float = 0.5) -> DataFrame:
     """scene, vx, vy, vz, component: voxels joined through faces where the colours' cosine is `least_cosine` or more (or a colour has no length).
 
-    A component is named by its least voxel's number in the scene. In each round each voxel goes to the neighbour, or stays, whose
-    hash of the round is least; voxels that meet become one and what is left of the edges shrinks by a share, so rounds grow with
-    the logarithm of a map's size. Rounds are written to the checkpoint folder.
+    A component is named by its least voxel, as "x,y,z"; coordinates have no bounds. In each round each voxel goes to the neighbour, or
+    stays, whose hash of the round is least; voxels that meet become one and what is left of the edges shrinks by a share, so rounds grow
+    with the logarithm of a map's size. Rounds are written to the checkpoint folder.
     """
     ensure_checkpoint_dir(voxels.sparkSession)
-    number = (F.col("vx").cast("long") + 32768) * (1 << 32) + (F.col("vy").cast("long") + 32768) * (1 << 16) + (F.col("vz") + 32768)
-    v = voxels.select(*KEY, "r", "g", "b", number.alias("id"))
+    v = voxels.select(*KEY, "r", "g", "b", F.struct("vx", "vy", "vz").alias("id"))
     length = lambda p: F.sqrt(F.col(f"{p}r") * F.col(f"{p}r") + F.col(f"{p}g") * F.col(f"{p}g") + F.col(f"{p}b") * F.col(f"{p}b"))
-    other = v.select("scene", F.col("id").alias("id2"), *[F.col(c).alias(f"o{c}") for c in "rgb"])
-    ahead = v.select("scene", "id", "r", "g", "b", F.explode(F.array(F.lit(1 << 32), F.lit(1 << 16).cast("long"), F.lit(1).cast("long"))).alias("d")).withColumn("id2", F.col("id") + F.col("d")).drop("d")
+    other = v.select(*KEY, F.col("id").alias("id2"), *[F.col(c).alias(f"o{c}") for c in "rgb"])
+    faces = F.array(*[F.struct(*[F.lit(int(c == f)).alias(c) for c in "xyz"]) for f in "xyz"])
+    ahead = v.select("scene", "id", "r", "g", "b", F.explode(faces).alias("d")).select("scene", *[(F.col(f"id.v{c}") + F.col(f"d.{c}")).alias(f"v{c}") for c in "xyz"], "id", "r", "g", "b")
     close = (F.col("r") * F.col("or") + F.col("g") * F.col("og") + F.col("b") * F.col("ob")) >= least_cosine * length("") * length("o")
-    edges = ahead.join(other, ["scene", "id2"]).filter(close).select("scene", F.col("id").alias("a"), F.col("id2").alias("b")).checkpoint()
+    edges = ahead.join(other, list(KEY)).filter(close).select("scene", F.col("id").alias("a"), F.col("id2").alias("b")).checkpoint()
     found, k = None, 0
     while not edges.isEmpty():
         mark = lambda c: F.struct(F.xxhash64("scene", c, F.lit(k)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
@@ -128,11 +128,12 @@ def components(voxels: DataFrame, least_cosine: float = 0.5) -> DataFrame:
         a, b = step.select("scene", F.col("id").alias("a"), F.col("to").alias("ta")), step.select("scene", F.col("id").alias("b"), F.col("to").alias("tb"))
         edges = edges.join(a, ["scene", "a"]).join(b, ["scene", "b"]).filter("ta <> tb").select("scene", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().checkpoint()
         k += 1
+    name = lambda c: F.concat_ws(",", f"{c}.vx", f"{c}.vy", f"{c}.vz")
     if found is None:
-        return v.select(*KEY, F.col("id").alias("component"))
-    least = found.groupBy("scene", "to").agg(F.min("id").alias("component"))
-    names = found.join(least, ["scene", "to"]).select("scene", "id", "component")
-    return v.join(names, ["scene", "id"], "left").select(*KEY, F.coalesce("component", "id").alias("component"))
+        return v.select(*KEY, name("id").alias("component"))
+    least = found.groupBy("scene", "to").agg(F.min("id").alias("least"))
+    names = found.join(least, ["scene", "to"]).select("scene", "id", "least")
+    return v.join(names, ["scene", "id"], "left").select(*KEY, F.coalesce("least", "id").alias("least")).select(*KEY, name("least").alias("component"))
 
 
 def component_entities(voxels: DataFrame, parts: DataFrame, size: float, least: int = 10) -> DataFrame:

@@ -144,3 +144,5 @@ ALL = ("every", "SELECT qid, qtype, answer, ground_truth, CASE WHEN qtype IN ("
        + " UNION ALL ".join(f"SELECT '{prefix}-' || scene || '-' || k AS qid, '{qtype}' AS qtype, answer, {truth} AS ground_truth FROM ({sql})" for prefix, qtype, sql, truth in EVERY.values()) + "))")
 add("q_a9_all_answers", "SELECT * FROM every", *LAB, *RTE, ROOM, ALL)
 add("a25_run_summary", f"SELECT kind, qtype, count(*) AS n, {d4('avg(score)')} AS mean_score, {d4('avg((score >= 1)::INTEGER) * 100')} AS percent_full FROM (SELECT *, CASE WHEN qtype IN ({', '.join(repr(t) for t in CHOICE_TASKS)}) THEN 'choice' WHEN qtype IN ({', '.join(repr(t) for t in NUMERIC_TASKS)}) THEN 'numeric' ELSE 'other' END AS kind FROM every) GROUP BY ROLLUP (kind, qtype)", *LAB, *RTE, ROOM, ALL)
+
+add("a26_wins_losses", "SELECT qtype, count(*) AS n, count(*) FILTER (score > ref + 0.05) AS wins, count(*) FILTER (score < ref - 0.05) AS losses FROM (SELECT *, ((split_part(qid, '-', 2)::BIGINT * 7 + split_part(qid, '-', 3)::BIGINT * 3) % 10) / 10.0::DOUBLE AS ref FROM every) GROUP BY qtype", *LAB, *RTE, ROOM, ALL)

@@ -109,4 +109,6 @@ CTES = {
 
 
 def with_ctes(select: str, *more: tuple[str, str], recursive: bool = False) -> str:
-    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(f"{k} AS ({v})" for k, v in (*CTES.items(), *more)) + "\n" + select
+    """A select over the common tables and more; each is worked out once, however often it is read."""
+    kept = "" if recursive else "MATERIALIZED "
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join([f"{k} AS MATERIALIZED ({v})" for k, v in CTES.items()] + [f"{k} AS {kept}({v})" for k, v in more]) + "\n" + select

@@ -288,7 +288,8 @@ def histogram(spark, d):
 
 @query("a26_wins_losses")
 def wins_losses(spark, d):
-    rows = all_answers(spark, d).withColumn("ref", (F.crc32(F.col("qid").cast("binary")) % 10) / 10.0)
+    part = lambda n: F.split_part("qid", F.lit("-"), F.lit(n)).cast("long")
+    rows = all_answers(spark, d).withColumn("ref", ((part(2) * 7 + part(3) * 3) % 10) / 10.0)
     return rows.groupBy("qtype").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > F.col("ref") + 0.05).alias("wins"), F.count_if(F.col("score") < F.col("ref") - 0.05).alias("losses"))
 
 

@@ -177,12 +177,24 @@ def box_area(spark, d):
     return rounded(X.box_area(entities(spark, d)))
 
 
-@query("e21_components")
+CMP = [
+    VOX, ("num", "SELECT *, (vx + 10000)::BIGINT * 1000000000 + (vy + 10000) * 100000 + vz + 10000 AS id FROM vox"),
+    ("fac", """SELECT a.id AS a, b.id AS b, a.scene FROM num a JOIN num b ON a.scene = b.scene AND b.id IN (a.id + 1000000000, a.id + 100000, a.id + 1) WHERE a.r * b.r + a.g * b.g + a.b * b.b >= 0.5 * sqrt(a.r * a.r + a.g * a.g + a.b * a.b) * sqrt(b.r * b.r + b.g * b.g + b.b * b.b)"""),
+    ("edg", "SELECT scene, a, b FROM fac UNION ALL SELECT scene, b, a FROM fac"), ("rea", "SELECT scene, id AS k, id AS r FROM num UNION SELECT rea.scene, edg.b, rea.r FROM rea JOIN edg ON edg.scene = rea.scene AND edg.a = rea.k"),
+    ("cmp", "SELECT scene, k AS id, min(r) AS least FROM rea GROUP BY scene, k"),
+]
+
+
+@query("e21_components", with_ctes("SELECT n.scene, n.vx, n.vy, n.vz, l.vx || ',' || l.vy || ',' || l.vz AS component FROM num n JOIN cmp ON cmp.scene = n.scene AND cmp.id = n.id JOIN num l ON l.scene = n.scene AND l.id = cmp.least", *CMP, recursive=True))
 def voxel_components(spark, d):
-    return X.components(X.fuse(points(spark, d), SIZE)).groupBy("scene").agg(F.count(F.lit(1)).alias("n_voxels"), F.countDistinct("component").alias("n_components"))
+    return X.components(X.fuse(points(spark, d), SIZE))
+
+
+_MID = {c: f"(v{c} + 0.5) * {SIZE}" for c in "xyz"}
 
 
-@query("a17_component_entities")
+@query("a17_component_entities", with_ctes(f"""SELECT scene, component, count(*) AS n_voxels, {", ".join(f"{d4(f'avg({_MID[c]})')} AS m{c}" for c in "xyz")}, {", ".join(f"{d4(f'min({_MID[c]})')} AS lo_{c}" for c in "xyz")}, {", ".join(f"{d4(f'max({_MID[c]})')} AS hi_{c}" for c in "xyz")}, {", ".join(f"{d4(f'avg({c})')} AS {c}" for c in "rgb")}, min(first_frame) AS first_seen, max(last_frame) AS last_seen
+  FROM (SELECT n.*, l.vx || ',' || l.vy || ',' || l.vz AS component FROM num n JOIN cmp ON cmp.scene = n.scene AND cmp.id = n.id JOIN num l ON l.scene = n.scene AND l.id = cmp.least) GROUP BY scene, component HAVING count(*) >= 10""", *CMP, recursive=True))
 def component_entities(spark, d):
     v = X.fuse(points(spark, d), SIZE)
     return rounded(X.component_entities(v, X.components(v), SIZE))
