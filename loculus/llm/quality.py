@@ -160,14 +160,15 @@ def fit_additive(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60,
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> AdditiveModel:
-    """Fits on at most `most` labelled rows among those that may be learnt from."""
+    """Fits on at most `most` labelled rows among those that may be learnt from: those of the least hashes of their ids, and where ids repeat, of the least features."""
     spark = docs.sparkSession
     known = labelled(spark, labels, "quality")
     ids = sampled(known.select("doc_id"), most)
     chosen = spark.createDataFrame([(i,) for i in ids], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}")
     marked = known.join(F.broadcast(chosen), "doc_id", "left_semi").collect()
     label = {r["doc_id"]: r["label"] for r in marked}
-    rows = sorted(tuple(r) for r in described(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).collect())
+    own = described(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    rows = sorted(tuple(r) for r in own.orderBy(F.xxhash64("doc_id"), *NAMES).limit(most).collect())
     return fit_additive(np.array([r[1:] for r in rows]).reshape(len(rows), len(NAMES)), np.array([label[r[0]] for r in rows], float))
 
 

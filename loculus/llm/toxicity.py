@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from loculus.llm.common import even_keys, fresh, held_out, labelled, light, read_table, shuffle_parts, write_table
 
-#: At most so many confirmed toxic rows are learnt from; unlabelled rows a block, all of them; the groups that models are added up in.
+#: At most so many confirmed toxic rows are learnt from (CONFIRMED_BYTES of features at most); unlabelled rows a block, all of them; the groups that models are added up in.
 POSITIVES, BLOCK, GROUPS = 4000, 8192, 64
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, CONFIRMED_BYTES = 1_000_000, 64 << 20
 #: A feature tells something if its share of the confirmed rows is so many deviations from that of all; more than COMMON of all rows have none.
 DEVIATIONS, COMMON = 2.0, 0.25
 BITS, PREFIXES = 20, (4, 5, 6)
@@ -229,11 +229,23 @@ def block_models(rows: DataFrame, n: int, pos: list[np.ndarray], prior: float, u
     return added(small.repartition(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(light(total), SUMS), len(used))
 
 
+def confirmed_rows(rows: DataFrame, most: int, kind: str) -> list[np.ndarray]:
+    """The features of the confirmed rows, different ones by id and text: at most `most` rows, those of the least hashes of their ids, as long as their features fit into CONFIRMED_BYTES."""
+    own = rows.filter("pos").select("doc_id", "h", "f").dropDuplicates(["doc_id", "h"]).orderBy(F.xxhash64("doc_id"), "h").limit(most)
+    out, size = [], 0
+    for r in own.toLocalIterator():
+        size += len(r["f"])
+        if size > CONFIRMED_BYTES:
+            break
+        out.append((r["doc_id"], r["h"], np.frombuffer(bytes(r["f"]), kind)))
+    return [f for *_, f in sorted(out, key=lambda x: x[:2])]
+
+
 def toxic_table(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> DataFrame:
     """doc_id, h (a hash of the text) and score of every row.
 
-    The prior is the toxic share of the labels that may be learnt from; at most `positives` of the toxic ones are, those of the
-    least hashes of their ids.
+    The prior is the toxic share of the labels that may be learnt from; at most `positives` rows of the toxic ones are, those of the
+    least hashes of their ids, and no more than CONFIRMED_BYTES hold the features of.
     """
     spark = docs.sparkSession
     known = labelled(spark, labels, "toxic")
@@ -243,7 +255,7 @@ def toxic_table(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES)
     features = seen_in(docs, ids) if pos else np.zeros(0, np.uint32)
     size = len(features)
     rows = write_table(described(docs, ids, features), "toxic-features")
-    confirmed = [np.frombuffer(r["f"], packed(size)) for r in rows.filter("pos").dropDuplicates(["doc_id", "h"]).orderBy("doc_id", "h").collect()]
+    confirmed = confirmed_rows(rows, positives, packed(size))
     weights, bias = np.zeros(size), -30.0
     learn = rows.filter("learn").select("doc_id", "h", "f")
     every, n = counted(learn, size) if confirmed else (None, 0)
