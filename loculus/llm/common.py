@@ -34,11 +34,8 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n integers that repartition(n, ...) deals to n different partitions, so that tasks numbered by them have one each."""
-    at = F.pmod(F.hash("id"), F.lit(n))
-    found = {r["at"]: r["id"] for r in spark.range(0, 24 * n + 64, 1, 1 + n // 4096).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()}
-    return [found.get(k, k) for k in range(n)]
+#: No shuffle has more tasks than this, whatever the input; a task takes several of what is dealt by number.
+MOST_TASKS = 1 << 15
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import arrow_type, drop_table, even_keys, light, read_table, shuffle_parts, write_table
+from loculus.llm.common import MOST_TASKS, arrow_type, light, read_table, shuffle_parts, write_table
 from loculus.llm.tokens import plain_strings
 
 #: Words of a chunk, more only where a text alone has them; words and pairs of a bucket as sent, about; the weight of single words, in counts.
@@ -161,7 +161,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def summed(chunks: DataFrame, buckets: int) -> DataFrame:
     """For each chunk and bucket the counts over all documents of what the chunk has there: words first, then pairs; distinct: the words of the bucket, on one row of it."""
-    keys = chunks.sparkSession.sparkContext.broadcast(even_keys(chunks.sparkSession, buckets))
+    tasks = min(buckets, MOST_TASKS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,14 +171,17 @@ def summed(chunks: DataFrame, buckets: int) -> DataFrame:
                 order, wt, wg = c.words()
                 h, _, t, g = c.pairs()
                 wh = c.hashes[order]
-                cuts, pcuts = (np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (wh, h))
+                of, pof = bucket_of(wh, buckets), bucket_of(h, buckets)
+                used = np.union1d(of, pof)  # no more rows than words and pairs, however many buckets there are
+                cuts, pcuts = ((np.searchsorted(x, used), np.searchsorted(x, used, "right")) for x in (of, pof))
                 wt, wg = wt[order], wg[order]
-                for bucket in range(buckets):
-                    i, j = slice(cuts[bucket], cuts[bucket + 1]), slice(pcuts[bucket], pcuts[bucket + 1])
-                    if i.start == i.stop and j.start == j.stop:
-                        continue
-                    row = [int(keys.value[bucket]), bucket, part, chunk, i.stop - i.start, j.stop - j.start, sorted_bytes(wh[i]), sorted_bytes(h[j]), planes(np.r_[wt[i], t[j]]), planes(np.r_[wg[i], g[j]])]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if at < 6 else pa.binary()) for at, x in enumerate(row)], names=["key", "bucket", "part", "chunk", "words", "pairs", "wh", "ph", "t", "g"])
+                for at in range(0, len(used), 64):
+                    rows = []
+                    for n, bucket in enumerate(used[at : at + 64].tolist(), at):
+                        i, j = slice(cuts[0][n], cuts[1][n]), slice(pcuts[0][n], pcuts[1][n])
+                        rows.append((bucket % tasks, bucket, part, chunk, int(i.stop - i.start), int(j.stop - j.start), sorted_bytes(wh[i]), sorted_bytes(h[j]), planes(np.r_[wt[i], t[j]]), planes(np.r_[wg[i], g[j]])))
+                    kinds = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=["task", "bucket", "part", "chunk", "words", "pairs", "wh", "ph", "t", "g"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -216,8 +219,8 @@ def summed(chunks: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield from close()
 
-    sent = chunks.select("part", "chunk", F.size("doc_ids").cast("long").alias("n_docs"), "target", "counts", "hashes", "codes", "n_words").mapInArrow(light(send), "key bigint, bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, wh binary, ph binary, t binary, g binary")
-    dealt = sent.repartition(buckets, "key").sortWithinPartitions("bucket", "chunk")
+    sent = chunks.select("part", "chunk", F.size("doc_ids").cast("long").alias("n_docs"), "target", "counts", "hashes", "codes", "n_words").mapInArrow(light(send), "task int, bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, wh binary, ph binary, t binary, g binary")
+    dealt = sent.repartitionById(tasks, "task").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(light(add), "bucket bigint, part bigint, chunk bigint, words bigint, pairs bigint, distinct bigint, t binary, g binary")
 
 
@@ -285,12 +288,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, smooth: float =
             yield close()
 
     # a partition of the texts goes to one task again, with all that came back for it
-    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
     none = lambda kind: F.lit(None).cast(kind)
     left = chunks.select("part", "chunk", F.lit(-1).cast("long").alias("bucket"), "doc_ids", F.col("target").alias("a"), F.col("counts").alias("b"), F.col("hashes").alias("c"), F.col("codes").alias("d"), F.col("n_words").alias("m"), none("bigint").alias("n"))
     right = sums.select("part", "chunk", "bucket", none(chunks.schema["doc_ids"].dataType.simpleString()).alias("doc_ids"), F.col("t").alias("a"), F.col("g").alias("b"), none("binary").alias("c"), none("binary").alias("d"), F.col("words").alias("m"), F.col("pairs").alias("n"))
-    both = left.unionByName(right).withColumn("part", F.get(keys, F.pmod("part", F.lit(parts)).cast("int")))
-    dealt = both.repartition(parts, "part").sortWithinPartitions("chunk", "bucket")
+    both = left.unionByName(right).withColumn("part", F.pmod("part", F.lit(parts)).cast("int"))
+    dealt = both.repartitionById(parts, "part").sortWithinPartitions("chunk", "bucket")
     return dealt.mapInArrow(light(score), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, loss_target double, loss_background double, score double")
 
 

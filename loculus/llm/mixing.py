@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.llm.common import SPACES, drop_table, even_keys, fresh, light, prefix_sums, read_table, shuffle_parts, write_table
+from loculus.llm.common import SPACES, fresh, light, prefix_sums, read_table, shuffle_parts, write_table
 
 WEIGHTS, BLOCK, SHARE, MOST = (5, 2, 1), 1024, (3, 2), 2
 #: The fraction of the golden ratio as a 64-bit fixed-point step.
@@ -213,9 +213,8 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
         once = rows.join(bounded(again), same(again), "left_semi").groupBy(F.col(f"{row}.doc_id"), h).agg(F.first(row).alias(row)).select(row, h)
         rows = rows.join(bounded(again), same(again), "left_anti").select(row, h).unionByName(once)
     last, parts = got.agg(F.max(at)).first()[0] or 0, shuffle_parts(spark)
-    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
-    both = rows.join(bounded(got), same(got)).withColumn(part, F.get(keys, (F.col(at) * parts / F.lit(last + 1)).cast("int")))
-    both = both.repartition(parts, part).sortWithinPartitions(at, "_order").select(f"{row}.*", cut)
+    both = rows.join(bounded(got), same(got)).withColumn(part, (F.col(at) * parts / F.lit(last + 1)).cast("int"))
+    both = both.repartitionById(parts, part).sortWithinPartitions(at, "_order").select(f"{row}.*", cut)
     text, length = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import even_keys, fresh, held_out, labelled, light, read_table, shuffle_parts, write_table
+from loculus.llm.common import MOST_TASKS, fresh, held_out, labelled, light, read_table, shuffle_parts, write_table
 
 #: At most so many confirmed toxic rows are learnt from (CONFIRMED_BYTES of features at most); unlabelled rows a block, all of them; the groups that models are added up in.
 POSITIVES, BLOCK, GROUPS = 4000, 8192, 64
@@ -200,8 +200,7 @@ def block_models(rows: DataFrame, n: int, pos: list[np.ndarray], prior: float, u
     place[used] = np.arange(len(used))
     shared, kind = spark.sparkContext.broadcast((place, [x[x >= 0] for x in (place[f] for f in pos)])), packed(len(used))
     blocks = max(1, round(n / BLOCK))
-    parts = max(shuffle_parts(spark), min(blocks, 1 << 14))
-    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, parts)])
+    parts = max(shuffle_parts(spark), min(blocks, MOST_TASKS))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value[0]
@@ -225,8 +224,8 @@ def block_models(rows: DataFrame, n: int, pos: list[np.ndarray], prior: float, u
             yield _sums(w, b, many)
 
     small = rows.select(F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(blocks)).alias("block"), "doc_id", "h", "f")
-    small = small.mapInArrow(light(select), small.schema).withColumn("task", F.get(keys, F.pmod("block", F.lit(parts)).cast("int")))
-    return added(small.repartition(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(light(total), SUMS), len(used))
+    small = small.mapInArrow(light(select), small.schema).withColumn("task", F.pmod("block", F.lit(parts)).cast("int"))
+    return added(small.repartitionById(parts, "task").sortWithinPartitions("block", "doc_id", "h").select("block", "f").mapInArrow(light(total), SUMS), len(used))
 
 
 def confirmed_rows(rows: DataFrame, most: int, kind: str) -> list[np.ndarray]:

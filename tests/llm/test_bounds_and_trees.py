@@ -86,3 +86,46 @@ def test_fingerprints_are_trees_of_slices(spark):
         flat = lambda text: {x for p in slices(text) for x in p}
         assert abs(got[i]["near_edited"] - dice(flat(t), flat(edited))) < 1e-12
         assert abs(got[i]["near_next"] - dice(flat(t), flat(ahead))) < 1e-12
+
+
+def test_tasks_of_the_graph_search_grow_with_shards_alone():
+    """From a million to a billion vectors tasks are no more than shards and what keeps the cluster busy, and a graph is copied no oftener than that needs."""
+    from loculus.llm import hnsw
+
+    for parts in (8, 200, 4000):
+        for size in (10**5, 10**6, 10**7, 10**8, 10**9):
+            shards, groups, copies = hnsw.layout(size, parts)
+            assert groups <= shards <= groups * hnsw.HELD and shards * hnsw.SHARD_ROWS >= size
+            assert groups * copies <= groups + hnsw.WAVES * parts + 1
+            assert shards * copies <= hnsw.HELD * (shards + hnsw.WAVES * parts + 1)  # graphs that are sent
+
+
+def test_groups_of_graphs_find_the_same_links(spark, monkeypatch):
+    from loculus.llm import hnsw
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 12))
+    x = np.repeat(centres, 8, 0) + 0.1 * rng.normal(size=(320, 12))
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, hnsw.near_vectors(docs).collect()))
+    monkeypatch.setattr(hnsw, "layout", lambda size, parts: (7, 3, 2))
+    assert sorted(map(tuple, hnsw.near_vectors(docs).collect())) == want and any(r[1] for r in want)
+
+
+def test_sums_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    """With far more buckets than words, a chunk sends a row an item at most, and scores stay the same."""
+    from loculus.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "MOST_TASKS", 4)
+    docs = frame(spark, odd_docs(5))
+    chunks = lm_scoring.write_table(lm_scoring.coded(docs.select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("target"))), "test-chunks")
+    totals = []
+    for buckets in (1, 3, 50_000):
+        got = lm_scoring.summed(chunks, buckets).collect()
+        counts = {"t": 0, "g": 0}
+        for r in got:
+            for c in counts:
+                counts[c] += int(lm_scoring.unplanes(r[c], r["words"] + r["pairs"]).sum())
+        totals.append((sum(r["words"] for r in got), sum(r["pairs"] for r in got), sum(r["distinct"] for r in got), counts["t"], counts["g"]))
+        assert len(got) <= sum(r["words"] + r["pairs"] for r in got)
+    assert totals[0] == totals[1] == totals[2]
