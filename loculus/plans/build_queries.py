@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loculus.functions.geometry import box_volume, camera_center, overlap_probability
+from loculus.functions.questions import is_temporal
 from loculus.operators import agent as AG
 from loculus.operators import builds as B
 from loculus.operators import family_answers as A
-from loculus.operators.beliefs import kalman_entities, smoothed_sizes
+from loculus.operators.beliefs import entity_beliefs, kalman_entities, smoothed_sizes
 from loculus.operators.evolution import agent_rates
+from loculus.operators.lookup import pairs
 from loculus.operators.maps import poses
 from loculus.operators.tracking import track
 from loculus.operators.voxels import areas, fill_boxes, half_open_boxes
-from loculus.plans.answer_queries import questions
+from loculus.plans.answer_queries import LAB, questions
 from loculus.plans.answers_sql import KEN, QST, RAW, SMS
 from loculus.plans.fixtures import ALL_SYNONYMS, d4, detections, rounded, vf, vt, with_ctes
 from loculus.plans.lookup_queries import KNOWN
@@ -181,3 +184,36 @@ def e18_looked_at(spark, d):
     after, _ = AG.agent_state(e, threshold=THRESHOLD, replies=replies)
     looked = AG.doubtful(e, THRESHOLD).select("scene", "label", F.lit(True).alias("l"))
     return rounded(after.join(looked, ["scene", "label"], "left").select("scene", "label", "sigma", F.coalesce("l", F.lit(False)).alias("looked_at")))
+
+
+@query("p29_overlaps", with_ctes(f"""SELECT scene, al AS a_label, bl AS b_label, {d4('CASE WHEN sa + sb < 1e-6 THEN CASE WHEN d < 0.1 THEN 1.0 ELSE 0.0 END ELSE exp(-d / (sa + sb)) END')} AS overlap FROM
+  (SELECT a.scene, a.label AS al, b.label AS bl, a.sigma AS sa, b.sigma AS sb, sqrt((b.mx - a.mx) * (b.mx - a.mx) + (b.my - a.my) * (b.my - a.my) + (b.mz - a.mz) * (b.mz - a.mz)) AS d FROM ken a JOIN ken b ON a.scene = b.scene AND a.entity_ord < b.entity_ord) WHERE d < 1.0""", *KEN))
+def p29_overlaps(spark, d):
+    """How likely neighbours are one thing, by their distance and spreads."""
+    e = cut(A.filtered(detections(spark, d)))
+    s = lambda p: e.select("scene", F.col("label").alias(f"{p}_label"), F.col("sigma").alias(f"s{p}"))
+    near = pairs(e, 1.0).filter(F.col("distance") < 1.0).join(s("a"), ["scene", "a_label"]).join(s("b"), ["scene", "b_label"])
+    return rounded(near.select("scene", "a_label", "b_label", overlap_probability(F.col("distance"), F.col("sa"), F.col("sb")).alias("overlap")))
+
+
+@query("p2_camera_centers", with_ctes(f"SELECT scene, frame_order, {d4('-(cos(a) * tx - sin(a) * tz)')} AS x, {d4('-0.5::DOUBLE')} AS y, {d4('-(sin(a) * tx + cos(a) * tz)')} AS z FROM (SELECT scene, frame_order, (frame_order % 3 - 1) / 10.0::DOUBLE AS a, md AS tx, (scene % 4)::DOUBLE AS tz FROM frd)", FRD))
+def p2_camera_centers(spark, d):
+    """Where cameras stand, from turns and shifts that take the world to them."""
+    f = boxes(spark, d)[1]
+    a, zero, one = (F.col("frame_order") % 3 - 1) / 10.0, F.lit(0.0), F.lit(1.0)
+    c = camera_center([F.cos(a), zero, F.sin(a), zero, one, zero, -F.sin(a), zero, F.cos(a)], (F.col("median_depth"), F.lit(0.5), (F.col("scene") % 4).cast("double")))
+    return rounded(f.select("scene", "frame_order", *[v.alias(n) for v, n in zip(c, "xyz")]))
+
+
+@query("p19_box_volumes", with_ctes(f"SELECT scene, label, {d4('w3 * h3 * 0.3')} AS volume, {d4('greatest(w3, h3, 0.3)')} AS longest FROM ent"))
+def p19_box_volumes(spark, d):
+    e = entity_beliefs(detections(spark, d))
+    low, high = (tuple(F.col(f"m{c}") + s * F.col(f"{n}3") / 2 for c, n in zip("xyz", "whd")) for s in (-1, 1))
+    return rounded(e.select("scene", "label", box_volume(low, high).alias("volume"), F.greatest("w3", "h3", "d3").alias("longest")))
+
+
+@query("f11_temporal_questions", with_ctes("SELECT kind || '-' || scene || '-' || k AS qid, kind = 'order' AS temporal FROM qst", *LAB, QST))
+def f11_temporal_questions(spark, d):
+    """Which questions ask for an order in time."""
+    q = questions(cut(entity_beliefs(detections(spark, d))))
+    return q.select("qid", is_temporal(F.col("question")).alias("temporal"))

@@ -14,8 +14,10 @@ from loculus.operators import evolution as E
 from loculus.operators import relations as R
 from loculus.operators import selection as Sel
 from loculus.operators import series as S
+from loculus.operators import planes as PL
 from loculus.operators import tracking as T
 from loculus.operators.beliefs import entity_beliefs
+from loculus.operators.labels import room_from_planes
 from loculus.operators.lookup import evenly, top_in
 from loculus.operators.scale import stratified_sample
 from loculus.operators.voxels import downsample
@@ -225,7 +227,14 @@ def tracks(spark, d):
 
 @query("e22_room_planes")
 def room_planes(spark, d):
-    return T.room_planes(downsample(points(spark, d), 0.5), near=0.1, least=10)
+    return PL.room_planes(downsample(points(spark, d), 0.5), near=0.1, least=10)
+
+
+@query("e22_room_bounds")
+def room_bounds(spark, d):
+    """Floors, ceilings and walls from a room's planes, within its voxels' places."""
+    p = downsample(points(spark, d), 0.5)
+    return rounded(room_from_planes(PL.room_planes(p, near=0.1, least=10), p))
 
 
 @query("a24_summary", with_ctes(f"SELECT kind, task, count(*) AS n, {d4('avg(score)')} AS score, {d4('avg(v7)')} AS v7, {d4('avg(score) - avg(v7)')} AS delta FROM (SELECT *, CASE WHEN task IN ({', '.join(repr(t) for t in CHOICE_TASKS)}) THEN 'choice' WHEN task IN ({', '.join(repr(t) for t in NUMERIC_TASKS)}) THEN 'numeric' ELSE 'other' END AS kind FROM (SELECT event_type AS e, list_extract([{', '.join(repr(t) for t in (*CHOICE_TASKS, *NUMERIC_TASKS, 'other_task'))}], event_id % 11 + 1) AS task, (event_id % 11) / 10.0 AS score, CASE WHEN event_id % 2 = 0 THEN (event_id % 7) / 10.0 END AS v7 FROM events)) GROUP BY GROUPING SETS ((kind, task), (kind), ())"))

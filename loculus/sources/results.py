@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loculus.functions.questions import task_kind
 from loculus.functions.tables import CHOICE_TASKS, NUMERIC_TASKS
@@ -94,4 +95,8 @@ def save_map(entities: DataFrame, path: str) -> None:
 
 
 def load_map(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).json(path)
+    """What save_map wrote, with the columns of `like`; JSON knows keys of maps as text alone, so they are read as such and turned back."""
+    maps = {f.name: f.dataType for f in like.schema if isinstance(f.dataType, T.MapType)}
+    text = T.StructType([T.StructField(f.name, T.MapType(T.StringType(), f.dataType.valueType) if f.name in maps else f.dataType) for f in like.schema])
+    turned = lambda c, kind: F.transform_keys(c, lambda k, v: k.cast(kind))
+    return spark.read.schema(text).json(path).withColumns({c: turned(c, t.keyType) for c, t in maps.items()})
