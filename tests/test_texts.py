@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loculus.functions import texts as T
 from loculus.operators.beliefs import entity_beliefs
 from loculus.plans.fixtures import detections
+from loculus.session import cut
 from loculus.sources import results, settings
 from tests.conftest import SMALL
 
@@ -35,7 +36,7 @@ def test_hypothesis(spark):
 
 
 def test_maps_are_read_back(spark, tmp_path):
-    e = entity_beliefs(detections(spark, SMALL).filter("scene < 2"))
+    e = cut(entity_beliefs(detections(spark, SMALL).filter("scene < 2")))
     results.save_map(e, str(tmp_path / "map"))
     back = results.load_map(spark, str(tmp_path / "map"), e)
     assert back.schema.names == e.schema.names
