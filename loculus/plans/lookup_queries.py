@@ -121,7 +121,7 @@ def task_types(spark, d):
 
 
 TYPES = (*CHOICE_TASKS, *NUMERIC_TASKS, "other")
-EVO = with_ctes("", *SIZ).replace("ent AS (SELECT e.*", "ent0 AS (SELECT e.*").replace(", plc AS (", ", ent AS (SELECT * FROM ent0 WHERE round(confidence, 9) >= 0.7), plc AS (")
+EVO = with_ctes("", *SIZ).replace("ent AS MATERIALIZED (SELECT e.*", "ent0 AS MATERIALIZED (SELECT e.*").replace(", plc AS MATERIALIZED (", ", ent AS MATERIALIZED (SELECT * FROM ent0 WHERE round(confidence, 9) >= 0.7), plc AS MATERIALIZED (")
 STRATEGY = "CASE " + " ".join(f"WHEN contains(qtype, '{w}') THEN '{s}'" for w, s in E.STRATEGIES) + " ELSE 'sizes' END"
 
 
