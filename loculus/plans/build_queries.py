@@ -90,8 +90,8 @@ def r4_floor_areas(spark, d):
 
 @query("r4_tracks")
 def r4_tracks(spark, d):
-    """The tracking switch: instances of a build, two metres from frame to frame at most."""
-    return rounded(track(located(spark, d, True, True), distance=2.0))
+    """The tracking switch: instances of a build, two metres from frame to frame at most, with median places and sizes."""
+    return rounded(track(located(spark, d, True, True), distance=2.0, median=True))
 
 
 _SMOOTH = "SELECT scene, label, " + ", ".join(f"list_reduce(l{c}, lambda a, x: {{'m': (a.m * (n - 1) + x.m) / n}}).m AS {c}_mean" for c in "wh") + " FROM (SELECT scene, label, count(*)::DOUBLE AS n, list({'m': w} ORDER BY det_ord) AS lw, list({'m': h} ORDER BY det_ord) AS lh FROM loc GROUP BY ALL)"

@@ -121,6 +121,16 @@ def test_tracks_of_a_build_by_hand(spark):
     assert got == {(1, "lamp_001"): (0, 20, 5), (1, "lamp_002"): (0, 3, 4), (2, "bed_001"): (0, 0, 1)}
 
 
+def test_median_tracks(spark):
+    """Place and size are medians, and a far first sighting draws the place less than a mean would: the last sighting still belongs to the track."""
+    kind = "scene int, label string, frame_order int, det_ord int, x double, y double, z double, confidence double, width_3d double, height_3d double, depth_3d double"
+    x = [0.0, 1.0, 1.0, 1.2, 1.1]
+    rows = [(1, "lamp", k, k, v, 0.0, 2.0, 0.5 + 0.1 * k, 1.0 + k, 2.0, 0.5 * k) for k, v in enumerate(x)] + [(1, "lamp", 5, 9, 3.5, 0.0, 2.0, 0.5, 9.0, 9.0, 9.0)]
+    got = {r["instance"]: r for r in track(spark.createDataFrame(rows, kind), distance=1.5, median=True).collect()}
+    assert {k: (r["n"], r["first_seen"], r["last_seen"]) for k, r in got.items()} == {"lamp_001": (5, 0, 4), "lamp_002": (1, 5, 5)}
+    assert [got["lamp_001"][c] for c in ("mx", "mz", "w3", "h3", "d3", "confidence")] == pytest.approx([1.0, 2.0, 3.0, 2.0, 1.0, 0.7])
+
+
 def test_view_build(spark):
     rows, _ = build_rows(3)
     rows = [(*r[:4], r[4] if k % 7 else "##oor", *r[5:]) for k, r in enumerate(rows)]
