@@ -30,8 +30,10 @@ def relation_graph(entities: DataFrame, most: float = 5.0) -> DataFrame:
     return ahead.unionByName(p.select("scene", F.col("b_label").alias("source"), F.col("a_label").alias("target"), "distance", opposite_relation(F.col("relation")).alias("relation")))
 
 
-def of_object(rel: DataFrame, name: str) -> DataFrame:
-    return rel.filter((F.col("subject") == name) | (F.col("object") == name))
+def of_object(rel: DataFrame, names: DataFrame) -> DataFrame:
+    """names: scene, name. Each with the relations of its scene that have it on either side: name and the columns of rel."""
+    sides = rel.withColumn("name", F.explode(F.array_distinct(F.array("subject", "object"))))
+    return sides.join(names.select("scene", "name").distinct(), ["scene", "name"])
 
 
 def nearby(entities: DataFrame, radius: float) -> DataFrame:

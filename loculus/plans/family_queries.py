@@ -39,10 +39,10 @@ def b_room_size(spark, d):
     return A.room_size(q, e).select("qid", "answer")
 
 
-@query("q_b4_abs_distance", with_ctes(f"SELECT 'dist-' || lab.scene || '-' || k AS qid, {d4('1 / (1 + a.sigma + b.sigma)')} AS sure FROM lab JOIN kfs a ON a.scene = lab.scene AND a.name = lab.label JOIN kfs b ON b.scene = lab.scene AND b.name = lab.l1", *KEN))
+@query("q_b4_abs_distance", with_ctes(f"SELECT 'dist-' || lab.scene || '-' || k AS qid, printf('%.1f', sqrt((a.mx - b.mx) * (a.mx - b.mx) + (a.my - b.my) * (a.my - b.my) + (a.mz - b.mz) * (a.mz - b.mz))) AS answer, {d4('1 / (1 + a.sigma + b.sigma)')} AS sure FROM lab JOIN kfs a ON a.scene = lab.scene AND a.name = lab.label JOIN kfs b ON b.scene = lab.scene AND b.name = lab.l1", *KEN))
 def b_abs_distance(spark, d):
     q, e = prepared(spark, d, "object_abs_distance")
-    return rounded(A.abs_distance(q, e, ALL_SYNONYMS).select("qid", "sure"))
+    return rounded(A.abs_distance(q, e, ALL_SYNONYMS).select("qid", "answer", "sure"))
 
 
 @query("q_b5_direction_medium", with_ctes("SELECT 'medium-' || lab.scene || '-' || lab.k AS qid, CASE WHEN front IS NULL THEN 'A. left' WHEN front < -0.5 THEN 'C. back' WHEN rgt > 0 THEN 'B. right' ELSE 'A. left' END AS answer FROM lab LEFT JOIN kdi ON kdi.scene = lab.scene AND kdi.k = lab.k WHERE l2 IS NOT NULL", *KEN))

@@ -75,9 +75,11 @@ def not_found(spark, d):
     return L.not_found(names, ent)
 
 
-@query("j23_of_object", with_ctes("SELECT scene, al AS subject, bl AS object FROM prs WHERE d < 1.0 AND (al = 'small ring' OR bl = 'small ring')", PRS))
+@query("j23_of_object", with_ctes("SELECT scene, name, al AS subject, bl AS object FROM (SELECT *, unnest([al, bl]) AS name FROM prs WHERE d < 1.0)", PRS))
 def of_object(spark, d):
-    return R.of_object(R.relations(entities(spark, d)).filter("relation IN ('near', 'next_to')"), "small ring").select("scene", "subject", "object")
+    """What is near each thing."""
+    e = entities(spark, d)
+    return R.of_object(R.relations(e).filter("relation IN ('near', 'next_to')"), e.select("scene", F.col("label").alias("name"))).select("scene", "name", "subject", "object")
 
 
 @query("j25_closer_but_later", with_ctes("SELECT a.scene, a.label AS near, b.label AS far FROM ent a JOIN ent b ON a.scene = b.scene AND a.mz < b.mz - 1.0 AND a.first_seen > b.first_seen + 5"))
