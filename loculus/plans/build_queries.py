@@ -41,8 +41,10 @@ def path(frames):
 
 
 def located(spark, d, dynamic, moving):
+    """Detections of a build, which its entities, counts and voxels all read, so they are worked out once."""
     b, frames = boxes(spark, d)
-    return B.locate(b, frames, dynamic, path(frames) if moving else None, KNOWN)
+    frames = cut(frames)
+    return cut(B.locate(b, frames, dynamic, path(frames) if moving else None, KNOWN))
 
 
 _KNOWN = "CASE " + " ".join(f"WHEN contains(label, '{n}') THEN {s}::DOUBLE" for n, s in KNOWN) + " END"
