@@ -20,11 +20,16 @@ DOUBT, SEEN = 1.2, 0.8
 SIZES, AREAS = (0.01, 5.0), (4.0, 200.0)
 
 
-def doubtful(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """scene, label, low: the entities to look at again, those whose place is not sure (low) or which stand in each other."""
-    low = entities.filter(F.col("position_confidence") < threshold).select("scene", "label", F.lit(True).alias("low"))
+def in_conflict(entities: DataFrame) -> DataFrame:
+    """scene, label: the entities that stand in each other. Rounds move and resize nothing, so this holds for all of them."""
     pairs = spatial_conflicts(entities.withColumnsRenamed({"w_mean": "w3", "h_mean": "h3"}))
-    both = pairs.select("scene", F.explode(F.array("a_label", "b_label")).alias("label")).withColumn("low", F.lit(False))
+    return pairs.select("scene", F.explode(F.array("a_label", "b_label")).alias("label")).distinct()
+
+
+def doubtful(entities: DataFrame, threshold: float = THRESHOLD, conflicts: DataFrame | None = None) -> DataFrame:
+    """scene, label, low: the entities to look at again, those whose place is not sure (low) or which stand in each other; conflicts: what in_conflict gave for them."""
+    low = entities.filter(F.col("position_confidence") < threshold).select("scene", "label", F.lit(True).alias("low"))
+    both = (in_conflict(entities) if conflicts is None else conflicts).withColumn("low", F.lit(False))
     return low.unionByName(both).groupBy("scene", "label").agg(F.max("low").alias("low"))
 
 
@@ -35,7 +40,7 @@ def reconsidered(entities: DataFrame, rows: DataFrame, factor: Column) -> DataFr
     return e.withColumn("position_confidence", 1 / (1 + F.col("sigma")))
 
 
-def agent_state(entities: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD, replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def agent_state(entities: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD, replies: DataFrame | None = None, conflicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities after the rounds, and of each scene how many rounds began and whether one changed anything: scene, rounds, evolved.
 
     A round begins where something is doubtful. Without replies, places that are not sure become less so; that is a correction, and
@@ -44,9 +49,10 @@ def agent_state(entities: DataFrame, rounds: int = ROUNDS, threshold: float = TH
     Rounds change entities alone, which questions of a scene share, so there is one state a scene.
     """
     entities = cut(entities)
+    conflicts = cut(in_conflict(entities)) if conflicts is None else conflicts
     state = entities.select("scene").distinct().select("scene", F.lit(0).alias("rounds"), F.lit(False).alias("evolved"), F.lit(True).alias("open"))
     for _ in range(rounds):
-        look = cut(doubtful(entities, threshold).join(state.filter("open").select("scene"), "scene", "left_semi"))
+        look = cut(doubtful(entities, threshold, conflicts).join(state.filter("open").select("scene"), "scene", "left_semi"))
         began = look.groupBy("scene").agg(F.max("low").alias("low"))
         if replies is None:
             entities, corrected = reconsidered(entities, look.filter("low"), F.lit(DOUBT)), F.coalesce("low", F.lit(False))
@@ -78,9 +84,10 @@ def agent_loop(questions: DataFrame, entities: DataFrame, rounds: int = ROUNDS,
     Answers depend on the scene alone, so they are made once, over what the rounds left; a loop that a reply ended keeps those of before.
     """
     entities = cut(entities)
-    after, state = agent_state(entities, rounds, threshold, replies)
+    conflicts = cut(in_conflict(entities))
+    after, state = agent_state(entities, rounds, threshold, replies, conflicts)
     found = answers(questions, after if replies is None else entities, synonyms)
-    left = doubtful(after, threshold).select("scene").distinct().withColumn("_left", F.lit(True))
+    left = doubtful(after, threshold, conflicts).select("scene").distinct().withColumn("_left", F.lit(True))
     size = F.greatest("w_mean", "h_mean", F.lit(0.3))
     odd = after.groupBy("scene").agg(F.max((size > SIZES[1]) | (size < SIZES[0])).alias("_odd"))
     q = questions.select("qid", "scene", "qtype", "options").join(state, "scene", "left").join(left, "scene", "left").join(odd, "scene", "left").join(found, "qid", "left")

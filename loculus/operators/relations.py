@@ -70,9 +70,13 @@ def topology(entities: DataFrame) -> DataFrame:
     return nearest_other(entities).join(p, "scene", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
 
 
+#: No extent counts as more than this, so that pairs which conflict are nearer than half of it.
+LEAST_EXTENT = 0.3
+
+
 def spatial_conflicts(entities: DataFrame) -> DataFrame:
     """Pairs nearer than a quarter of the sum of their least extents."""
-    s = entities.select("scene", "label", F.least("w3", "h3", F.lit(0.3)).alias("s"))
-    p = pairs(entities, 1.0)
+    s = entities.select("scene", "label", F.least("w3", "h3", F.lit(LEAST_EXTENT)).alias("s"))
+    p = pairs(entities, LEAST_EXTENT / 2 + 1e-6).filter(F.col("distance") < LEAST_EXTENT / 2 + 1e-6)
     p = p.join(s.select("scene", F.col("label").alias("a_label"), F.col("s").alias("sa")), ["scene", "a_label"]).join(s.select("scene", F.col("label").alias("b_label"), F.col("s").alias("sb")), ["scene", "b_label"])
     return p.filter(F.col("distance") < (F.col("sa") + F.col("sb")) / 4).select("scene", "a_label", "b_label")

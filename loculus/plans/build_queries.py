@@ -183,8 +183,9 @@ def e18_looked_at(spark, d):
     e = cut(A.filtered(detections(spark, d)))
     k = F.col("entity_ord") % 3
     replies = e.select("scene", "label", F.when(k == 0, F.concat(F.lit("Yes, there is a "), "label")).when(k == 1, F.concat(F.lit("This is not a "), "label")).otherwise("I can see nothing here.").alias("text"))
-    after, _ = AG.agent_state(e, threshold=THRESHOLD, replies=replies)
-    looked = AG.doubtful(e, THRESHOLD).select("scene", "label", F.lit(True).alias("l"))
+    conflicts = cut(AG.in_conflict(e))
+    after, _ = AG.agent_state(e, threshold=THRESHOLD, replies=replies, conflicts=conflicts)
+    looked = AG.doubtful(e, THRESHOLD, conflicts).select("scene", "label", F.lit(True).alias("l"))
     return rounded(after.join(looked, ["scene", "label"], "left").select("scene", "label", "sigma", F.coalesce("l", F.lit(False)).alias("looked_at")))
 
 

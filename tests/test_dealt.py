@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from loculus.operators import agent as AG
 from loculus.operators import family_answers as A
+from loculus.operators import voxels as X
 from loculus.operators.beliefs import entity_beliefs, most_in_frame
-from loculus.operators.lookup import first_match
+from loculus.operators.lookup import first_match, pairs
+from loculus.operators.relations import spatial_conflicts
 from loculus.plans.fixtures import detections
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +40,27 @@ def test_first_match_sends_labels_alone(spark):
     assert sorted((r.scene, r.name, r.e.mx) for r in found.collect()) == [(1, "red", 0.5), (1, "rod", 0.25), (2, "rod", 1.0)]
     grouped = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_min_by" in line]
     assert grouped and not any("mx" in line for line in grouped)
+
+
+def test_boxes_are_sent_to_slabs_before_they_are_voxels(spark):
+    plan = X.fill_boxes(detections(spark, SF), 0.5)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = lambda word: [k for k, line in enumerate(plan) if word in line]
+    assert max(at("Generate explode(sequence(z")) < min(at("Exchange hashpartitioning(scene"))
+
+
+def test_conflicts_are_looked_for_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(AG, "spatial_conflicts", lambda e: calls.append(1) or spatial_conflicts(e))
+    e = A.filtered(detections(spark, SF))
+    AG.agent_state(e, threshold=0.82)
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("most", [0.15, 0.7, 3.0])
+def test_pairs_within_a_bound_by_brute_force(spark, most):
+    rng = random.Random(7)
+    rows = [(s, f"{s}-{k}", k, *[rng.choice((-1, 1)) * rng.randrange(40) * most / 8 for _ in "xyz"]) for s in (1, 2) for k in range(60)]
+    e = spark.createDataFrame(rows, "scene int, label string, entity_ord int, mx double, my double, mz double")
+    found = sorted((r.a_label, r.b_label) for r in pairs(e, most).filter(F.col("distance") <= most - 1e-9).collect())
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and math.dist(a[3:], b[3:]) <= most - 1e-9)
+    assert found == want
