@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loculus.functions.questions import frame_spec
@@ -14,6 +14,10 @@ from loculus.operators.lookup import first_match
 RADII = {"rel_direction": 1.0, "abs_distance": 0.5, "rel_distance": 0.8, "counting": float("inf")}
 
 
+#: Boxes of a frame that a row holds at most.
+HELD = 256
+
+
 def size_label(w: Column, h: Column, d: Column) -> Column:
     big, small, volume = F.greatest(w, h, d), F.least(w, h, d), w * h * d
     return F.when(h > 2.0, "tall furniture").when((big > 1.5) & (small < 0.3), "table or desk").when(volume < 0.1, "small object").when((h > 0.3) & (h < 1.0) & (volume < 0.5), "chair").otherwise("furniture")
@@ -39,15 +43,18 @@ def label_by_boxes(points: DataFrame, boxes: DataFrame, width: float, height: fl
     """points: scene, frame, thing, u, v (null: not seen). boxes: scene, frame, label, confidence, x1, y1, x2, y2.
 
     A thing gets the surest box that holds its point (of equals the one whose middle is nearest), else the nearest box within 30 %
-    of the frame at half its confidence, else "object"; "unknown" where it isn't seen.
+    of the frame at half its confidence, else "object"; "unknown" where it isn't seen. Things meet a frame's boxes by HELD of them in a row.
     """
-    b = boxes.withColumns({"bu": (F.col("x1") + F.col("x2")) / 2, "bv": (F.col("y1") + F.col("y2")) / 2})
+    w = Window.partitionBy("scene", "frame").orderBy("x1", "y1")
+    b = boxes.withColumn("_part", F.floor((F.row_number().over(w) - 1) / HELD)).groupBy("scene", "frame", "_part").agg(F.collect_list(F.struct("label", "confidence", "x1", "y1", "x2", "y2", ((F.col("x1") + F.col("x2")) / 2).alias("bu"), ((F.col("y1") + F.col("y2")) / 2).alias("bv"))).alias("_b"))
     j = points.join(b, ["scene", "frame"], "left")
-    inside = F.col("u").between(F.col("x1"), F.col("x2")) & F.col("v").between(F.col("y1"), F.col("y2"))
-    share = F.sqrt(F.pow((F.col("u") - F.col("bu")) / width, 2) + F.pow((F.col("v") - F.col("bv")) / height, 2))
-    far = F.sqrt(F.pow(F.col("u") - F.col("bu"), 2) + F.pow(F.col("v") - F.col("bv"), 2))
-    what = F.struct("label", "confidence")
-    g = j.groupBy("scene", "frame", "thing").agg(F.first("u").alias("u"), F.count("label").alias("n"), F.max_by(what, F.when(inside, F.struct("confidence", -share, "label"))).alias("in"), F.min_by(what, F.struct(far, "label")).alias("near"), F.min(far).alias("far"))
+    u, v = F.col("u"), F.col("v")
+    inside = F.filter("_b", lambda x: u.between(x["x1"], x["x2"]) & v.between(x["y1"], x["y2"]))
+    share = lambda x: F.sqrt(F.pow((u - x["bu"]) / width, 2) + F.pow((v - x["bv"]) / height, 2))
+    far = lambda x: F.sqrt(F.pow(u - x["bu"], 2) + F.pow(v - x["bv"], 2))
+    j = j.select("scene", "frame", "thing", "u", F.size(F.filter("_b", lambda x: x["label"].isNotNull())).alias("n"), F.array_max(F.transform(inside, lambda x: F.struct(x["confidence"].alias("confidence"), (-share(x)).alias("s"), x["label"].alias("label")))).alias("in"),
+                 F.array_min(F.transform("_b", lambda x: F.struct(far(x).alias("far"), x["label"].alias("label"), x["confidence"].alias("confidence")))).alias("near"), F.array_min(F.transform("_b", far)).alias("far"))
+    g = j.groupBy("scene", "frame", "thing").agg(F.first("u").alias("u"), F.sum(F.greatest("n", F.lit(0))).alias("n"), F.max("in").alias("in"), F.min("near").alias("near"), F.min("far").alias("far"))
     close = F.col("far") < max(width, height) * 0.3
     label = F.when(F.col("u").isNull(), "unknown").when(F.col("in").isNotNull(), F.col("in.label")).when(close, F.col("near.label")).otherwise("object")
     sure = F.when(F.col("u").isNull(), 0.0).when(F.col("in").isNotNull(), F.col("in.confidence")).when(close, F.col("near.confidence") * 0.5).when(F.col("n") > 0, 0.3).otherwise(0.1)

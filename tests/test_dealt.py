@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loculus.operators import agent as AG
 from loculus.operators import family_answers as A
+from loculus.operators import labels as L
 from loculus.operators import voxels as X
 from loculus.operators.beliefs import entity_beliefs, most_in_frame
 from loculus.operators.lookup import first_match, pairs
@@ -64,3 +65,12 @@ def test_pairs_within_a_bound_by_brute_force(spark, most):
     found = sorted((r.a_label, r.b_label) for r in pairs(e, most).filter(F.col("distance") <= most - 1e-9).collect())
     want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and math.dist(a[3:], b[3:]) <= most - 1e-9)
     assert found == want
+
+
+def test_things_meet_boxes_without_a_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD", 2)
+    boxes = spark.createDataFrame([(1, 0, f"b{k}", 0.5 + (k % 3) / 10, 10.0 * k, 0.0, 10.0 * k + 25, 20.0) for k in range(7)], "scene int, frame int, label string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    things = spark.createDataFrame([(1, 0, "a", 22.0, 5.0), (1, 0, "b", 22.0, 90.0), (1, 0, "c", 900.0, 5.0), (1, 0, "d", None, None), (1, 1, "e", 5.0, 5.0)], "scene int, frame int, thing string, u double, v double")
+    out = L.label_by_boxes(things, boxes, 640, 480)
+    assert {r.thing: (r.label, round(r.confidence, 6)) for r in out.collect()} == {"a": ("b2", 0.7), "b": ("b1", 0.3), "c": ("object", 0.3), "d": ("unknown", 0.0), "e": ("object", 0.1)}
+    assert "partial_max_by" not in out._jdf.queryExecution().executedPlan().toString()
