@@ -60,3 +60,26 @@ def test_same_as_loops_over_the_guesses(spark):
             left = left[~best[2]]
     assert got == want and len(want) > 4
     assert P.room_planes(points.limit(0)).count() == 0
+
+
+def test_one_task_or_all(spark):
+    """A scene goes through its rounds in one task as over all tasks; a scene with a point without a place goes the second way."""
+    rows = room(4) + [(5, *r[1:]) for r in room(5) if r[0] == 1][::4] + [(6, *r[1:]) for r in room(6) if r[0] == 1][::6] + [(6, None, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, POINT)
+    kinds = [[tuple(r) for r in sorted(P.room_planes(points, planes=4, tries=60, least=20, small=small).collect(), key=lambda r: (r["scene"], r["plane"]))] for small in (50_000, 1_000, 0)]
+    assert len(kinds[0]) > 8 and {r[0] for r in kinds[0]} == {1, 3, 5, 6} - ({3} - {r[0] for r in kinds[2]})
+    for got in kinds[1:]:
+        assert [(*r[:7], r[10]) for r in got] == [(*r[:7], r[10]) for r in kinds[0]]
+        assert np.allclose([r[7:10] for r in got], [r[7:10] for r in kinds[0]])
+
+
+def test_hashes_are_those_of_spark(spark):
+    rows = [(0.0, -1.5, 7), (-0.0, 2.25, -3), (1e300, -2e-5, 2**31 - 1)]
+    want = [r[0] for r in spark.createDataFrame(rows, "a double, b double, k int").selectExpr("xxhash64(a, b, k)").collect()]
+    assert P.hashed(*[np.array(c) for c in zip(*rows)]).tolist() == want
+
+
+def test_points_meet_guesses_in_their_task(spark):
+    """No join of points with guesses, and no row for each of these, where scenes are small."""
+    plan = P.room_planes(spark.createDataFrame(room(), POINT), planes=6, least=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
