@@ -90,12 +90,13 @@ def agent_loop(questions: DataFrame, entities: DataFrame, rounds: int = ROUNDS,
     left = doubtful(after, threshold, conflicts).select("scene").distinct().withColumn("_left", F.lit(True))
     size = F.greatest("w_mean", "h_mean", F.lit(0.3))
     odd = after.groupBy("scene").agg(F.max((size > SIZES[1]) | (size < SIZES[0])).alias("_odd"))
-    q = questions.select("qid", "scene", "qtype", "options").join(state, "scene", "left").join(left, "scene", "left").join(odd, "scene", "left").join(found, "qid", "left")
+    usual = A.default_answer(F.col("qtype"), F.col("options")).alias("_usual")  # the texts of options go no further
+    q = questions.select("qid", "scene", usual).join(state, "scene", "left").join(left, "scene", "left").join(odd, "scene", "left").join(found, "qid", "left")
     number = F.col("answer").try_cast("double")
     wrong = F.coalesce("_odd", F.lit(False)) | F.coalesce((number > AREAS[1]) | ((number > 0) & (number < AREAS[0])), F.lit(False))
     there = F.col("rounds").isNotNull()
     verdict = F.when(F.col("_left"), "re_observe").when(wrong, "logic_error").otherwise("pass")
     return q.select(
-        "qid", F.when(there, F.col("answer")).otherwise(A.default_answer(F.col("qtype"), F.col("options"))).alias("answer"), F.when(there, F.col("sure")).otherwise(F.lit(0.1)).alias("sure"),
+        "qid", F.when(there, F.col("answer")).otherwise(F.col("_usual")).alias("answer"), F.when(there, F.col("sure")).otherwise(F.lit(0.1)).alias("sure"),
         F.coalesce("rounds", F.lit(0)).alias("rounds"), F.coalesce("evolved", F.lit(False)).alias("evolved"), F.when(there, verdict).alias("verdict"),
     )

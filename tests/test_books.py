@@ -35,3 +35,17 @@ def test_answers_by_hand(spark):
     ]
     got = sorted((r["qid"], r["answer"]) for r in asked(spark, rows).collect())
     assert got == sorted([("count", "3"), ("size", "100"), ("room", "30"), ("dist", "4.00"), ("rel", "C"), ("far", "B"), ("order", "B"), ("twice", "1"), ("twice", "1"), ("none", "A"), ("null", "0"), ("odd", "A")])
+
+
+def test_an_agents_questions_are_not_dealt_by_id(spark):
+    from loculus.operators import family_answers as FA
+
+    row = {"scene": 1, "label": "lamp", "entity_ord": 1, "obs_count": 3, "max_in_frame": 2, "first_seen": 0}
+    kinds = {"scene": "long", "label": "string", "entity_ord": "long", "obs_count": "long", "max_in_frame": "long", "first_seen": "int"}
+    columns = ["scene", "entity_ord", *FA.KEEP]
+    ent = spark.createDataFrame([tuple(row.get(c, 1.0) for c in columns)], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns))
+    q = spark.createDataFrame([("a", 1, "object_counting", "How many lamps are in this room?", ["A. lamp"], "1")], QUESTIONS)
+    for answer in (FA.agent_counting, FA.object_size, FA.agent_distance, FA.agent_direction, FA.agent_rel_distance, FA.agent_order):
+        plan = answer(q, ent)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(qid" not in plan, answer.__name__
+    assert FA.agent_counting(q, ent).collect()[0]["answer"] == "2" and FA.agent_order(q, ent).collect()[0]["answer"] == "A. lamp"
