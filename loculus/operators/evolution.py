@@ -102,6 +102,16 @@ def median_vote(responses: DataFrame, low: float, high: float) -> DataFrame:
     return responses.withColumn("v", v).groupBy("qid").agg(F.median(F.when(F.col("v").between(low, high), F.col("v"))).alias("m")).select("qid", F.when(F.col("m").isNotNull(), F.format_string("%.1f", F.round("m", 6))).alias("answer"))
 
 
+#: What beliefs and their noise are worked out from.
+BELIEVED = ["scene", "label", "frame_idx", "det_ord", "confidence", "depth_std", "position_uncertainty", "x", "y", "z", "width_3d", "height_3d"]
+
+
+def without(det: DataFrame, gone: DataFrame) -> DataFrame:
+    """Detections less those gone (scene, label, det_ord), of which an entity has a few: they go to theirs as one row."""
+    g = gone.groupBy("scene", "label").agg(F.collect_set("det_ord").alias("_gone"))
+    return det.join(g, ["scene", "label"], "left").filter(~F.coalesce(F.array_contains("_gone", F.col("det_ord")), F.lit(False))).drop("_gone")
+
+
 def belief_rounds(questions: DataFrame, det: DataFrame, looks: DataFrame, rounds: int = 3, synonyms=None) -> DataFrame:
     """The loop of look, compare, refine over all questions at once, at most `rounds` times: qid, answer, converged, rounds.
 
@@ -117,7 +127,8 @@ def belief_rounds(questions: DataFrame, det: DataFrame, looks: DataFrame, rounds
     ensure_checkpoint_dir(det.sparkSession)
     synonyms = SYNONYMS if synonyms is None else synonyms
     # each is read several times a round: without a cut the plans outgrow the driver
-    q, own = questions.select("qid", "scene", "names").checkpoint(), det.checkpoint()
+    q, all_ = questions.select("qid", "scene", "names").checkpoint(), det.select(*BELIEVED).checkpoint()
+    own, gone = all_, None
     looks = looks.select("qid", "round", "answer", "conf").checkpoint()
     first = looks.filter("round = 0").select("qid", F.col("answer").alias("a0"), F.col("conf").alias("c0"))
     state = q.join(first, "qid", "left").select("qid", "a0", "c0", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("final"), F.lit(None).cast("string").alias("converged"), F.lit(0).alias("n"), F.lit(None).cast("array<int>").alias("frames"))
@@ -143,8 +154,12 @@ def belief_rounds(questions: DataFrame, det: DataFrame, looks: DataFrame, rounds
             F.when(running & ~same, F.lit(k)).otherwise(F.col("n")).alias("n"), F.when(running, F.col("now")).otherwise(F.col("frames")).alias("frames"),
         )
         state = s.checkpoint()
-        gone = noisiest(own, ent, THRESHOLDS[min(k - 1, len(THRESHOLDS) - 1)]).select("scene", "label", "det_ord")
-        own = own.join(gone, ["scene", "label", "det_ord"], "left_anti").checkpoint()
+        if k == rounds:
+            break
+        # a round takes two detections of an entity at most: those are kept, not what is left, so detections are written once
+        more = noisiest(own, ent, THRESHOLDS[min(k - 1, len(THRESHOLDS) - 1)]).select("scene", "label", "det_ord")
+        gone = (more if gone is None else gone.unionByName(more)).checkpoint()
+        own = without(all_, gone)
     used = looks.join(state.select("qid", "n"), "qid").filter(F.col("round") <= F.col("n"))
     return state.join(vote(used, rounds).withColumnRenamed("answer", "voted"), "qid", "left").select("qid", F.coalesce("final", "voted", F.lit("A")).alias("answer"), F.coalesce("converged", F.lit("conf_weighted_vote")).alias("converged"), F.col("n").alias("rounds"))
 
