@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.functions.geometry import opposite_relation, relation_word
+from loculus.functions.geometry import relation_word
 from loculus.operators.lookup import pairs
 from loculus.operators.spatial import nearest_other
 
@@ -24,10 +24,29 @@ def relations(entities: DataFrame, most: float = 3.0, near: float = 1.0, next_to
 def relation_graph(entities: DataFrame, most: float = 5.0) -> DataFrame:
     """Edges both ways between entities up to `most` apart: scene, source, target, distance, relation."""
     p = pairs(entities, most + 1e-9).filter(F.col("distance") <= most)
-    word = relation_word(tuple(F.col(f"b_m{c}") - F.col(f"a_m{c}") for c in "xyz"))
-    p = p.select("scene", "a_label", "b_label", F.bround("distance", 2).alias("distance"), word.alias("relation"))
-    ahead = p.select("scene", F.col("a_label").alias("source"), F.col("b_label").alias("target"), "distance", "relation")
-    return ahead.unionByName(p.select("scene", F.col("b_label").alias("source"), F.col("a_label").alias("target"), "distance", opposite_relation(F.col("relation")).alias("relation")))
+    d = tuple(F.col(f"b_m{c}") - F.col(f"a_m{c}") for c in "xyz")
+    word = F.when(F.col("back"), relation_word(d, back=True)).otherwise(relation_word(d))
+    return both_ways(p).select("scene", _end("a", "label").alias("source"), _end("b", "label").alias("target"), F.bround("distance", 2).alias("distance"), word.alias("relation"))
+
+
+def both_ways(p: DataFrame) -> DataFrame:
+    """Each pair twice, with `back` false and true, so pairs are made once."""
+    return p.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("back"))
+
+
+def _end(side: str, column: str):
+    """A column of one side of a pair, and of the other one on the way back."""
+    return F.when(F.col("back"), F.col(f"{'b' if side == 'a' else 'a'}_{column}")).otherwise(F.col(f"{side}_{column}"))
+
+
+def relation_counts(entities: DataFrame, most: float = 5.0, once: bool = False) -> DataFrame:
+    """scene, source, target, relation, n: how many edges of relation_graph there are of each kind.
+
+    once: each label is there once a scene, as in entity_beliefs, which groups by them. Then no two edges have source and target in common, so each
+    is a group of its own and n is 1; edges, many times the entities, are neither sent nor held to be counted.
+    """
+    edges = relation_graph(entities, most).drop("distance")
+    return edges.withColumn("n", F.lit(1).cast("long")) if once else edges.groupBy("scene", "source", "target", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 def of_object(rel: DataFrame, names: DataFrame) -> DataFrame:
@@ -39,7 +58,7 @@ def of_object(rel: DataFrame, names: DataFrame) -> DataFrame:
 def nearby(entities: DataFrame, radius: float) -> DataFrame:
     """For each entity those within the radius, nearest first: scene, label, other, distance, rank."""
     p = pairs(entities, radius + 1e-9).filter(F.col("distance") <= radius)
-    both = p.select("scene", F.col("a_label").alias("label"), F.col("b_label").alias("other"), "distance", F.col("b_entity_ord").alias("o")).unionByName(p.select("scene", F.col("b_label").alias("label"), F.col("a_label").alias("other"), "distance", F.col("a_entity_ord").alias("o")))
+    both = both_ways(p).select("scene", _end("a", "label").alias("label"), _end("b", "label").alias("other"), "distance", _end("b", "entity_ord").alias("o"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("scene", "label").orderBy(F.round("distance", 9), "o"))).drop("o")
 
 

@@ -8,13 +8,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loculus.functions.geometry import opposite_relation, relation_word
 from loculus.operators import agent as AG
 from loculus.operators import family_answers as A
 from loculus.operators import labels as L
 from loculus.operators import voxels as X
 from loculus.operators.beliefs import entity_beliefs, most_in_frame
 from loculus.operators.lookup import first_match, pairs
-from loculus.operators.relations import spatial_conflicts
+from loculus.operators.relations import nearby, relation_counts, relation_graph, relations, spatial_conflicts
 from loculus.plans.fixtures import detections
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,35 @@ def test_entities_deal_detections_once(spark, entities):
     assert exchanges(entities(detections(spark, SF))) == 1
 
 
+@pytest.mark.parametrize("made", [lambda e: relation_counts(e, once=True), relation_counts, relations, lambda e: nearby(e, 2.0)])
+def test_pairs_stay_where_their_scene_is(spark, made):
+    assert exchanges(made(entity_beliefs(detections(spark, SF)))) == 1
+
+
+def test_counts_of_edges_where_labels_are_there_once(spark):
+    e = entity_beliefs(detections(spark, SF))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    once = rows(relation_counts(e, once=True))
+    assert once == rows(relation_counts(e)) and len(once) > 1000
+
+
+def test_counts_of_edges_where_labels_repeat(spark):
+    at = [("rod", 1, 0.0), ("owl", 2, 1.0), ("rod", 3, 0.5), ("owl", 4, 9.0), (None, 5, 2.0)]
+    e = spark.createDataFrame([(1, n, k, x, 0.0, 0.0) for n, k, x in at], "scene int, label string, entity_ord int, mx double, my double, mz double")
+    found = {(r.source, r.target, r.relation): r.n for r in relation_counts(e).collect()}
+    assert found == {
+        ("rod", "owl", "right_of"): 1, ("owl", "rod", "right_of"): 1, ("owl", "rod", "left_of"): 1, ("rod", "owl", "left_of"): 1, ("rod", "rod", "right_of"): 2,
+        ("rod", None, "right_of"): 2, (None, "rod", "right_of"): 2, ("owl", None, "right_of"): 1, (None, "owl", "right_of"): 1,
+    }
+
+
+def test_words_of_the_way_back(spark):
+    at = [(x, y, z) for x in (-1.0, 0.0, 1.0) for y in (-2.0, -0.1, 0.0, 0.1, 2.0) for z in (-1.5, 0.0, 1.0, 1.5)]
+    word = lambda **k: relation_word((F.col("x"), F.col("y"), F.col("z")), **k)
+    rows = spark.createDataFrame(at, "x double, y double, z double").select(opposite_relation(word()).alias("want"), word(back=True).alias("got")).collect()
+    assert all(r.want == r.got for r in rows) and len({r.got for r in rows}) > 6
+
+
 def test_most_in_frame(spark):
     rows = spark.createDataFrame([(1, [3, 1, 3, 2, 3, 1]), (2, [7]), (3, [])], "k int, f array<int>")
     assert {r.k: r.n for r in rows.select("k", most_in_frame(F.col("f")).alias("n")).collect()} == {1: 3, 2: 1, 3: 0}
