@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.functions.tables import COMMON_RANGES
-from loculus.operators.beliefs import entity_beliefs, noisiest
-from loculus.operators.selection import name_frames, scored_frames
+from loculus.functions.tables import COMMON_RANGES, SYNONYMS
+from loculus.operators.beliefs import entity_rounds
+from loculus.operators.matching import name_pairs
+from loculus.session import cut
 
 # Reference sizes in metres of the size correction, and areas by what stands in them, tried in this order.
 REFERENCE = [("door", 2.0), ("chair", 0.8), ("bed", 2.0), ("toilet", 0.4), ("refrigerator", 1.75), ("sofa", 0.85), ("table", 0.75), ("desk", 0.75)]
@@ -102,66 +103,74 @@ def median_vote(responses: DataFrame, low: float, high: float) -> DataFrame:
     return responses.withColumn("v", v).groupBy("qid").agg(F.median(F.when(F.col("v").between(low, high), F.col("v"))).alias("m")).select("qid", F.when(F.col("m").isNotNull(), F.format_string("%.1f", F.round("m", 6))).alias("answer"))
 
 
-#: What beliefs and their noise are worked out from.
-BELIEVED = ["scene", "label", "frame_idx", "det_ord", "confidence", "depth_std", "position_uncertainty", "x", "y", "z", "width_3d", "height_3d"]
+def round_book(names: DataFrame, det: DataFrame, thresholds: tuple[float, ...], synonyms, most: int = 2) -> DataFrame:
+    """A row for each scene: _names, a map of each name asked there to an array with a round's f (frames of the first `most` entities that it means), f1 and s (frames and uncertainty of the first).
 
-
-def without(det: DataFrame, gone: DataFrame) -> DataFrame:
-    """Detections less those gone (scene, label, det_ord), of which an entity has a few: they go to theirs as one row."""
-    g = gone.groupBy("scene", "label").agg(F.collect_set("det_ord").alias("_gone"))
-    return det.join(g, ["scene", "label"], "left").filter(~F.coalesce(F.array_contains("_gone", F.col("det_ord")), F.lit(False))).drop("_gone")
+    names: scene, name. Which names mean which labels is looked up once for all scenes; a name takes its labels to its scene as one row.
+    """
+    names = cut(names.filter("name IS NOT NULL").distinct())
+    # labels alone are read, so detections are not dealt for this
+    words = name_pairs(names.select("name"), cut(det.select("label").distinct()), synonyms).groupBy("name").agg(F.collect_list("label").alias("labels"))
+    asked = names.join(words, "name").groupBy("scene").agg(F.collect_list(F.struct("name", "labels")).alias("_asked"))
+    things = entity_rounds(det, thresholds).filter("label IS NOT NULL").groupBy("scene").agg(F.map_from_entries(F.collect_list(F.struct("label", "rounds"))).alias("_things"))
+    book = asked.join(things, "scene").select("scene", F.transform("_asked", lambda a: F.struct(a["name"].alias("name"), F.filter(F.transform(a["labels"], lambda l: F.try_element_at(F.col("_things"), l)), lambda r: r.isNotNull()).alias("met"))).alias("_met"))
+    first = lambda met, k: F.slice(F.sort_array(F.filter(F.transform(met, lambda r: r[k]), lambda r: r["o"].isNotNull())), 1, most)
+    of = lambda met, k: F.transform(F.array(first(met, k)), lambda t: F.struct(F.array_distinct(F.flatten(F.transform(t, lambda r: r["f"]))).alias("f"), F.get(t, F.lit(0))["f"].alias("f1"), F.get(t, F.lit(0))["u"].alias("s")))[0]
+    return book.select("scene", F.map_from_entries(F.transform("_met", lambda m: F.struct(m["name"], F.array(*[of(m["met"], k) for k in range(len(thresholds) + 1)])))).alias("_names"))
+
+
+def frames_of(found: Column, once: Column, seen: Column, most: int = 8) -> Column:
+    """The best frames of a question in order, as selection.scored_frames has them. found: array of f, f1, s of its names; once: of its distinct names; seen: array of frames seen before, or null."""
+    every = F.array_distinct(F.flatten(F.transform(once, lambda i: i["f"])))
+    sure = lambda f: F.transform(F.filter(found, lambda i: F.array_contains(i["f1"], f) & i["s"].isNotNull()), lambda i: i["s"])
+    score = lambda s, f: F.size(s) * F.greatest(F.lit(0.1), F.aggregate(s, F.lit(0.0), lambda a, x: a + x)) * F.when(F.coalesce(F.array_contains(seen, f), F.lit(False)), 0.3).otherwise(1.0)
+    rows = F.transform(every, lambda f: F.struct(F.size(F.filter(once, lambda i: F.array_contains(i["f"], f))).alias("n"), (-F.round(F.transform(F.array(sure(f)), lambda s: score(s, f))[0], 9)).alias("p"), f.cast("int").alias("f")))
+    best = lambda r: F.filter(r, lambda x: (x["n"] >= 2) | (F.array_max(F.transform(r, lambda y: y["n"])) < 2))
+    return F.transform(F.array(rows), lambda r: F.sort_array(F.transform(F.slice(F.sort_array(F.transform(best(r), lambda x: F.struct(x["p"], x["f"]))), 1, most), lambda x: x["f"])))[0]
+
+
+def voted(history: Column, rounds: int) -> Column:
+    """As vote, of an array of a question's looks (round, answer, conf); null without any of A to D."""
+    w = lambda h: F.when(h["round"] == 0, F.lit(rounds)).otherwise(h["round"] + 1) * F.greatest(h["conf"], F.lit(0.1))
+    own = lambda a: F.filter(history, lambda h: h["answer"] == a)
+    score = lambda a: F.struct(F.round(F.aggregate(own(a), F.lit(0.0), lambda s, h: s + w(h)), 9).alias("w"), (-F.array_min(F.transform(own(a), lambda h: h["round"]))).alias("o"), F.lit(a).alias("a"))
+    return F.array_max(F.filter(F.array(*[score(a) for a in "ABCD"]), lambda s: s["o"].isNotNull()))["a"]
 
 
 def belief_rounds(questions: DataFrame, det: DataFrame, looks: DataFrame, rounds: int = 3, synonyms=None) -> DataFrame:
     """The loop of look, compare, refine over all questions at once, at most `rounds` times: qid, answer, converged, rounds.
 
-    questions: qid, scene, names. looks: qid, round (0: at the whole), answer, conf. A question ends when its look agrees with the
+    questions: qid, scene, names. looks: qid, round (0: at the whole), answer, conf; one of a round. A question ends when its look agrees with the
     first one at a mean confidence of 0.6 or more, when two looks after each other agree, or when its frames stay the same;
     else its scene's noisiest detections go for it and its frames are chosen anew. A question's refinements are its own; but what
-    goes in a round depends on the scene and the round alone, so all questions that a scene still has share one state of it, and
-    no detection is copied. What is left undecided is decided by vote.
+    goes in a round depends on the scene and the round alone, so all rounds of a scene's entities are made once, from detections that are dealt
+    once, and a question goes through its rounds in the task of its scene. What is left undecided is decided by vote.
     """
-    from loculus.functions.tables import SYNONYMS
-    from loculus.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(det.sparkSession)
     synonyms = SYNONYMS if synonyms is None else synonyms
-    # each is read several times a round: without a cut the plans outgrow the driver
-    q, all_ = questions.select("qid", "scene", "names").checkpoint(), det.select(*BELIEVED).checkpoint()
-    own, gone = all_, None
-    looks = looks.select("qid", "round", "answer", "conf").checkpoint()
-    first = looks.filter("round = 0").select("qid", F.col("answer").alias("a0"), F.col("conf").alias("c0"))
-    state = q.join(first, "qid", "left").select("qid", "a0", "c0", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("final"), F.lit(None).cast("string").alias("converged"), F.lit(0).alias("n"), F.lit(None).cast("array<int>").alias("frames"))
+    book = round_book(questions.select("scene", F.explode("names").alias("name")), det, tuple(THRESHOLDS[min(k, len(THRESHOLDS) - 1)] for k in range(rounds - 1)), synonyms)
+    told = looks.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("round", "answer", "conf"))).alias("_looks"))
+    look = lambda k: F.get(F.filter("_looks", lambda h: h["round"] == k), F.lit(0))
+    null = F.lit(None).cast("string")
+    s = questions.select("qid", "scene", "names").join(told, "qid", "left").join(book, "scene", "left")
+    s = s.withColumns({"_l0": look(0), "before": null, "final": null, "converged": null, "n": F.lit(0), "frames": F.lit(None).cast("array<int>")})
+    met = lambda names, k: F.filter(F.transform(names, lambda x: F.get(F.try_element_at(F.col("_names"), x), F.lit(k - 1))), lambda i: i.isNotNull())
+    s = s.withColumns({f"_f{k}": met(F.col("names"), k) for k in range(1, rounds + 1)} | {f"_d{k}": met(F.array_distinct("names"), k) for k in range(1, rounds + 1)}).drop("_names", "names", "scene")
     for k in range(1, rounds + 1):
-        active = state.filter("final IS NULL AND converged IS NULL").select("qid")
-        asked = q.join(active, "qid", "left_semi")
-        ent = entity_beliefs(own.join(asked.select("scene").distinct(), "scene", "left_semi")).checkpoint()
-        frames = name_frames(asked, ent, synonyms)
-        seen = state.filter("frames IS NOT NULL").select("qid", F.explode("frames").alias("frame"))
-        now = scored_frames(frames, seen).groupBy("qid").agg(F.sort_array(F.collect_list(F.col("frame").cast("int"))).alias("now"))
-        look = looks.filter(F.col("round") == k).select("qid", "answer", "conf")
-        s = state.join(now, "qid", "left").join(look, "qid", "left").withColumn("now", F.coalesce("now", F.array().cast("array<int>")))
-        valid = F.coalesce(F.col("answer").isin(*"ABCD"), F.lit(False))
+        s = s.withColumns({"now": F.coalesce(frames_of(F.col(f"_f{k}"), F.col(f"_d{k}"), F.col("frames")), F.array().cast("array<int>")), "_l": look(k)}).drop(f"_f{k}", f"_d{k}")
+        answer, a0 = F.col("_l.answer"), F.col("_l0.answer")
+        valid = F.coalesce(answer.isin(*"ABCD"), F.lit(False))
         running = F.col("final").isNull() & F.col("converged").isNull()
-        same = F.coalesce(F.col("now") == F.col("frames"), F.lit(False)) & (F.lit(k) > 1)
-        agree = valid & (F.col("answer") == F.col("a0"))
-        sure = agree & ((F.col("c0") + F.col("conf")) / 2 >= CONSENSUS)
-        stable = valid & ~agree & (F.col("answer") == F.col("before"))
-        s = s.select(
-            "qid", "a0", "c0", F.when(running & ~same, F.col("answer")).otherwise(F.col("before")).alias("before"),
-            F.when(running & ~same & sure, F.col("a0")).when(running & ~same & F.coalesce(stable, F.lit(False)), F.col("answer")).otherwise(F.col("final")).alias("final"),
-            F.when(running & same, "no_new_frames").when(running & F.coalesce(sure, F.lit(False)), "global_consensus_confident").when(running & F.coalesce(stable, F.lit(False)), "evolution_stable").otherwise(F.col("converged")).alias("converged"),
-            F.when(running & ~same, F.lit(k)).otherwise(F.col("n")).alias("n"), F.when(running, F.col("now")).otherwise(F.col("frames")).alias("frames"),
-        )
-        state = s.checkpoint()
-        if k == rounds:
-            break
-        # a round takes two detections of an entity at most: those are kept, not what is left, so detections are written once
-        more = noisiest(own, ent, THRESHOLDS[min(k - 1, len(THRESHOLDS) - 1)]).select("scene", "label", "det_ord")
-        gone = (more if gone is None else gone.unionByName(more)).checkpoint()
-        own = without(all_, gone)
-    used = looks.join(state.select("qid", "n"), "qid").filter(F.col("round") <= F.col("n"))
-    return state.join(vote(used, rounds).withColumnRenamed("answer", "voted"), "qid", "left").select("qid", F.coalesce("final", "voted", F.lit("A")).alias("answer"), F.coalesce("converged", F.lit("conf_weighted_vote")).alias("converged"), F.col("n").alias("rounds"))
+        same = F.coalesce(F.col("now") == F.col("frames"), F.lit(False)) & F.lit(k > 1)
+        agree = valid & (answer == a0)
+        s = s.withColumns({"_run": running, "_same": same, "_sure": F.coalesce(agree & ((F.col("_l0.conf") + F.col("_l.conf")) / 2 >= CONSENSUS), F.lit(False)), "_stable": F.coalesce(valid & ~agree & (answer == F.col("before")), F.lit(False))})
+        goes, sure, stable = F.col("_run") & ~F.col("_same"), F.col("_sure"), F.col("_stable")
+        s = s.withColumns({
+            "before": F.when(goes, answer).otherwise(F.col("before")), "final": F.when(goes & sure, a0).when(goes & stable, answer).otherwise(F.col("final")),
+            "converged": F.when(F.col("_run") & F.col("_same"), "no_new_frames").when(F.col("_run") & sure, "global_consensus_confident").when(F.col("_run") & stable, "evolution_stable").otherwise(F.col("converged")),
+            "n": F.when(goes, F.lit(k)).otherwise(F.col("n")), "frames": F.when(F.col("_run"), F.col("now")).otherwise(F.col("frames")),
+        })
+    vote_of = voted(F.filter("_looks", lambda h: h["round"] <= F.col("n")), rounds)
+    return s.select("qid", F.coalesce("final", vote_of, F.lit("A")).alias("answer"), F.coalesce("converged", F.lit("conf_weighted_vote")).alias("converged"), F.col("n").alias("rounds"))
 
 
 # What is corrected before a question of a type is answered, by words of the type, tried in this order; else sizes.

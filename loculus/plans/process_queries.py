@@ -25,6 +25,7 @@ from loculus.plans.answer_queries import LAB, all_answers, named
 from loculus.plans.fixtures import ALL_RANGES, ALL_SYNONYMS, TEST_SIZES, cameras, d4, detections, points, read, rounded, with_ctes
 from loculus.plans.registry import query
 from loculus.plans.space_queries import PRS
+from loculus.session import cut
 from loculus.sources import results as Res
 
 EV = "SELECT user_id, event_id, epoch_us(ts) AS t, value FROM events"
@@ -127,8 +128,8 @@ SEL = [
 ]
 
 
-def triples(spark, d):
-    ent = named(spark, d)
+def triples(spark, d, ent=None):
+    ent = named(spark, d) if ent is None else ent
     w = Window.partitionBy("scene").orderBy("k")
     lab = ent.select("scene", "label", F.col("entity_ord").alias("k")).withColumns({"l1": F.lead("label", 1).over(w), "l2": F.lead("label", 2).over(w)}).filter("l2 IS NOT NULL")
     return ent, lab.select(F.concat_ws("-", "scene", "k").alias("qid"), "scene", F.array("label", "l1", "l2").alias("names"))
@@ -201,8 +202,9 @@ def looks(q, rounds: int = 3):
 
 @query("e7_belief_rounds")
 def belief_rounds(spark, d):
-    _, q = triples(spark, d)
-    return E.belief_rounds(q, detections(spark, d), looks(q), 3, ALL_SYNONYMS)
+    det = detections(spark, d)
+    _, q = triples(spark, d, cut(entity_beliefs(det).select("scene", "label", "entity_ord")))
+    return E.belief_rounds(q, det, looks(q), 3, ALL_SYNONYMS)
 
 
 VOT = "v", "SELECT user_id AS qid, event_id, chr((65 + event_id % 4)::INTEGER) AS answer, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS round, 0.1 + (event_id % 9) / 10.0 AS conf FROM events"
