@@ -49,3 +49,16 @@ def test_an_agents_questions_are_not_dealt_by_id(spark):
         plan = answer(q, ent)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(qid" not in plan, answer.__name__
     assert FA.agent_counting(q, ent).collect()[0]["answer"] == "2" and FA.agent_order(q, ent).collect()[0]["answer"] == "A. lamp"
+
+
+def test_filtered_order_is_not_dealt_by_id(spark):
+    from loculus.operators import family_answers as FA
+
+    kinds = {"label": "string", "obs_count": "long", "max_in_frame": "long", "first_seen": "int"}
+    thing = lambda k, label, first, n: (1, k, *[{"label": label, "first_seen": first, "obs_count": n, "max_in_frame": 1}.get(c, 1.0) for c in FA.KEEP])
+    ent = spark.createDataFrame([thing(1, "red chair", 60, 4), thing(2, "lamp", 30, 8)], "scene long, entity_ord long, " + ", ".join(f"{c} {kinds.get(c, 'double')}" for c in FA.KEEP))
+    options = ["A. red chair, lamp", "B. lamp, red chair"]
+    q = spark.createDataFrame([("a", 1, "obj_appearance_order", ORDER, options, "B"), ("far", 2, "obj_appearance_order", ORDER, options, "B"), ("odd", 1, "obj_appearance_order", "What?", None, "B")], QUESTIONS)
+    got = FA.appearance_order(q, ent)
+    assert "hashpartitioning(qid" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", options[1], 0.6), ("far", options[0], 0.3)]
